@@ -9,6 +9,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,3 +83,10 @@ def text_of(column: str = "text"):
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, renamed: extra columns with clashing names never meet ours."""
     return df.select(*(F.col(f"`{old}`").alias(new) for new, old in columns.items()))
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches: fewer texts are Python objects at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)

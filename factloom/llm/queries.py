@@ -5,20 +5,58 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import simhash
+from factloom.llm import quality, rules, secrets, simhash, warc
+from factloom.llm.common import new_folder
 from factloom.session import table
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = new_folder(spark, "archive")
+    warc.write_warc(table(spark, sf_dir, "pages"), root)
+    return warc.read_warc(spark, root, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rules.judge(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+WARC_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), g AS (
+  SELECT payload_digest, max(page_id) AS last_id FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest
+)
+SELECT p.page_id, CAST(p.payload_bytes AS BIGINT) AS payload_bytes, p.payload_digest,
+       CASE WHEN g.last_id IS NOT NULL AND g.last_id <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN g.last_id <> p.page_id THEN g.last_id END AS refers_to
+FROM p LEFT JOIN g USING (payload_digest)
+"""
+
+
 def queries() -> dict:
     return {
+        "op1_warc": op1_warc,
+        "op2_quality_classifier": op2_quality_classifier,
         "op3_simhash_near_dedup": op3_simhash_near_dedup,
+        "op6_secret_scans": op6_secret_scans,
+        "op10_quality_rules": op10_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_warc": WARC_SQL}
