@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the word rule: space and U+0009 to U+000D.
@@ -90,3 +90,33 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+
+
+#: Most rows of the histogram behind range_shards, whatever the input.
+MOST_BINS = 1 << 16
+
+
+def range_shards(sizes: DataFrame, id_col: str, size_col: str, target: int) -> tuple[Column, int]:
+    """(shard of a row, number of shards): ranges of a long id that hold about ``target`` bytes each.
+
+    Bounds come from a histogram of bytes over equal ranges of the id, so they depend on the data
+    only. The histogram has at most ``MOST_BINS`` rows and is the only thing collected. Null ids
+    fall in shard 0.
+    """
+    low, high, total = sizes.agg(F.min(id_col), F.max(id_col), F.sum(size_col)).first()
+    if low is None:
+        return F.lit(0).cast("long"), 1
+    total = int(total or 0)
+    count = -(-total // target)
+    width = (high - low) // min(MOST_BINS, max(64, 8 * count)) + 1
+    bin_of = F.expr(f"cast((`{id_col}` - ({low})) div {width} as int)")
+    filled = sizes.where(F.col(id_col).isNotNull()).groupBy(bin_of.alias("bin")).agg(F.sum(size_col).alias("b")).collect()
+    size = {r.bin: int(r.b or 0) for r in filled}
+    bins = (high - low) // width + 1
+    count = max(1, min(bins, count))
+    bounds, before = [], 0
+    for i in range(bins):
+        bounds.append(min(count - 1, before * count // max(1, total)))
+        before += size.get(i, 0)
+    lookup = F.array(*(F.lit(x).cast("long") for x in bounds))
+    return F.coalesce(F.element_at(lookup, bin_of + 1), F.lit(0).cast("long")), count

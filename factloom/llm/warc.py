@@ -23,7 +23,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import Stash, pick, slices
+from factloom.llm.common import Stash, pick, range_shards, slices
 
 #: Payloads below this many bytes are stored again rather than revisited.
 REVISIT_LEAST = 1000
@@ -32,7 +32,6 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 MANIFEST_SCHEMA = "file string, shard long, part long, records long, bytes long, sha256 string"
 READ_SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, record_id string, payload binary"
-MOST_BINS = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -45,29 +44,6 @@ class Layout:
     date: str = DATE
 
 
-def _shards(spark: SparkSession, digests: DataFrame, layout: Layout):
-    """Shard of a row, from a histogram of payload bytes over equal ranges of the id.
-
-    The histogram has at most ``MOST_BINS`` rows whatever the input, and is the only thing collected.
-    """
-    low, high, total = digests.agg(F.min("page_id"), F.max("page_id"), F.sum("payload_bytes")).first()
-    if low is None:
-        return F.lit(0).cast("long"), 1
-    count = -(-(total or 0) // layout.shard_bytes)
-    width = (high - low) // min(MOST_BINS, max(64, 8 * count)) + 1
-    bin_of = F.expr(f"cast((page_id - ({low})) div {width} as int)")
-    filled = digests.where("page_id IS NOT NULL").groupBy(bin_of.alias("bin")).agg(F.sum("payload_bytes").alias("b")).collect()
-    size = dict((r.bin, r.b) for r in filled)
-    bins = (high - low) // width + 1
-    count = max(1, min(bins, count))
-    bounds, before = [], 0
-    for i in range(bins):
-        bounds.append(min(count - 1, before * count // max(1, total)))
-        before += size.get(i, 0)
-    lookup = F.array(*(F.lit(x).cast("long") for x in bounds))
-    return F.coalesce(F.element_at(lookup, bin_of + 1), F.lit(0).cast("long")), count
-
-
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
@@ -194,7 +170,7 @@ def write_warc(pages: DataFrame, root: str, layout: Layout = Layout(), id_col: s
     large = digests.where(F.col("payload_bytes") >= REVISIT_LEAST)
     groups = large.groupBy("digest").agg(F.max("page_id").alias("refers"), F.count("*").alias("n")).where("n > 1").select("digest", "refers")
     notes = large.join(groups, "digest").select("page_id", "digest", "refers").distinct()
-    shard, count = _shards(spark, digests, layout)
+    shard, count = range_shards(digests, "page_id", "payload_bytes", layout.shard_bytes)
     none = F.lit(None)
     noted = notes.select(shard.alias("shard"), "page_id", F.lit(0).alias("tag"), none.cast("string").alias("url"), none.cast("string").alias("html"), "digest", "refers")
     bodies = rows.select(shard.alias("shard"), "page_id", F.lit(1).alias("tag"), "url", F.col("html").cast("string").alias("html"), none.cast("string").alias("digest"), none.cast("long").alias("refers"))
