@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import line_templates, mixing, packing, passages, quality, rules, secrets, simhash, warc
+from factloom.llm import line_templates, mixing, packing, passages, quality, rules, search, secrets, simhash, warc
 from factloom.llm.common import new_folder
 from factloom.session import table
 
@@ -47,6 +47,11 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+def op7_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return search.search(docs, docs.where("doc_id % 50 = 0"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix_ids(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "source", "copy", "block", F.round("place", 9).alias("place"), F.round("weight", 9).alias("weight"), F.round("passes", 6).alias("passes"))
@@ -154,6 +159,7 @@ def queries() -> dict:
         "op4_line_dedup": op4_line_dedup,
         "op5_packing": op5_packing,
         "op6_secret_scans": op6_secret_scans,
+        "op7_exact_search": op7_exact_search,
         "op8_source_mixing": op8_source_mixing,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_quality_rules": op10_quality_rules,
