@@ -7,9 +7,10 @@
 2. Confirmation. Windows whose anchor passes are hashed (96 bits) and gathered per block of
    documents, a bounded range of ids. Over all blocks, each window's first document is found; a
    window recurs in a block if the block has a later document with it.
-3. Automata. Each block gets the places of its recurring windows, reads their words from its own
-   texts, compiles them with pyahocorasick into automata of at most ``most_patterns`` windows, and
-   streams all its documents through them to locate every occurrence.
+3. Automata. Each block gets the places of its recurring windows and reads their words from its own
+   texts. The windows' anchors are compiled with pyahocorasick into automata of at most
+   ``most_patterns`` phrases; all documents of the block are streamed through them, and the windows
+   around each phrase found are looked up among the recurring ones.
 
 A hot passage is one window row per block, however many documents repeat it, so no task sees a
 group that grows with its popularity; each document's text moves once.
@@ -144,46 +145,93 @@ def _window_rows(bloom):
     return run
 
 
-def _automata(patterns: list[tuple[tuple[int, ...], int]], most: int) -> Iterator[ahocorasick.Automaton]:
+def anchor_places(h: np.ndarray) -> np.ndarray:
+    """Where the anchor of each window begins."""
+    grams = _rolled(h, GRAM, _M1) >> np.uint64(16)
+    return np.arange(len(h) - WINDOW + 1) + sliding_window_view(grams, SPAN).argmin(axis=1)
+
+
+def _automata(patterns: list[str], most: int) -> Iterator[ahocorasick.Automaton]:
     for at in range(0, len(patterns), most):
-        auto = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for key, first in patterns[at : at + most]:
-            auto.add_word(key, first)
+        auto = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for key in patterns[at : at + most]:
+            auto.add_word(key)
         auto.make_automaton()
         yield auto
 
 
+_DIGITS = [chr(48 + i) for i in range(64)]
+
+
+class _Coder:
+    """Words as strings of one width over 64 characters: a small alphabet keeps automata fast."""
+
+    def __init__(self, words: set[bytes]):
+        self.width = 1
+        while 64**self.width < len(words):
+            self.width += 1
+        self.code = {w: "".join(_DIGITS[(i >> (6 * j)) & 63] for j in range(self.width)) for i, w in enumerate(words)}
+
+    def of(self, words: list[bytes]) -> str:
+        return "".join(map(self.code.__getitem__, words))
+
+
 def locate(docs: list[tuple], places: list[tuple], most_patterns: int) -> list[np.ndarray]:
     """For each (doc_id, words), which words lie in a window that starts in an earlier document.
 
-    places: (h1, doc_id, start, first document) of each recurring window of these documents.
+    places: (check, doc_id, start, first document) of each recurring window of these documents.
+    The automata hold the anchors of the windows, about a fifth as many phrases; at each place where
+    they find one, the windows around it are looked up among the recurring ones.
     """
-    numbers: dict[bytes, int] = {}
-    coded = [tuple([numbers.setdefault(w, len(numbers)) for w in words]) for _, words in docs]
+    out = [np.zeros(len(words), bool) for _, words in docs]
+    if not places:
+        return out
+    hashes = [_hashes(words) if len(words) >= WINDOW else None for _, words in docs]
+    windows = [None if h is None else window_hashes(h) for h in hashes]
     by_id: dict[int, list[int]] = {}
     for i, (doc_id, _) in enumerate(docs):
         by_id.setdefault(doc_id, []).append(i)
-    patterns, hashed = {}, {}
-    for h1, doc_id, start, first in places:
-        for i in by_id[doc_id]:
-            if len(by_id[doc_id]) > 1:  # rows that repeat an id: the one that has the window there
-                if i not in hashed:
-                    hashed[i] = window_hashes(_hashes(docs[i][1]))[0] if len(docs[i][1]) >= WINDOW else np.empty(0, np.int64)
-                if start >= len(hashed[i]) or hashed[i][start] != h1:
-                    continue
-            patterns[coded[i][start : start + WINDOW]] = first
-            break
-    out = [np.zeros(len(words) + 1, np.int32) for _, words in docs]
-    for auto in _automata(list(patterns.items()), most_patterns):
-        for (doc_id, _), seq, cover in zip(docs, coded, out):
-            if doc_id is None or len(seq) < WINDOW:
+    wanted: dict[int, list[tuple[int, int]]] = {}
+    for check, doc_id, start, first in places:
+        for i in by_id[doc_id]:  # of rows that repeat an id, one that has the window there
+            if windows[i] is not None and start < len(windows[i][1]) and windows[i][1][start] == check:
+                wanted.setdefault(i, []).append((start, first))
+                break
+    coder = _Coder({w for _, words in docs for w in words})
+    keys, firsts, seeds = [], [], set()
+    for i, found in wanted.items():
+        start, first = np.array(found, np.int64).T
+        keys.append(windows[i][0][start])
+        firsts.append(first)
+        words = docs[i][1]
+        seeds |= {coder.of(words[p : p + GRAM]) for p in np.unique(anchor_places(hashes[i])[start]).tolist()}
+    keys, at = np.unique(np.concatenate(keys), return_index=True)
+    firsts = np.concatenate(firsts)[at]
+    streams = [coder.of(words) if h is not None else "" for (_, words), h in zip(docs, hashes)]
+    near = [None if h is None else np.zeros(len(h) + 1, np.int32) for h in hashes]
+    width = coder.width
+    for auto in _automata(sorted(seeds), most_patterns):
+        for (doc_id, _), stream, mark in zip(docs, streams, near):
+            if doc_id is None or not stream:
                 continue
-            ends = [e for e, first in auto.iter(seq) if first < doc_id]
-            if ends:
-                ends = np.array(ends)
-                np.add.at(cover, ends - WINDOW + 1, 1)
-                np.add.at(cover, ends + 1, -1)
-    return [np.cumsum(c[:-1]) > 0 for c in out]
+            ends = np.fromiter((e for e, _ in auto.iter(stream)), np.int64) + 1
+            begins = ends[ends % width == 0] // width - GRAM
+            if len(begins):
+                np.add.at(mark, np.maximum(begins - SPAN + 1, 0), 1)
+                np.add.at(mark, begins + 1, -1)
+    for i, mark in enumerate(near):
+        if mark is None or docs[i][0] is None:
+            continue
+        maybe = np.flatnonzero(np.cumsum(mark)[: len(windows[i][0])] > 0)
+        if len(maybe):
+            h = windows[i][0][maybe]
+            k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            hit = maybe[(keys[k] == h) & (firsts[k] < docs[i][0])]
+            cover = np.zeros(len(docs[i][1]) + 1, np.int32)
+            np.add.at(cover, hit, 1)
+            np.add.at(cover, hit + WINDOW, -1)
+            out[i] = np.cumsum(cover[:-1]) > 0
+    return out
 
 
 def _remove(most_patterns: int):
@@ -200,7 +248,7 @@ def _remove(most_patterns: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, docs, places = None, [], []
         for b in slices(batches):
-            for here, tag, doc_id, text, h1, start, first in zip(*(b.column(i).to_pylist() for i in range(7))):
+            for here, tag, doc_id, text, check, start, first in zip(*(b.column(i).to_pylist() for i in range(7))):
                 if here != block:
                     if docs:
                         yield finish(docs, places)
@@ -208,7 +256,7 @@ def _remove(most_patterns: int):
                 if tag:
                     docs.append((doc_id, split_words(text)))
                 else:
-                    places.append((h1, doc_id, start, first))
+                    places.append((check, doc_id, start, first))
         if docs:
             yield finish(docs, places)
 
@@ -239,7 +287,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     first = F.min("doc").over(Window.partitionBy("h1", "h2"))
     places = windows.withColumn("first", first).where("first < last_doc")
     none = F.lit(None)
-    told = places.select("block", F.lit(0).alias("tag"), F.col("doc").alias("doc_id"), none.cast("string").alias("text"), "h1", "start", "first")
-    texts = rows.select(block.alias("block"), F.lit(1).alias("tag"), "doc_id", "text", none.cast("long").alias("h1"), none.cast("int").alias("start"), none.cast("long").alias("first"))
+    told = places.select("block", F.lit(0).alias("tag"), F.col("doc").alias("doc_id"), none.cast("string").alias("text"), F.col("h2").alias("check"), "start", "first")
+    texts = rows.select(block.alias("block"), F.lit(1).alias("tag"), "doc_id", "text", none.cast("int").alias("check"), none.cast("int").alias("start"), none.cast("long").alias("first"))
     dealt = told.unionByName(texts).repartitionById(count * parts, F.col("block").cast("int")).sortWithinPartitions("block", "tag", "doc_id")
     return dealt.mapInArrow(_remove(most_patterns), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
