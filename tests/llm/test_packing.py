@@ -33,6 +33,8 @@ def test_closed_form_is_deficit_round_robin():
 def test_tokens_by_pieces_equal_whole_texts():
     tok = Tokenizer.from_file(PATH)
     texts = ["", " ", "A b's  c\n\td", "x́ é  y\x1cz <|endoftext|> <|endof text|>", "日本 語 12 3.4 ΣΑΣ ΑΣ.", "don't we'll ''s", "a b\u0085c"]
+    texts += ["Wörter, ÀÉß!? naïve... it's a_b foo(bar) x' 'tis <|startoftext|>. ÿ× ÷ ...", "İstanbul ǅ ǆ ﬁ ½ ² ª º µ\xadx", " ".join("word%s%s" % (chr(97 + i % 26) * (i % 9), "#.,!"[i % 4] * (i % 3)) for i in range(2000))]
+    texts += ["".join(chr(c) for c in range(32, 800)), " ".join(chr(c) + "a" + chr(c) for c in range(33, 800))]
     own = packing.WordTokenizer(PATH)
     got = [np.frombuffer(x, "<u2").tolist() for x in own.encode(texts)]
     assert got == [tok.encode(t, add_special_tokens=False).ids for t in texts]
