@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from factloom.session import table
+from factloom.plans import queries_functions, queries_order, queries_records
+
+_PARTS = (queries_functions, queries_records, queries_order)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"))
+    """Evidence spans by source and kind."""
+    return queries_records.m_span_kind_counts(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for part in _PARTS for name, sql in part.SQL.items()}
