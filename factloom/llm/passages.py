@@ -4,7 +4,7 @@
    equal windows have equal anchors, and a document has about one anchor for five words. Anchors
    of at least two documents go into a Bloom filter of bounded size, a filter and no verdict: when
    it is full, more windows pass, and no result changes.
-2. Confirmation. Windows whose anchor passes are hashed (96 bits) and gathered per block of
+2. Confirmation. Windows whose anchor passes are hashed (80 bits) and gathered per block of
    documents, a bounded range of ids. Over all blocks, each window's first document is found; a
    window recurs in a block if the block has a later document with it.
 3. Automata. Each block gets the places of its recurring windows and reads their words from its own
@@ -18,6 +18,7 @@ group that grows with its popularity; each document's text moves once.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -35,7 +36,7 @@ WINDOW = 13
 GRAM = 5
 SPAN = WINDOW - GRAM + 1
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_GATHER = 1_000_000
+_GATHER = 600_000
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -67,7 +68,7 @@ def anchors(h: np.ndarray) -> np.ndarray:
 
 
 def window_hashes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return _rolled(h, WINDOW, _M1).view(np.int64), (_rolled(h, WINDOW, _M2) >> np.uint64(32)).astype(np.int32)
+    return _rolled(h, WINDOW, _M1).view(np.int64), (_rolled(h, WINDOW, _M2) >> np.uint64(48)).astype(np.uint16).view(np.int16)
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,17 +111,20 @@ def _bloom(shared: DataFrame, most_power: int) -> Bloom:
 
 def _least_per_key(h1, h2, block, doc, start):
     """One row for each (h1, h2, block): its least document with a start there, and its greatest."""
-    order = np.lexsort((start, doc, h2, h1, block))
+    if np.any((np.diff(block) < 0) | ((np.diff(block) == 0) & (np.diff(doc) < 0))):
+        order = np.lexsort((doc, block))
+        h1, h2, block, doc, start = (x[order] for x in (h1, h2, block, doc, start))
+    order = np.argsort(h1, kind="stable")  # within a hash, blocks and documents stay in order
     h1, h2, block, doc, start = (x[order] for x in (h1, h2, block, doc, start))
     new = np.ones(len(h1), bool)
     new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | (block[1:] != block[:-1])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(h1)) - 1
-    return h1[first], h2[first], block[first], doc[first], start[first], doc[last]
+    return h1[first], h2[first], doc[first], start[first], doc[last]
 
 
 def _window_rows(bloom):
-    names = ["h1", "h2", "block", "doc", "start", "last_doc"]
+    names = ["h1", "h2", "doc", "start", "last_doc"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, held, size = bloom.value, [], 0
@@ -141,6 +145,8 @@ def _window_rows(bloom):
                 held, size = [], 0
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in _least_per_key(*map(np.concatenate, zip(*held)))], names=names)
+            held = None
+        _trim()
 
     return run
 
@@ -176,31 +182,41 @@ class _Coder:
         return "".join(map(self.code.__getitem__, words))
 
 
-def locate(docs: list[tuple], places: list[tuple], most_patterns: int) -> list[np.ndarray]:
+def locate(docs: list[tuple], places: tuple[np.ndarray, ...] | None, most_patterns: int) -> list[np.ndarray]:
     """For each (doc_id, words), which words lie in a window that starts in an earlier document.
 
-    places: (check, doc_id, start, first document) of each recurring window of these documents.
+    places: arrays of check, doc_id, start and first document of the recurring windows of these documents.
     The automata hold the anchors of the windows, about a fifth as many phrases; at each place where
     they find one, the windows around it are looked up among the recurring ones.
     """
     out = [np.zeros(len(words), bool) for _, words in docs]
-    if not places:
+    if places is None:
         return out
     hashes = [_hashes(words) if len(words) >= WINDOW else None for _, words in docs]
     windows = [None if h is None else window_hashes(h) for h in hashes]
     by_id: dict[int, list[int]] = {}
     for i, (doc_id, _) in enumerate(docs):
         by_id.setdefault(doc_id, []).append(i)
-    wanted: dict[int, list[tuple[int, int]]] = {}
-    for check, doc_id, start, first in places:
-        for i in by_id[doc_id]:  # of rows that repeat an id, one that has the window there
-            if windows[i] is not None and start < len(windows[i][1]) and windows[i][1][start] == check:
-                wanted.setdefault(i, []).append((start, first))
-                break
+    check, place_doc, place_start, place_first = places
+    order = np.argsort(place_doc, kind="stable")
+    cuts = np.flatnonzero(np.append(True, np.diff(place_doc[order]) != 0))
+    wanted: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for run in np.split(order, cuts[1:]):
+        left = run
+        for i in by_id[int(place_doc[run[0]])]:  # of rows that repeat an id, one that has the window there
+            if not len(left) or windows[i] is None:
+                continue
+            own = (windows[i][0] & 0x7FFFFFFF).astype(np.int32)
+            here = place_start[left] < len(own)
+            here[here] = own[place_start[left[here]]] == check[left[here]]
+            if here.any():
+                wanted[i] = place_start[left[here]], place_first[left[here]]
+            left = left[~here]
+    if not wanted:
+        return out
     coder = _Coder({w for _, words in docs for w in words})
     keys, firsts, seeds = [], [], set()
-    for i, found in wanted.items():
-        start, first = np.array(found, np.int64).T
+    for i, (start, first) in wanted.items():
         keys.append(windows[i][0][start])
         firsts.append(first)
         words = docs[i][1]
@@ -234,37 +250,52 @@ def locate(docs: list[tuple], places: list[tuple], most_patterns: int) -> list[n
     return out
 
 
-def _remove(most_patterns: int):
-    names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"]
+def _trim() -> None:
+    """Hand freed memory back to the system: workers live on and share a machine with the JVM."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+
 
-    def finish(docs: list[tuple], places: list[tuple]) -> pa.RecordBatch:
+def _remove(most_patterns: int, with_text: bool):
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256", *["kept_text"] * with_text]
+
+    def finish(docs: list[tuple], held: list[tuple]) -> pa.RecordBatch:
+        places = tuple(map(np.concatenate, zip(*held))) if held else None
         rows = []
         for (doc_id, words), gone in zip(docs, locate(docs, places, most_patterns)):
             kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g] if gone.any() else words)
-            rows.append((doc_id, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass")))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            rows.append((doc_id, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass") if with_text else None))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.string()] * with_text]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, docs, places = None, [], []
-        for b in slices(batches):
-            for here, tag, doc_id, text, check, start, first in zip(*(b.column(i).to_pylist() for i in range(7))):
-                if here != block:
+        block, docs, held = None, [], []
+        for b in slices(batches, 8192):
+            blocks, tags = (b.column(c).to_numpy(zero_copy_only=False) for c in ("block", "tag"))
+            cuts = np.flatnonzero(np.append(True, (np.diff(blocks) != 0) | (np.diff(tags) != 0)))
+            for low, high in zip(cuts.tolist(), [*cuts[1:].tolist(), b.num_rows]):
+                if blocks[low] != block:
                     if docs:
-                        yield finish(docs, places)
-                    block, docs, places = here, [], []
-                if tag:
-                    docs.append((doc_id, split_words(text)))
+                        yield finish(docs, held)
+                    block, docs, held = blocks[low], [], []
+                part = b.slice(low, high - low)
+                if tags[low]:
+                    for one in slices([part], 256):
+                        docs += zip(one.column("doc_id").to_pylist(), map(split_words, one.column("text").to_pylist()))
                 else:
-                    places.append((check, doc_id, start, first))
+                    held.append(tuple(part.column(c).to_numpy(zero_copy_only=False) for c in ("check", "doc_id", "start", "first")))
         if docs:
-            yield finish(docs, places)
+            yield finish(docs, held)
+            docs = held = None
+        _trim()
 
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20, most_patterns: int = 100_000, most_power: int = 28) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept_sha256, kept_text.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20, most_patterns: int = 50_000, most_power: int = 28, with_text: bool = True) -> DataFrame:
+    """One row per document: doc_id, n_words, n_removed, kept_sha256 and, with_text, kept_text.
 
     Each word is removed that a window covers whose 13 words also start in a document with a smaller
     id; windows are those of the input. Null and empty texts have no words. Rows without an id
@@ -282,12 +313,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shard, count = range_shards(sizes, "doc_id", "size", block_bytes)
     total = sizes.agg(F.sum("size")).first()[0] or 0
     parts = max(1, -(-total // (count * block_bytes) // 2))  # more than 1 only where the histogram is at its bound
-    block = (shard * parts + F.pmod(F.xxhash64("doc_id"), F.lit(parts))).cast("long")
-    windows = known.select("doc_id", block.alias("block"), "text").mapInArrow(_window_rows(bloom), "h1 long, h2 int, block long, doc long, start int, last_doc long")
+    block = (shard * parts + F.pmod(F.xxhash64("doc_id"), F.lit(parts))).cast("long")  # a document's block follows from its id
+    windows = known.select("doc_id", block.alias("block"), "text").mapInArrow(_window_rows(bloom), "h1 long, h2 smallint, doc long, start int, last_doc long")
     first = F.min("doc").over(Window.partitionBy("h1", "h2"))
     places = windows.withColumn("first", first).where("first < last_doc")
     none = F.lit(None)
-    told = places.select("block", F.lit(0).alias("tag"), F.col("doc").alias("doc_id"), none.cast("string").alias("text"), F.col("h2").alias("check"), "start", "first")
+    told = places.withColumnRenamed("doc", "doc_id").select(block.alias("block"), F.lit(0).alias("tag"), "doc_id", none.cast("string").alias("text"), F.col("h1").bitwiseAND(0x7FFFFFFF).cast("int").alias("check"), "start", "first")
     texts = rows.select(block.alias("block"), F.lit(1).alias("tag"), "doc_id", "text", none.cast("int").alias("check"), none.cast("int").alias("start"), none.cast("long").alias("first"))
     dealt = told.unionByName(texts).repartitionById(count * parts, F.col("block").cast("int")).sortWithinPartitions("block", "tag", "doc_id")
-    return dealt.mapInArrow(_remove(most_patterns), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return dealt.mapInArrow(_remove(most_patterns, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
