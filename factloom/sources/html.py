@@ -41,6 +41,17 @@ _VOID = frozenset("area base br col embed hr img input link meta source track wb
 _HEADING = re.compile(r"h[1-6]")
 #: A p element ends where one of these begins, as browsers have it.
 _ENDS_P = BLOCKS - {"figcaption", "li"}
+#: Elements that end where another begins, and the element that keeps them open: fixed values.
+_IMPLIED = {
+    "li": [("li", ("ul", "ol"))],
+    "td": [("td", ("tr", "table")), ("th", ("tr", "table"))],
+    "th": [("td", ("tr", "table")), ("th", ("tr", "table"))],
+    "tr": [("tr", ("table",))],
+    "tbody": [("thead", ("table",)), ("tbody", ("table",))],
+    "dt": [("dd", ("dl",)), ("dt", ("dl",))],
+    "dd": [("dd", ("dl",)), ("dt", ("dl",))],
+    "option": [("option", ("select",))],
+}
 
 
 class Node:
@@ -69,8 +80,8 @@ class _Builder(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if tag in _ENDS_P:
             self._close("p", stop=("td", "th", "button", "li"))
-        if tag == "li":
-            self._close("li", stop=("ul", "ol"))
+        for open_tag, stop in _IMPLIED.get(tag, ()):
+            self._close(open_tag, stop)
         node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.kids.append(node)
         if tag not in _VOID:
