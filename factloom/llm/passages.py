@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import ctypes
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import ahocorasick
@@ -170,16 +171,19 @@ _DIGITS = [chr(48 + i) for i in range(64)]
 
 
 class _Coder:
-    """Words as strings of one width over 64 characters: a small alphabet keeps automata fast."""
+    """The words of phrases as strings of one width over 64 characters, all others as one filler: a
+    small alphabet keeps automata fast."""
 
     def __init__(self, words: set[bytes]):
         self.width = 1
-        while 64**self.width < len(words):
+        while 64**self.width <= len(words):
             self.width += 1
-        self.code = {w: "".join(_DIGITS[(i >> (6 * j)) & 63] for j in range(self.width)) for i, w in enumerate(words)}
+        names = ("".join(x) for x in itertools.product(_DIGITS, repeat=self.width))
+        self.filler = next(names)
+        self.code = dict(zip(words, names))
 
     def of(self, words: list[bytes]) -> str:
-        return "".join(map(self.code.__getitem__, words))
+        return "".join(map(self.code.get, words, itertools.repeat(self.filler)))
 
 
 def locate(docs: list[tuple], places: tuple[np.ndarray, ...] | None, most_patterns: int) -> list[np.ndarray]:
@@ -214,19 +218,19 @@ def locate(docs: list[tuple], places: tuple[np.ndarray, ...] | None, most_patter
             left = left[~here]
     if not wanted:
         return out
-    coder = _Coder({w for _, words in docs for w in words})
-    keys, firsts, seeds = [], [], set()
+    keys, firsts, phrases = [], [], set()
     for i, (start, first) in wanted.items():
         keys.append(windows[i][0][start])
         firsts.append(first)
         words = docs[i][1]
-        seeds |= {coder.of(words[p : p + GRAM]) for p in np.unique(anchor_places(hashes[i])[start]).tolist()}
+        phrases |= {tuple(words[p : p + GRAM]) for p in np.unique(anchor_places(hashes[i])[start]).tolist()}
+    coder = _Coder({w for phrase in phrases for w in phrase})
     keys, at = np.unique(np.concatenate(keys), return_index=True)
     firsts = np.concatenate(firsts)[at]
     streams = [coder.of(words) if h is not None else "" for (_, words), h in zip(docs, hashes)]
     near = [None if h is None else np.zeros(len(h) + 1, np.int32) for h in hashes]
     width = coder.width
-    for auto in _automata(sorted(seeds), most_patterns):
+    for auto in _automata(sorted(map(coder.of, phrases)), most_patterns):
         for (doc_id, _), stream, mark in zip(docs, streams, near):
             if doc_id is None or not stream:
                 continue
