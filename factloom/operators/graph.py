@@ -33,7 +33,7 @@ def cycle_edges(edges: DataFrame, rounds: int = 10_000) -> DataFrame:
     """The edges that lie on cycles or between them; empty for an acyclic graph.
 
     Each round drops edges out of nodes without predecessors and into nodes without successors.
-    Rounds are at most the longest chain's length over two; every eighth is written to the
+    Rounds are at most the longest chain's length over two; every fourth step is written to the
     checkpoint folder, which executors share, so that plans stay short and survive lost executors.
     """
     spark = edges.sparkSession
@@ -49,7 +49,7 @@ def cycle_edges(edges: DataFrame, rounds: int = 10_000) -> DataFrame:
     for _ in range(rounds):
         if not left:
             break
-        for _ in range(4):
+        for _ in range(2):
             now = now.join(now.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
             now = now.join(now.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
         now = now.select("src", "dst").checkpoint()

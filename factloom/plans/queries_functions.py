@@ -131,9 +131,9 @@ def f_job_keys(spark, d):
     return table(spark, d, "documents").select("doc_id", hashing.job_key("kp", F.concat(F.lit("https://t.example/"), "doc_id")).alias("page_job"), hashing.job_key("yt", F.col("lang"), F.col("source")).alias("video_job"))
 
 
-@query(r"""SELECT doc_id, trim(lower(regexp_replace(text, '\s+', ' ', 'g'))) AS folded FROM documents WHERE NOT contains(text, 'ß')""")
+@query(r"""SELECT doc_id, trim(replace(lower(regexp_replace(text, '\s+', ' ', 'g')), 'ß', 'ss')) AS folded FROM documents""")
 def f_casefold(spark, d):
-    return table(spark, d, "documents").where(~F.col("text").contains("ß")).select("doc_id", text.casefold("text").alias("folded"))
+    return table(spark, d, "documents").select("doc_id", text.casefold("text").alias("folded"))
 
 
 @query(r"""SELECT doc_id, regexp_replace(regexp_replace(text, '[#>*_~`|\\-]', ' ', 'g'), '\s+', '', 'g') AS plain FROM documents""")
@@ -146,23 +146,25 @@ def m_han_latin(spark, d):
     return table(spark, d, "documents").select("doc_id", text.han_count(F.col("text")).alias("han"), text.latin_count(F.col("text")).alias("latin"))
 
 
-_NOTE = "'## ' || role || chr(10) || chr(10) || text || chr(10) || chr(10) || '- see [^cc_' || conv_id || '_' || turn || '] and [it](https://t.example/' || conv_id || '?t=' || turn || '0s)' || chr(10) || chr(10) || '![a' || turn || '](<i/' || turn || '.png>)'"
+#: A text's words, so that the Markdown around them has one reading in any SQL engine.
+_WORDS = "'Text ' || trim(regexp_replace(text, '[^A-Za-zÀ-ÿ]+', ' '))"
+_WORDS_SQL = _WORDS.replace("' '))", "' ', 'g'))")
+_NOTE = "'## ' || role || chr(10) || chr(10) || " + _WORDS + " || chr(10) || chr(10) || '- see [^cc_' || conv_id || '_' || turn || '] and [it](https://t.example/' || conv_id || '?t=' || turn || '0s)' || chr(10) || chr(10) || '![a' || turn || '](<i/' || turn || '.png>)'"
 
 
 def _notes(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.expr(_NOTE.replace("chr(10)", "char(10)")).alias("note"))
 
 
-@query("SELECT conv_id, turn, 'H2,' || array_to_string(list_transform(list_filter(regexp_split_to_array(text, '\\n{2,}'), lambda b: trim(b) <> ''), lambda b: 'PARAGRAPH'), ',') || ',LIST,IMAGE' AS types FROM conversations WHERE NOT regexp_matches(text, '(^|\\n\\n)\\s*([#>|+*!`-]|\\d+\\.)|(?m)^\\|.*\\|$')".replace("\\\\", "\\"))
+@query("SELECT conv_id, turn, 'H2,PARAGRAPH,LIST,IMAGE' AS types FROM conversations")
 def m_block_sequence(spark, d):
-    rows = _notes(spark, d).join(table(spark, d, "conversations").where(~F.col("text").rlike(r"(^|\n\n)\s*([#>|+*!`-]|\d+\.)|(?m)^\|.*\|$")).select("conv_id", "turn"), ["conv_id", "turn"])
-    return rows.select("conv_id", "turn", F.array_join(text.block_types(F.col("note")), ",").alias("types"))
+    return _notes(spark, d).select("conv_id", "turn", F.array_join(text.block_types(F.col("note")), ",").alias("types"))
 
 
-@query("SELECT conv_id, turn, 'cc_' || conv_id || '_' || turn AS cited, 'https://t.example/' || conv_id || '?t=' || turn || '0s' AS links, 'i/' || turn || '.png' AS images, 'https://t.example/' || conv_id || '?t=' || turn || '0s' AS stamps FROM conversations WHERE conv_id > 9")
+@query("SELECT conv_id, turn, 'cc_' || conv_id || '_' || turn AS cited, 'https://t.example/' || conv_id || '?t=' || turn || '0s' AS links, 'i/' || turn || '.png' AS images, 'https://t.example/' || conv_id || '?t=' || turn || '0s' AS stamps FROM conversations")
 def m_citation_tokens(spark, d):
     n = F.col("note")
-    rows = _notes(spark, d).where("conv_id > 9")
+    rows = _notes(spark, d)
     return rows.select("conv_id", "turn", F.array_join(text.citations(n), ",").alias("cited"), F.array_join(text.link_destinations(n), ",").alias("links"), F.array_join(text.image_destinations(n), ",").alias("images"), F.array_join(text.timestamp_urls(n), ",").alias("stamps"))
 
 
@@ -196,11 +198,11 @@ def m_article_extract(spark, d):
     return got.select("page_id", "a.title", "a.markdown", "a.characters", "a.root_score", html.is_challenge(F.col("a.markdown"), F.col("a.characters")).alias("challenge"))
 
 
-@query("""
-WITH c AS (SELECT conv_id, turn, trim(regexp_replace(replace(text, '&nbsp;', ' '), '\\s+', ' ', 'g')) AS text FROM conversations WHERE NOT contains(text, '<') AND NOT contains(text, '-->') AND NOT contains(text, chr(10)))
-SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS cue, CAST(turn * 65.5 AS DOUBLE) AS start, CAST(turn * 65.5 + 5 AS DOUBLE) AS "end", text FROM c""".replace("\\\\", "\\"))
+@query(f"""
+WITH c AS (SELECT conv_id, turn, {_WORDS_SQL} AS text FROM conversations)
+SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS cue, CAST(turn * 65.5 AS DOUBLE) AS start, CAST(turn * 65.5 + 5 AS DOUBLE) AS "end", text FROM c""")
 def io_vtt_parse(spark, d):
-    rows = table(spark, d, "conversations").where(~F.col("text").contains("<") & ~F.col("text").contains("-->") & ~F.col("text").contains("\n"))
+    rows = table(spark, d, "conversations").withColumn("text", F.expr(_WORDS))
     files = vtt.render(rows.withColumn("s", F.col("turn") * 65.5).withColumn("e", F.col("turn") * 65.5 + 5), "conv_id", "turn", "s", "e", "text")
     return vtt.parse(files, "conv_id", "vtt").where("problem IS NULL").select("conv_id", F.row_number().over(Window.partitionBy("conv_id").orderBy("cue")).alias("cue"), "start", "end", "text")
 
@@ -231,19 +233,17 @@ def io_image_sniff(spark, d):
     return table(spark, d, "orders").select("o_orderkey", images.sniff(F.unhex(F.expr(_HEAD))).alias("mime"))
 
 
-@query(r"""
-WITH p AS (SELECT doc_id, source, text FROM documents WHERE NOT contains(text, '[') AND NOT contains(text, '`')),
-q AS (SELECT a.doc_id, a.text AS o, CASE a.doc_id % 4 WHEN 0 THEN a.text WHEN 1 THEN substr(a.text, 1, length(a.text) // 5) WHEN 2 THEN '这是一个完整的中文翻译文本' || a.text ELSE a.text || chr(10) || chr(10) || 'more' END AS t FROM p a),
-r AS (SELECT *, regexp_replace(regexp_replace(o, '[#>*_~`|\\-]', ' ', 'g'), '\s+', '', 'g') AS po, regexp_replace(regexp_replace(t, '[#>*_~`|\\-]', ' ', 'g'), '\s+', '', 'g') AS pt FROM q),
-s AS (SELECT *, length(pt) / greatest(length(po), 1) AS ratio, length(regexp_replace(po, '[^A-Za-z]', '', 'g')) >= greatest(20, length(po) * 0.2) AS latin, length(regexp_replace(pt, '\P{Han}', '', 'g')) AS han FROM r WHERE trim(o) <> '' AND regexp_matches(o, '^[A-Za-zÀ-ÿ]') AND regexp_matches(t, '^[A-Za-zÀ-ÿ这]') AND NOT contains(o, '|'))
-SELECT doc_id, round(ratio, 3) AS length_ratio, CASE WHEN doc_id % 4 = 3 THEN 'block-structure' WHEN ratio < 0.25 OR ratio > 2.0 THEN 'length-ratio' WHEN latin AND han < 10 THEN 'no-chinese' ELSE 'passed' END AS "check" FROM s""")
+@query(rf"""
+WITH p AS (SELECT doc_id, {_WORDS_SQL} AS o FROM documents),
+q AS (SELECT doc_id, o, CASE doc_id % 4 WHEN 0 THEN o WHEN 1 THEN substr(o, 1, length(o) // 5) WHEN 2 THEN '这是一个完整的中文翻译文本' || o ELSE o || chr(10) || chr(10) || 'more' END AS t FROM p),
+r AS (SELECT *, regexp_replace(o, '\s+', '', 'g') AS po, regexp_replace(t, '\s+', '', 'g') AS pt FROM q),
+s AS (SELECT *, length(pt) / greatest(length(po), 1) AS ratio, length(regexp_replace(po, '[^A-Za-z]', '', 'g')) >= greatest(20, length(po) * 0.2) AS latin, length(regexp_replace(pt, '\P{{Han}}', '', 'g')) AS han FROM r)
+SELECT doc_id, round(ratio, 3) AS length_ratio, CASE WHEN trim(t) = '' THEN 'empty' WHEN doc_id % 4 = 3 THEN 'block-structure' WHEN ratio < 0.25 OR ratio > 2.0 THEN 'length-ratio' WHEN latin AND han < 10 THEN 'no-chinese' ELSE 'passed' END AS "check" FROM s""")
 def x_translation_pair_check(spark, d):
-    docs = table(spark, d, "documents").where(~F.col("text").contains("[") & ~F.col("text").contains("`"))
+    docs = table(spark, d, "documents").select("doc_id", F.expr(_WORDS).alias("o"))
     k = F.col("doc_id") % 4
-    t = F.when(k == 0, F.col("text")).when(k == 1, F.expr("substring(text, 1, cast(length(text) div 5 as int))")).when(k == 2, F.concat(F.lit("这是一个完整的中文翻译文本"), "text")).otherwise(F.concat("text", F.lit("\n\nmore")))
-    pairs = docs.select("doc_id", F.col("text").alias("o"), t.alias("t"))
-    pairs = pairs.where((F.trim("o") != "") & F.col("o").rlike("^[A-Za-zÀ-ÿ]") & F.col("t").rlike("^[A-Za-zÀ-ÿ这]") & ~F.col("o").contains("|"))
-    return identity.translation_check(pairs, "o", "t").select("doc_id", "length_ratio", "check")
+    t = F.when(k == 0, F.col("o")).when(k == 1, F.expr("substring(o, 1, cast(length(o) div 5 as int))")).when(k == 2, F.concat(F.lit("这是一个完整的中文翻译文本"), "o")).otherwise(F.concat("o", F.lit("\n\nmore")))
+    return identity.translation_check(docs.withColumn("t", t), "o", "t").select("doc_id", "length_ratio", "check")
 
 
 @query(f"WITH {SOURCES_SQL} SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'course-note' WHEN 1 THEN 'collected-article' WHEN 2 THEN 'user-note' WHEN 3 THEN 'faithful-translation' ELSE 'unknown-markdown' END AS kind, CASE doc_id % 5 WHEN 0 THEN 'derived-note' WHEN 1 THEN 'local-source-snapshot' WHEN 2 THEN 'user-authored' WHEN 3 THEN 'faithful-variant' ELSE 'unverified-local' END AS tier FROM src")
