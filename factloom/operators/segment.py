@@ -234,16 +234,15 @@ def span_rows(units: DataFrame, unit_id: str, content: str, start_line: Column)
         .when(F.col("listed"), "list-item")
         .otherwise("prose")
     )
-    pieces = cut.select("unit", "first", "i", "size", "lead", kind.alias("kind"), F.posexplode(F.split("text", _PIECES, -1)).alias("j", "piece"))
-    # what a piece takes up: its own text, and at a line's ends the parts that are no text
-    own = F.length("piece")
-    before = F.coalesce(F.sum(own).over(Window.partitionBy("unit", "i").orderBy("j").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    whole = F.when(F.col("j") == 0, F.col("size")).otherwise(0)
-    line_at = F.coalesce(F.sum(whole).over(Window.partitionBy("unit").orderBy("i", "j").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = pieces.select("unit", "first", "i", "j", "kind", "piece", before.alias("before"), F.col("lead"), line_at.alias("line_at"), "size")
-    at = F.when(F.col("j") == 0, F.col("line_at")).otherwise(F.col("line_at") - F.col("size"))
+    parts = cut.select("unit", "first", "i", "size", "lead", kind.alias("kind"), F.length("text").alias("chars"), F.split("text", _PIECES, -1).alias("p"))
+    pieces = parts.select("unit", "first", "i", "size", "lead", "kind", "chars", F.size("p").alias("n"), F.posexplode("p").alias("j", "piece"))
+    # pieces tile the unit: the first takes the line's lead with it, the last what ends the line
+    opens = F.when(F.col("j") == 0, F.col("lead")).otherwise(0)
+    ends = F.when(F.col("j") == F.col("n") - 1, F.col("size") - F.col("lead") - F.col("chars")).otherwise(0)
+    upto = F.sum(opens + F.length("piece") + ends).over(Window.partitionBy("unit").orderBy("i", "j").rowsBetween(Window.unboundedPreceding, -1))
+    placed = pieces.select("unit", "first", "i", "kind", "piece", (F.coalesce(upto, F.lit(0)) + opens).alias("at"))
     trimmed = F.regexp_replace("piece", r"^\s+|\s+$", "")
-    begin = at + F.col("lead") + F.col("before") + F.length("piece") - F.length(F.regexp_replace("piece", r"^\s+", ""))
+    begin = F.col("at") + F.length("piece") - F.length(F.regexp_replace("piece", r"^\s+", ""))
     return placed.where(trimmed != "").select(
         F.col("unit").alias("evidence_unit_id"), begin.cast("long").alias("start_offset"), (begin + F.length(trimmed)).cast("long").alias("end_offset"),
         (F.col("first") + F.col("i")).cast("long").alias("line"), trimmed.alias("content"), F.col("kind").alias("span_kind"),
