@@ -33,7 +33,8 @@ def support_counts(canonical: DataFrame, provenance: DataFrame) -> DataFrame:
         F.bool_and(note).alias("only_notes"), F.bool_or(F.coalesce(F.col("primary_support_status"), F.lit("")) != "verified").alias("some_unverified"),
     )
     zero = {f"{x}_count": 0 for x in ("document", "work", "independent", "publisher")}
-    return canonical.join(counts, "canonical_claim_id", "left").fillna(zero).fillna(False, ["only_notes", "some_unverified"])
+    stated = [c for c in counts.columns if c in canonical.columns and c != "canonical_claim_id"]  # what a record states is derived anew
+    return canonical.drop(*stated).join(counts, "canonical_claim_id", "left").fillna(zero).fillna(False, ["only_notes", "some_unverified"])
 
 
 def with_status(counted: DataFrame) -> DataFrame:
