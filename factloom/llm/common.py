@@ -7,12 +7,12 @@ and never a recomputation of the whole lineage.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,6 +92,14 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield b.slice(at, rows)
 
 
+def trim() -> None:
+    """Hand freed memory back to the system: Python workers live on and share a machine with the JVM."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+
+
 #: Most rows of the histogram behind range_shards, whatever the input.
 MOST_BINS = 1 << 16
 

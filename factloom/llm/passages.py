@@ -18,7 +18,6 @@ group that grows with its popularity; each document's text moves once.
 
 from __future__ import annotations
 
-import ctypes
 import hashlib
 import itertools
 from collections.abc import Iterator
@@ -31,7 +30,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import Stash, pick, range_shards, slices, text_of
+from factloom.llm.common import Stash, pick, range_shards, slices, text_of, trim
 
 WINDOW = 13
 GRAM = 5
@@ -147,7 +146,7 @@ def _window_rows(bloom):
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in _least_per_key(*map(np.concatenate, zip(*held)))], names=names)
             held = None
-        _trim()
+        trim()
 
     return run
 
@@ -254,14 +253,6 @@ def locate(docs: list[tuple], places: tuple[np.ndarray, ...] | None, most_patter
     return out
 
 
-def _trim() -> None:
-    """Hand freed memory back to the system: workers live on and share a machine with the JVM."""
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):  # a C library without it
-        pass
-
-
 def _remove(most_patterns: int, with_text: bool):
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", *["kept_text"] * with_text]
 
@@ -293,7 +284,7 @@ def _remove(most_patterns: int, with_text: bool):
         if docs:
             yield finish(docs, held)
             docs = held = None
-        _trim()
+        trim()
 
     return run
 
