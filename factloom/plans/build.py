@@ -30,8 +30,12 @@ def gate(stage: str, *found: DataFrame) -> None:
         raise GateClosed(stage, bad)
 
 
-def prepare(files: DataFrame, previous: Tables | None = None, need_tags: bool = False) -> Tables:
-    """Sources, units, spans and the work set from (path, markdown, byte_size, content_sha256)."""
+def prepare(files: DataFrame, previous: Tables | None = None, need_tags: bool = False, prefix: str = "factloom_") -> Tables:
+    """Sources, units, spans and the work set from (path, markdown, byte_size, content_sha256).
+
+    prefix begins the front-matter keys by which a note overrides its identity: source, publisher,
+    corpus and independence_group.
+    """
     gate("prepare", limits(files))
     parsed = files.withColumn("f", front_matter("markdown"))
     gate("prepare", rules.violations(parsed, "INVALID_FRONTMATTER", F.col("path"), F.col("f.problem").isNotNull(), F.col("f.problem")))
@@ -39,8 +43,8 @@ def prepare(files: DataFrame, previous: Tables | None = None, need_tags: bool =
     stem = F.regexp_replace(F.regexp_extract("path", r"([^/]*)$", 1), r"(?i)\.md$", "")
     flat = parsed.select(
         "path", "markdown", "byte_size", "content_sha256", get("source_url").alias("source_url"), F.coalesce(get("title"), stem).alias("title"), get("author").alias("author"),
-        get("knowledge_compiler_publisher").alias("publisher"), get("knowledge_compiler_corpus").alias("corpus"), get("knowledge_compiler_independence_group").alias("independence_group"),
-        identity.source_kind(stem, get("source_url"), F.json_object_keys("f.metadata"), get("knowledge_compiler_source"), need_tags).alias("source_kind"), F.col("f.body").alias("body"), F.col("f.body_line").alias("body_line"),
+        get(prefix + "publisher").alias("publisher"), get(prefix + "corpus").alias("corpus"), get(prefix + "independence_group").alias("independence_group"),
+        identity.source_kind(stem, get("source_url"), F.json_object_keys("f.metadata"), get(prefix + "source"), need_tags).alias("source_kind"), F.col("f.body").alias("body"), F.col("f.body_line").alias("body_line"),
     )
     before = (previous or {}).get("sources")
     if before is None:

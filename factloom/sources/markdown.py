@@ -16,11 +16,11 @@ from factloom.functions.udf import arrow_udf
 FRONT = "struct<metadata:string,body:string,body_line:int,problem:string>"
 
 
-def discover(vault: str, target: str, roots: list[str]) -> list[str]:
+def discover(vault: str, target: str, roots: list[str], skip: str = ".factloom") -> list[str]:
     """Paths of Markdown files below the roots, once each, sorted.
 
-    Roots are absolute and inside the vault; what lies in the target or in a .knowledge-compiler
-    folder is no source, and a symbolic link anywhere is refused. The walk reads names only.
+    Roots are absolute and inside the vault; what lies in the target or in a folder named skip
+    is no source, and a symbolic link anywhere is refused. The walk reads names only.
     """
     vault, target = os.path.abspath(vault), os.path.abspath(target)
     found: set[str] = set()
@@ -40,7 +40,7 @@ def discover(vault: str, target: str, roots: list[str]) -> list[str]:
             for name in [*folders, *names]:
                 if os.path.islink(os.path.join(folder, name)):
                     raise ValueError(f"UNSAFE_SOURCE: {os.path.join(folder, name)}")
-            folders[:] = [d for d in folders if d != ".knowledge-compiler" and os.path.join(folder, d) != target]
+            folders[:] = [d for d in folders if d != skip and os.path.join(folder, d) != target]
             found |= {os.path.join(folder, n) for n in names if n.lower().endswith(".md")}
     return sorted(found)
 

@@ -8,7 +8,7 @@ from factloom.plans import build, verify
 from factloom.sources.records import Publication
 from factloom.streaming import folder
 
-USER = "---\ntitle: {0}\nknowledge_compiler_source: user-authored\n---\n# Finding\n\n{1}\n"
+USER = "---\ntitle: {0}\nfactloom_source: user-authored\n---\n# Finding\n\n{1}\n"
 
 
 def files(spark, notes):

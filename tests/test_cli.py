@@ -12,7 +12,7 @@ def test_a_build_from_the_command_line(spark, tmp_path):
     vault, job = tmp_path / "vault", str(tmp_path / "job")
     notes = vault / "notes"
     notes.mkdir(parents=True)
-    (notes / "a.md").write_text("---\ntitle: A\nknowledge_compiler_source: user-authored\n---\n# F\n\nCaching helps.\n")
+    (notes / "a.md").write_text("---\ntitle: A\nfactloom_source: user-authored\n---\n# F\n\nCaching helps.\n")
     (notes / "b.md").write_text("# F\n\nCaching never helps.\n")
     base = ["--vault", str(vault), "--knowledge-base", "kb"]
     call = lambda *argv: cli.run(spark, [str(x) for x in argv])
