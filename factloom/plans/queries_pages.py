@@ -6,11 +6,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from factloom import schemas
 from factloom.functions import text
 from factloom.functions.udf import arrow_udf
-from factloom.operators import frames, incremental, notes, rules, segment, support
+from factloom.operators import frames, graph, incremental, notes, rules, segment, support
 from factloom.plans import derive
-from factloom.plans.derive import SOURCES_SQL
+from factloom.plans.derive import CANONICAL_SQL, SOURCES_SQL, SPANS_SQL
 from factloom.plans.registry import registry
 from factloom.session import table
 from factloom.sources import html
@@ -162,3 +163,28 @@ def a_gate_failures(spark, d):
     n = table(spark, d, "customer").agg(F.count("*").alias("n"))
     row = n.select(F.lit(0.5).alias("citation_closure"), F.lit(1.0).alias("published_claim_evidence_rate"), F.lit(1.0).alias("span_processing_rate"), F.lit(1.0).alias("conflict_visibility_rate"), F.col("n").alias("probe_failures"), F.lit(0).alias("entailment_open"))
     return support.gate_failures(row)
+
+
+@query(f"""WITH {SPANS_SQL} SELECT 'INVALID_IR' AS rule_code, 'es_' || substr(sha256(doc_id || '-' || start_offset), 1, 20) AS record_id, 'end_offset > start_offset' AS detail FROM span WHERE start_offset % 37 = 0 AND start_offset > 0
+UNION ALL SELECT 'INVALID_IR', 'es_' || substr(sha256(doc_id || '-' || start_offset), 1, 20), 'content_sha256: hex64' FROM span WHERE start_offset % 41 = 0
+UNION ALL SELECT 'INVALID_IR', 'es_' || substr(sha256(doc_id || '-' || start_offset), 1, 20), 'span_kind: in:prose|list-item|table-row|media|code|link|other' FROM span WHERE start_offset % 43 = 0""")
+def p_record_schema(spark, d):
+    s = derive.spans(spark, d)
+    at = F.col("start_offset")
+    key = F.concat(F.lit("es_"), F.substring(F.sha2(F.concat_ws("-", "doc_id", at), 256), 1, 20))
+    rows = s.select(
+        key.alias("evidence_span_id"), F.concat(F.lit("eu_"), F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 20)).alias("evidence_unit_id"), at, F.when(at % 37 == 0, at).otherwise(F.col("end_offset")).alias("end_offset"),
+        F.col("line").alias("start_line"), F.col("line").alias("end_line"), F.when(at % 41 == 0, "none").otherwise(F.sha2("content", 256)).alias("content_sha256"), "content", F.when(at % 43 == 0, "poem").otherwise(F.col("span_kind")).alias("span_kind"),
+    )
+    return schemas.violations("evidence_spans", rows.withColumn("end_offset", F.greatest("end_offset", F.lit(1).cast("long"))))
+
+
+@query(f"""WITH {CANONICAL_SQL}, e AS (SELECT unnest(supporting) AS src, canonical_claim_id AS dst, 'supports' AS type FROM canonical UNION ALL SELECT unnest(opposing), canonical_claim_id, 'opposes' FROM canonical UNION ALL SELECT 'cc_parent', canonical_claim_id, 'derived-from' FROM canonical WHERE derived),
+n AS (SELECT src AS node FROM e UNION SELECT dst FROM e)
+SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM e) AS edges, count(*) AS supersession_edges, (SELECT src || '>' || dst FROM e ORDER BY src, dst LIMIT 1) AS first_edge FROM canonical WHERE superseded""")
+def g_export(spark, d):
+    k = derive.canonical(spark, d).withColumn("supersedes", F.array().cast("array<string>"))
+    kind = "struct<nodes:array<string>,edges:array<struct<`from`:string,to:string,type:string>>,supersession_edges:array<struct<`from`:string,to:string>>>"
+    g = graph.export(graph.provenance_edges(k), graph.supersession_edges(k)).select(F.from_json("graph", kind).alias("g"))
+    first = F.col("g.edges")[0]
+    return g.select(F.size("g.nodes").cast("long").alias("nodes"), F.size("g.edges").cast("long").alias("edges"), F.size("g.supersession_edges").cast("long").alias("supersession_edges"), F.concat_ws(">", first["from"], first["to"]).alias("first_edge"))
