@@ -5,8 +5,8 @@ access identifiers of other shapes, bare random-looking secrets, and endpoints -
 alone. Within a document they are joined by interval: every candidate is an interval widened by
 ``scope`` characters and cut at blank lines, and a weak candidate is reported only when a part of a
 complementary role lies in its scope: an identifier needs a secret, a secret needs an identifier
-or an endpoint, an endpoint needs a secret or an identifier. The join is a sorted sweep with one
-running maximum per role, linear in the candidates of a document; no pairs are written.
+or an endpoint, an endpoint needs a secret or an identifier. The join looks up the nearest part of
+each role on either side, in sorted order; no pairs are written.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ _CUE = re.compile(r"password|passwd|secret|token|api_?key", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _WEAK_ID = re.compile(r"\b(?:client|account|user|access|app|tenant|key)_?-?id[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9._@-]{4,})", re.I | re.A)
-_WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,64}={0,2}(?![A-Za-z0-9+/_=-])", re.A)
+_WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])", re.A)
 _ENDPOINT = re.compile(r"\b(?:https?://|jdbc:[a-z0-9]+://|(?:host|endpoint|server|url)[\"']?\x20*[:=]\x20*[\"']?)[A-Za-z0-9.-]+\.[A-Za-z]{2,}(?::\d{2,5})?[A-Za-z0-9/_.?=&%-]*", re.I | re.A)
 _BLANK = re.compile(r"\n[\x20\t\r]*\n")
 SCHEMA = "doc_id {}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_linked long"
@@ -61,7 +61,13 @@ def weak_candidates(text: str) -> list[tuple[int, int, int]]:
     found = []
     if "id" in text or "ID" in text or "Id" in text:
         found += [(m.start(), 3, m.end()) for m in _WEAK_ID.finditer(text)]
-    found += [(m.start(), 4, m.end()) for m in _WEAK_SECRET.finditer(text) if _random_looking(m[0])]
+    # the value of an identifier is no secret as well
+    starts, bare = [s for s, _, _ in found], []
+    for m in _WEAK_SECRET.finditer(text):
+        i = bisect.bisect_left(starts, m.end())
+        if not (i and found[i - 1][2] > m.start()) and _random_looking(m[0]):
+            bare.append((m.start(), 4, m.end()))
+    found += bare
     if "." in text:
         found += [(m.start(), 5, m.end()) for m in _ENDPOINT.finditer(text)]
     return sorted(found)
@@ -73,12 +79,15 @@ _NEEDS = ((1,), (0, 2), (0, 1))
 
 
 def link(text: str, base: list[tuple[int, int, int]], weak: list[tuple[int, int, int]], scope: int) -> list[tuple[int, int, int]]:
-    """The weak candidates that have a complementary part in their scope and overlap no base span."""
+    """The weak candidates that have a complementary part in their scope and overlap no base span.
+
+    All are linked first; of linked ones that overlap, the secret or identifier goes before the
+    endpoint around it, and the earlier before the later.
+    """
     breaks = [m.start() for m in _BLANK.finditer(text)]
     block = lambda at: bisect.bisect_right(breaks, at)
     by_role: list[list[tuple[int, int]]] = [[], [], []]
     taken: list[tuple[int, int, int]] = []
-    reach = -1
     starts = [s for s, _, _ in base]
     ends, most = [], -1
     for _, _, e in base:
@@ -86,31 +95,36 @@ def link(text: str, base: list[tuple[int, int, int]], weak: list[tuple[int, int,
         ends.append(most)
     for s, k, e in weak:
         i = bisect.bisect_left(starts, e)
-        if i and ends[i - 1] > s or s < reach:
-            continue
-        taken.append((s, k, e))
-        reach = e
+        if not (i and ends[i - 1] > s):
+            taken.append((s, k, e))
     for s, k, e in sorted(base + taken):
         by_role[_ROLE[k]].append((s, e))
     lows = [[s for s, _ in x] for x in by_role]
-    highs = []
-    for x in by_role:
-        run, best = [], -1
-        for _, e in x:
-            best = max(best, e)
-            run.append(best)
-        highs.append(run)
+    highs = [sorted(e for _, e in x) for x in by_role]
     out = []
     for s, k, e in taken:
         at = block(s)
         low = max(s - scope, breaks[at - 1] if at else 0)
         high = min(e + scope, breaks[at] if at < len(breaks) else len(text))
         for role in _NEEDS[_ROLE[k]]:
-            i = bisect.bisect_left(lows[role], high)
-            if i and highs[role][i - 1] > low:
+            # a part beside it: what it contains or lies in does not complete it
+            before, after = bisect.bisect_right(highs[role], s), bisect.bisect_left(lows[role], e)
+            if (before and highs[role][before - 1] > low) or (after < len(lows[role]) and lows[role][after] < high):
                 out.append((s, k, e))
                 break
-    return out
+    # kept spans are disjoint, so starts and ends are in one order
+    kept: list[tuple[int, int, int]] = []
+    for endpoint in (False, True):
+        reach, free = -1, []
+        firsts = [s for s, _, _ in kept]
+        for s, k, e in out:
+            if (k == 5) == endpoint:
+                i = bisect.bisect_left(firsts, e)
+                if s >= reach and not (i and kept[i - 1][2] > s):
+                    free.append((s, k, e))
+                    reach = e
+        kept = sorted(kept + free)
+    return kept
 
 
 def scan(text: str | None, scope: int = 400) -> tuple:

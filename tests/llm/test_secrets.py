@@ -61,3 +61,13 @@ def test_query_shape_nulls_and_long_texts(spark):
     assert sorted((str(r.doc_id), r.n_assign, r.spans, r.base_sha256 == empty) for r in got.collect()) == [
         ("1", 0, "", True), ("2", 0, "", True), ("2", 0, "", True), ("2", 1, "assign:600000:600013", False), ("None", 1, "assign:0:12", False)]
     assert secrets.find_secrets(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_long_secrets_and_parts_inside_a_url():
+    body = "Zx9kQ2mB7vLp" * 8
+    for long in (body[:86] + "==", "github_pat_" + body[:82]):
+        shown = secrets.scan(f"client_id: acme-7731 https://api.acme.example/v1 {long}")
+        assert "weak_id:0:" in shown[4] and "weak_secret:" in shown[4] and "endpoint:" in shown[4]
+    url = "https://api.acme.example/v1?app_id=acme7731&sig=q8ZpL0vRt2Ws6Ydn4Kfg9B"
+    shown = secrets.scan(url)[4]
+    assert "weak_id:" in shown, "an endpoint does not swallow the parts inside it"
