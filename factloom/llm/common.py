@@ -10,8 +10,9 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,31 +101,77 @@ def trim() -> None:
         pass
 
 
-#: Most rows of the histogram behind range_shards, whatever the input.
-MOST_BINS = 1 << 16
+def range_shards(stash: Stash, sizes: DataFrame, id_col: str, size_col: str, target: int) -> tuple[Callable[[DataFrame, Column], DataFrame], int]:
+    """(a function that adds ``shard`` to rows with the id, number of shards): ranges of a long id.
 
-
-def range_shards(sizes: DataFrame, id_col: str, size_col: str, target: int) -> tuple[Column, int]:
-    """(shard of a row, number of shards): ranges of a long id that hold about ``target`` bytes each.
-
-    Bounds come from a histogram of bytes over equal ranges of the id, so they depend on the data
-    only. The histogram has at most ``MOST_BINS`` rows and is the only thing collected. Null ids
-    fall in shard 0.
+    Bounds are quantiles by bytes and depend on the data only. They come from a histogram over the
+    bits of the id whose bins are split 256-fold, round by round, while they hold more than a quarter
+    of ``target`` bytes, so clustered and outlying ids make no shard large. Ids whose own rows hold
+    more than ``target``, and null ids, which come first, are spread over several shards by a hash
+    that the function takes. Collected are the final bins, a few for each shard, 16 bytes a bin.
+    Rows meet the bounds in an equi-join on the id's leading bits; Spark broadcasts the bounds if small.
     """
-    low, high, total = sizes.agg(F.min(id_col), F.max(id_col), F.sum(size_col)).first()
-    if low is None:
-        return F.lit(0).cast("long"), 1
-    total = int(total or 0)
-    count = -(-total // target)
-    width = (high - low) // min(MOST_BINS, max(64, 8 * count)) + 1
-    bin_of = F.expr(f"cast((`{id_col}` - ({low})) div {width} as int)")
-    filled = sizes.where(F.col(id_col).isNotNull()).groupBy(bin_of.alias("bin")).agg(F.sum(size_col).alias("b")).collect()
-    size = {r.bin: int(r.b or 0) for r in filled}
-    bins = (high - low) // width + 1
-    count = max(1, min(bins, count))
-    bounds, before = [], 0
-    for i in range(bins):
-        bounds.append(min(count - 1, before * count // max(1, total)))
-        before += size.get(i, 0)
-    lookup = F.array(*(F.lit(x).cast("long") for x in bounds))
-    return F.coalesce(F.element_at(lookup, bin_of + 1), F.lit(0).cast("long")), count
+    unsigned = F.expr(f"`{id_col}` ^ {_SIGN}")  # the order of ids is that of these bits
+    by_id = stash.put(sizes.where(F.col(id_col).isNotNull()).groupBy(unsigned.alias("u")).agg(F.sum(size_col).alias("size")))
+    low, high = by_id.agg(F.min(F.expr(f"u ^ {_SIGN}")), F.max(F.expr(f"u ^ {_SIGN}"))).first()
+    null_bytes = sizes.where(F.col(id_col).isNull()).agg(F.sum(size_col)).first()[0]
+    for_null = 0 if null_bytes is None else max(1, -(-int(null_bytes) // target))
+    top = 0 if low is None else max(0, (low ^ high).bit_length() - 12) if (low < 0) == (high < 0) else 52
+    starts, held, rest, shift = [], [], by_id, top
+    while True:
+        bins = stash.put(rest.groupBy(F.shiftrightunsigned("u", shift).alias("bin")).agg(F.sum("size").alias("size")))
+        full = (F.col("size") > target // 4) & F.lit(shift > 0)
+        done = bins.where(~full).toArrow()
+        starts.append(done.column("bin").to_numpy().astype(np.uint64) << np.uint64(shift))
+        held.append(done.column("size").to_numpy())
+        if shift == 0 or bins.where(full).isEmpty():
+            break
+        crowded = bins.where(full).select("bin")
+        rest = rest.join(crowded, F.shiftrightunsigned("u", shift) == F.col("bin"), "left_semi")
+        shift = max(0, shift - 8)
+    start, size = np.concatenate(starts), np.concatenate(held)
+    order = np.argsort(start)
+    start, size = start[order], size[order]
+    bounds, many, filled = [], [], 0
+    for u, n in zip(start.tolist(), size.tolist()):
+        if not bounds or filled + n > target:
+            bounds.append(u)
+            many.append(max(1, -(-n // target)))
+            filled = 0
+        filled += n
+    ids = np.array(bounds, np.uint64)
+    firsts = for_null + np.cumsum([0, *many])
+    # by leading bits: the bounds there, and the last one before
+    told = []
+    for prefix in np.unique(start >> np.uint64(top)).tolist():
+        a = max(0, int(np.searchsorted(ids, np.uint64(prefix << top), side="right")) - 1)
+        z = int(np.searchsorted(ids, np.uint64((prefix << top) + (1 << top) - 1), side="right"))
+        told.append((prefix - (1 << 64) * (prefix >> 63), [x - (1 << 63) for x in bounds[a:z]], firsts[a:z].tolist(), many[a:z]))
+    table = stash.put(sizes.sparkSession.createDataFrame(told, "prefix long, bounds array<long>, firsts array<long>, many array<long>"))
+    steps = max((len(x[1]) for x in told), default=1).bit_length()
+
+    def deal(rows: DataFrame, spread: Column) -> DataFrame:
+        place = F.aggregate(
+            F.sequence(F.lit(1), F.lit(steps)),
+            F.struct(F.lit(0).alias("low"), F.size("bounds").alias("high")),
+            lambda s, _: _halve(s, F.col(id_col), F.col("bounds")),
+            lambda s: s["low"] + 1,
+        )
+        own = F.element_at("firsts", place) + F.pmod(spread, F.element_at("many", place))
+        shard = F.when(F.col(id_col).isNull(), F.pmod(spread, F.lit(max(1, for_null)))).otherwise(own)
+        met = rows.join(table, F.shiftrightunsigned(unsigned, top) == F.col("prefix"), "left")
+        return met.select(*rows.columns, shard.alias("shard"))
+
+    return deal, max(1, int(firsts[-1]))
+
+
+#: Flips the sign bit of a long.
+_SIGN = "(-9223372036854775807L - 1L)"
+
+
+def _halve(s: Column, key: Column, bounds: Column) -> Column:
+    """One step of the search for the last bound that is no greater than key."""
+    middle = F.shiftright(s["low"] + s["high"], 1)
+    open_ = s["high"] - s["low"] > 1
+    right = open_ & (F.element_at(bounds, middle + 1) <= key)
+    return F.struct(F.when(right, middle).otherwise(s["low"]).alias("low"), F.when(open_ & ~right, middle).otherwise(s["high"]).alias("high"))

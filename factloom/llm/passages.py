@@ -6,27 +6,29 @@
    it is full, more windows pass, and no result changes.
 2. Confirmation. Windows whose anchor passes are hashed (80 bits) and gathered per block of
    documents, a bounded range of ids. Over all blocks, each window's first document is found; a
-   window recurs in a block if the block has a later document with it.
-3. Automata. Each block gets the places of its recurring windows and reads their words from its own
-   texts. The windows' anchors are compiled with pyahocorasick into automata of at most
-   ``most_patterns`` phrases; all documents of the block are streamed through them, and the windows
-   around each phrase found are looked up among the recurring ones.
-
-A hot passage is one window row per block, however many documents repeat it, so no task sees a
-group that grows with its popularity; each document's text moves once.
+   window recurs in a block if the block has a later document with it. Each block gets the places of
+   its recurring windows, one for each window.
+3. Automata. A block reads the recurring passages, the longest runs of recurring windows, from its own
+   texts and compiles them with pyahocorasick, tile by tile: a passage is laid out in tiles of seven
+   words, so that each of its windows of 13 holds a whole tile. A tile that stands in many passages
+   says little; its windows are compiled whole instead. All documents of the block are streamed
+   through the automata. At each occurrence the words around it are compared with those of the
+   passage, and the windows that agree are the occurrences of the passage in that document.
+
+Only what an automaton finds is removed. A hot passage is one window row per block, however many
+documents repeat it, so no task sees a group that grows with its popularity; each document's text
+moves once.
 """
 
 from __future__ import annotations
 
 import hashlib
-import itertools
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +37,11 @@ from factloom.llm.common import Stash, pick, range_shards, slices, text_of, trim
 WINDOW = 13
 GRAM = 5
 SPAN = WINDOW - GRAM + 1
+#: Every window of 2 * TILE - 1 words holds one whole tile of those laid end to end.
+TILE = (WINDOW + 1) // 2
+#: A tile at more places than this is no pattern; the windows around it are.
+MOST_SAME = 16
+_NEVER = np.iinfo(np.int64).max
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _GATHER = 600_000
 
@@ -104,7 +111,7 @@ class Bloom:
 def _bloom(shared: DataFrame, most_power: int) -> Bloom:
     """The filter over the shared anchors; only its words, at most 2**(most_power - 6), are collected."""
     n = shared.count()
-    power = min(most_power, max(16, (16 * n).bit_length()))
+    power = min(most_power, max(16, (8 * n).bit_length()))
     mask = (1 << power) - 1
     places = shared.select(F.explode(F.expr(f"array(anchor & {mask}L, (shiftrightunsigned(anchor, 17) * {0x9E3779B1}L) & {mask}L)")).alias("at"))
     words = places.groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
@@ -114,7 +121,7 @@ def _bloom(shared: DataFrame, most_power: int) -> Bloom:
 
 
 def _least_per_key(h1, h2, block, doc, start):
-    """One row for each (h1, h2, block): its least document with a start there, and its greatest."""
+    """One row for each (h1, h2, block): its least document with a start there, and how far its greatest is."""
     if np.any((np.diff(block) < 0) | ((np.diff(block) == 0) & (np.diff(doc) < 0))):
         order = np.lexsort((doc, block))
         h1, h2, block, doc, start = (x[order] for x in (h1, h2, block, doc, start))
@@ -124,11 +131,11 @@ def _least_per_key(h1, h2, block, doc, start):
     new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | (block[1:] != block[:-1])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(h1)) - 1
-    return h1[first], h2[first], doc[first], start[first], doc[last]
+    return h1[first], h2[first], doc[first], start[first], doc[last] - doc[first], block[first]
 
 
 def _window_rows(bloom):
-    names = ["h1", "h2", "doc", "start", "last_doc"]
+    names = ["h1", "h2", "doc", "start", "later", "block"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, held, size = bloom.value, [], 0
@@ -155,145 +162,193 @@ def _window_rows(bloom):
     return run
 
 
-def anchor_places(h: np.ndarray) -> np.ndarray:
-    """Where the anchor of each window begins."""
-    grams = _rolled(h, GRAM, _M1) >> np.uint64(16)
-    return np.arange(len(h) - WINDOW + 1) + sliding_window_view(grams, SPAN).argmin(axis=1)
+class Coder:
+    """The words of passages as numbers from 1, all others as 0; and as strings of one width over 64
+    characters, since a small alphabet keeps automata fast."""
+
+    def __init__(self, words: set[bytes]):
+        self.code = dict(zip(words, range(1, len(words) + 1)))
+        self.width = 1
+        while 64**self.width <= len(words):
+            self.width += 1
+        at = np.arange(len(words) + 1)
+        self.names = np.stack([(at >> (6 * i)) % 64 + 48 for i in range(self.width)], axis=1).astype(np.uint8)
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter((self.code.get(w, 0) for w in words), np.int32, len(words))
+
+    def spell(self, codes: np.ndarray) -> str:
+        return self.names[np.maximum(codes, 0)].tobytes().decode("ascii")
+
+
+class Passages:
+    """The recurring passages of a block, end to end: ``codes`` of their words, and for each place the
+    ``first`` document with the window that starts there (``_NEVER`` where none that recurs starts)."""
+
+    def __init__(self, runs: list[tuple[np.ndarray, np.ndarray]]):
+        gap = np.full(TILE, -1, np.int32)
+        codes, firsts, self.spans, at = [gap], [np.full(TILE, _NEVER)], [], TILE
+        for run, first in runs:
+            codes += [run, gap]
+            firsts += [first, np.full(len(run) - len(first) + TILE, _NEVER)]
+            self.spans.append((at, len(run)))
+            at += len(run) + TILE
+        self.codes, self.first = np.concatenate(codes), np.concatenate(firsts)
+
+    def patterns(self, coder: Coder) -> tuple[list[tuple[str, int]], np.ndarray, np.ndarray]:
+        """((pattern, its number) ..., places of all patterns, where each pattern's places begin)."""
+        text, width = coder.spell(self.codes), coder.width
+        tiles: dict[str, list[int]] = {}
+        for at, n in self.spans:
+            for o in range(at, at + n - TILE + 1, TILE):
+                tiles.setdefault(text[o * width : (o + TILE) * width], []).append(o)
+        found: list[tuple[str, list[int]]] = []
+        for tile, places in tiles.items():
+            if len(places) <= MOST_SAME:
+                found.append((tile, places))
+                continue
+            near = np.unique((np.array(places)[:, None] - np.arange(TILE)).ravel())
+            found += [(text[w * width : (w + WINDOW) * width], [w]) for w in near[self.first[near] != _NEVER].tolist()]
+        places = np.array([o for _, x in found for o in x], np.int64)
+        return [(key, i) for i, (key, _) in enumerate(found)], places, np.append(0, np.cumsum([len(x) for _, x in found])).astype(np.int64)
 
 
-def _automata(patterns: list[str], most: int) -> Iterator[ahocorasick.Automaton]:
+def automata(patterns: list[tuple[str, int]], most: int) -> Iterator[ahocorasick.Automaton]:
     for at in range(0, len(patterns), most):
-        auto = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        for key in patterns[at : at + most]:
-            auto.add_word(key)
+        auto = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for key, i in patterns[at : at + most]:
+            auto.add_word(key, i)
         auto.make_automaton()
         yield auto
 
 
-_DIGITS = [chr(48 + i) for i in range(64)]
-
-
-class _Coder:
-    """The words of phrases as strings of one width over 64 characters, all others as one filler: a
-    small alphabet keeps automata fast."""
-
-    def __init__(self, words: set[bytes]):
-        self.width = 1
-        while 64**self.width <= len(words):
-            self.width += 1
-        names = ("".join(x) for x in itertools.product(_DIGITS, repeat=self.width))
-        self.filler = next(names)
-        self.code = dict(zip(words, names))
-
-    def of(self, words: list[bytes]) -> str:
-        return "".join(map(self.code.get, words, itertools.repeat(self.filler)))
+def _windows_around(stream: np.ndarray, codes: np.ndarray, q: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places in the stream, places in the passages) of the windows that agree around tiles found at q, laid at o."""
+    back, ahead, agree = np.zeros(len(q), np.int64), np.zeros(len(q), np.int64), np.ones(len(q), bool)
+    for k in range(1, TILE):
+        agree &= stream[q - k] == codes[o - k]
+        back += agree
+    agree[:] = True
+    for k in range(TILE, WINDOW):
+        agree &= stream[q + k] == codes[o + k]
+        ahead += agree
+    many = np.maximum(back + ahead - (WINDOW - TILE) + 1, 0)
+    row = np.repeat(np.arange(len(q)), many)
+    step = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) - back[row]
+    return q[row] + step, o[row] + step
 
 
 def locate(docs: list[tuple], places: tuple[np.ndarray, ...] | None, most_patterns: int) -> list[np.ndarray]:
     """For each (doc_id, words), which words lie in a window that starts in an earlier document.
 
     places: arrays of check, doc_id, start and first document of the recurring windows of these documents.
-    The automata hold the anchors of the windows, about a fifth as many phrases; at each place where
-    they find one, the windows around it are looked up among the recurring ones.
     """
     out = [np.zeros(len(words), bool) for _, words in docs]
     if places is None:
         return out
-    hashes = [_hashes(words) if len(words) >= WINDOW else None for _, words in docs]
-    windows = [None if h is None else window_hashes(h) for h in hashes]
     by_id: dict[int, list[int]] = {}
     for i, (doc_id, _) in enumerate(docs):
         by_id.setdefault(doc_id, []).append(i)
     check, place_doc, place_start, place_first = places
-    order = np.argsort(place_doc, kind="stable")
+    order = np.lexsort((place_start, place_doc))
     cuts = np.flatnonzero(np.append(True, np.diff(place_doc[order]) != 0))
-    wanted: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for run in np.split(order, cuts[1:]):
-        left = run
-        for i in by_id[int(place_doc[run[0]])]:  # of rows that repeat an id, one that has the window there
-            if not len(left) or windows[i] is None:
-                continue
-            own = (windows[i][0] & 0x7FFFFFFF).astype(np.int32)
-            here = place_start[left] < len(own)
-            here[here] = own[place_start[left[here]]] == check[left[here]]
-            if here.any():
-                wanted[i] = place_start[left[here]], place_first[left[here]]
-            left = left[~here]
-    if not wanted:
+    runs: list[tuple[list[bytes], np.ndarray]] = []
+    for left in np.split(order, cuts[1:]):
+        rows = by_id[int(place_doc[left[0]])]
+        for i in rows:
+            here = np.ones(len(left), bool)
+            if len(rows) > 1:  # of rows that repeat an id, one that has the window there
+                words = docs[i][1]
+                own = (window_hashes(_hashes(words))[0] & 0x7FFFFFFF).astype(np.int32) if len(words) >= WINDOW else np.empty(0, np.int32)
+                here = place_start[left] < len(own)
+                here[here] = own[place_start[left[here]]] == check[left[here]]
+            start, first, left = place_start[left[here]], place_first[left[here]], left[~here]
+            if len(start):
+                ends = np.append(np.flatnonzero(np.diff(start) != 1) + 1, len(start)).tolist()
+                runs += [(docs[i][1][start[a] : start[b - 1] + WINDOW], first[a:b]) for a, b in zip([0, *ends], ends)]
+    if not runs:
         return out
-    keys, firsts, phrases = [], [], set()
-    for i, (start, first) in wanted.items():
-        keys.append(windows[i][0][start])
-        firsts.append(first)
-        words = docs[i][1]
-        phrases |= {tuple(words[p : p + GRAM]) for p in np.unique(anchor_places(hashes[i])[start]).tolist()}
-    coder = _Coder({w for phrase in phrases for w in phrase})
-    keys, at = np.unique(np.concatenate(keys), return_index=True)
-    firsts = np.concatenate(firsts)[at]
-    streams = [coder.of(words) if h is not None else "" for (_, words), h in zip(docs, hashes)]
-    near = [None if h is None else np.zeros(len(h) + 1, np.int32) for h in hashes]
-    width = coder.width
-    for auto in _automata(sorted(map(coder.of, phrases)), most_patterns):
-        for (doc_id, _), stream, mark in zip(docs, streams, near):
-            if doc_id is None or not stream:
-                continue
-            ends = np.fromiter((e for e, _ in auto.iter(stream)), np.int64) + 1
-            begins = ends[ends % width == 0] // width - GRAM
-            if len(begins):
-                np.add.at(mark, np.maximum(begins - SPAN + 1, 0), 1)
-                np.add.at(mark, begins + 1, -1)
-    for i, mark in enumerate(near):
-        if mark is None or docs[i][0] is None:
-            continue
-        maybe = np.flatnonzero(np.cumsum(mark)[: len(windows[i][0])] > 0)
-        if len(maybe):
-            h = windows[i][0][maybe]
-            k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            hit = maybe[(keys[k] == h) & (firsts[k] < docs[i][0])]
-            cover = np.zeros(len(docs[i][1]) + 1, np.int32)
-            np.add.at(cover, hit, 1)
-            np.add.at(cover, hit + WINDOW, -1)
-            out[i] = np.cumsum(cover[:-1]) > 0
+    coder = Coder({w for words, _ in runs for w in words})
+    passages = Passages([(coder.of(words), first) for words, first in runs])
+    gap, parts, owners, at = np.full(WINDOW, -2, np.int32), [], [], WINDOW
+    for i, (doc_id, words) in enumerate(docs):
+        if doc_id is not None and len(words) >= WINDOW:
+            parts += [gap, coder.of(words)]
+            owners.append((at, i))
+            at += len(words) + WINDOW
+    stream = np.concatenate([*parts, gap])
+    begins = np.array([b for b, _ in owners])
+    ids = np.array([docs[i][0] for _, i in owners], np.int64)
+    patterns, laid, bounds = passages.patterns(coder)
+    spelled, width, gone = coder.spell(stream), coder.width, np.zeros(len(stream) + 1, np.int32)
+    whole = np.array([len(key) == WINDOW * width for key, _ in patterns])
+    for auto in automata(patterns, most_patterns):
+        found = np.array([x for x in auto.iter(spelled)], np.int64).reshape(-1, 2)
+        found = found[(found[:, 0] + 1) % width == 0]
+        end, which = (found[:, 0] + 1) // width, found[:, 1]
+        size = np.where(whole[which], WINDOW, TILE)
+        many = bounds[which + 1] - bounds[which]
+        row = np.repeat(np.arange(len(which)), many)
+        q = (end - size)[row]
+        o = laid[np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + bounds[which][row]]
+        tile = size[row] == TILE
+        in_doc, in_passage = _windows_around(stream, passages.codes, q[tile], o[tile])
+        in_doc, in_passage = np.append(in_doc, q[~tile]), np.append(in_passage, o[~tile])
+        owner = ids[np.searchsorted(begins, in_doc, side="right") - 1]
+        hit = np.unique(in_doc[passages.first[in_passage] < owner])
+        gone[hit] += 1
+        gone[hit + WINDOW] -= 1
+    covered = np.cumsum(gone) > 0
+    for b, i in owners:
+        out[i] = covered[b : b + len(out[i])]
     return out
 
 
 def _remove(most_patterns: int, with_text: bool):
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", *["kept_text"] * with_text]
 
-    def finish(docs: list[tuple], held: list[tuple]) -> pa.RecordBatch:
+    def finish(docs: list[tuple], times: list[int], held: list[tuple]) -> pa.RecordBatch:
         places = tuple(map(np.concatenate, zip(*held))) if held else None
         rows = []
-        for (doc_id, words), gone in zip(docs, locate(docs, places, most_patterns)):
+        for (doc_id, words), n, gone in zip(docs, times, locate(docs, places, most_patterns)):
             kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g] if gone.any() else words)
-            rows.append((doc_id, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass") if with_text else None))
+            rows += [(doc_id, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass") if with_text else None)] * n
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.string()] * with_text]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, docs, held = None, [], []
+        block, docs, times, held = None, [], [], []
+        last, same = object(), {}
         for b in slices(batches, 8192):
             blocks, tags = (b.column(c).to_numpy(zero_copy_only=False) for c in ("block", "tag"))
             cuts = np.flatnonzero(np.append(True, (np.diff(blocks) != 0) | (np.diff(tags) != 0)))
             for low, high in zip(cuts.tolist(), [*cuts[1:].tolist(), b.num_rows]):
                 if blocks[low] != block:
                     if docs:
-                        yield finish(docs, held)
-                    block, docs, held = blocks[low], [], []
+                        yield finish(docs, times, held)
+                    block, docs, times, held, last = blocks[low], [], [], [], object()
                 part = b.slice(low, high - low)
-                if tags[low]:
-                    for one in slices([part], 256):
-                        docs += zip(one.column("doc_id").to_pylist(), map(split_words, one.column("text").to_pylist()))
-                else:
+                if not tags[low]:
                     held.append(tuple(part.column(c).to_numpy(zero_copy_only=False) for c in ("check", "doc_id", "start", "first")))
+                    continue
+                for one in slices([part], 256):
+                    for doc_id, text in zip(one.column("doc_id").to_pylist(), one.column("text").to_pylist()):
+                        if doc_id != last:
+                            last, same = doc_id, {}
+                        at = same.setdefault(text, len(docs))
+                        if at == len(docs):  # equal rows are worked on once
+                            docs.append((doc_id, split_words(text)))
+                            times.append(0)
+                        times[at] += 1
         if docs:
-            yield finish(docs, held)
+            yield finish(docs, times, held)
             docs = held = None
         trim()
 
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20, most_patterns: int = 50_000, most_power: int = 28, with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20, most_patterns: int = 50_000, most_power: int = 30, with_text: bool = True) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256 and, with_text, kept_text.
 
     Each word is removed that a window covers whose 13 words also start in a document with a smaller
@@ -304,20 +359,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    stash = Stash(spark, "passages")
     known = rows.where("doc_id IS NOT NULL")
     held = known.mapInArrow(_anchor_rows, "anchor long, doc_id long")
     shared = held.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("anchor")
-    bloom = spark.sparkContext.broadcast(_bloom(Stash(spark, "passages").put(shared), most_power))
+    bloom = spark.sparkContext.broadcast(_bloom(stash.put(shared), most_power))
     sizes = rows.select("doc_id", F.octet_length("text").cast("long").alias("size"))
-    shard, count = range_shards(sizes, "doc_id", "size", block_bytes)
-    total = sizes.agg(F.sum("size")).first()[0] or 0
-    parts = max(1, -(-total // (count * block_bytes) // 2))  # more than 1 only where the histogram is at its bound
-    block = (shard * parts + F.pmod(F.xxhash64("doc_id"), F.lit(parts))).cast("long")  # a document's block follows from its id
-    windows = known.select("doc_id", block.alias("block"), "text").mapInArrow(_window_rows(bloom), "h1 long, h2 smallint, doc long, start int, last_doc long")
+    deal, count = range_shards(stash, sizes, "doc_id", "size", block_bytes)
+    blocked = deal(rows, F.xxhash64("text")).select("doc_id", F.col("shard").cast("int").alias("block"), "text")
+    windows = blocked.where("doc_id IS NOT NULL").mapInArrow(_window_rows(bloom), "h1 long, h2 smallint, doc long, start int, later long, block int")
     first = F.min("doc").over(Window.partitionBy("h1", "h2"))
-    places = windows.withColumn("first", first).where("first < last_doc")
+    places = windows.withColumn("first", first).where("first < doc + later")
     none = F.lit(None)
-    told = places.withColumnRenamed("doc", "doc_id").select(block.alias("block"), F.lit(0).alias("tag"), "doc_id", none.cast("string").alias("text"), F.col("h1").bitwiseAND(0x7FFFFFFF).cast("int").alias("check"), "start", "first")
-    texts = rows.select(block.alias("block"), F.lit(1).alias("tag"), "doc_id", "text", none.cast("int").alias("check"), none.cast("int").alias("start"), none.cast("long").alias("first"))
-    dealt = told.unionByName(texts).repartitionById(count * parts, F.col("block").cast("int")).sortWithinPartitions("block", "tag", "doc_id")
+    told = places.select("block", F.lit(0).alias("tag"), F.col("doc").alias("doc_id"), none.cast("string").alias("text"), F.col("h1").bitwiseAND(0x7FFFFFFF).cast("int").alias("check"), "start", "first")
+    texts = blocked.select("block", F.lit(1).alias("tag"), "doc_id", "text", none.cast("int").alias("check"), none.cast("int").alias("start"), none.cast("long").alias("first"))
+    # a partition holds eight blocks, or more where that would be more partitions than the session wants
+    most = max(200, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    per = max(8, -(-count // most))
+    dealt = told.unionByName(texts).repartitionById(-(-count // per), F.expr(f"block div {per}").cast("int")).sortWithinPartitions("block", "tag", "doc_id")
     return dealt.mapInArrow(_remove(most_patterns, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)

@@ -170,10 +170,11 @@ def write_warc(pages: DataFrame, root: str, layout: Layout = Layout(), id_col: s
     large = digests.where(F.col("payload_bytes") >= REVISIT_LEAST)
     groups = large.groupBy("digest").agg(F.max("page_id").alias("refers"), F.count("*").alias("n")).where("n > 1").select("digest", "refers")
     notes = large.join(groups, "digest").select("page_id", "digest", "refers").distinct()
-    shard, count = range_shards(digests, "page_id", "payload_bytes", layout.shard_bytes)
+    deal, count = range_shards(stash, digests, "page_id", "payload_bytes", layout.shard_bytes)
     none = F.lit(None)
-    noted = notes.select(shard.alias("shard"), "page_id", F.lit(0).alias("tag"), none.cast("string").alias("url"), none.cast("string").alias("html"), "digest", "refers")
-    bodies = rows.select(shard.alias("shard"), "page_id", F.lit(1).alias("tag"), "url", F.col("html").cast("string").alias("html"), none.cast("string").alias("digest"), none.cast("long").alias("refers"))
+    # rows that share an id and a payload share a shard with their note
+    noted = deal(notes, F.xxhash64("digest")).select("shard", "page_id", F.lit(0).alias("tag"), none.cast("string").alias("url"), none.cast("string").alias("html"), "digest", "refers")
+    bodies = deal(rows, F.xxhash64(F.sha1(payload))).select("shard", "page_id", F.lit(1).alias("tag"), "url", F.col("html").cast("string").alias("html"), none.cast("string").alias("digest"), none.cast("long").alias("refers"))
     dealt = noted.unionByName(bodies).repartitionById(count, F.col("shard").cast("int")).sortWithinPartitions("shard", "page_id", "tag", F.xxhash64("html"), "url")
     files = f"{root}/data"
     dealt.mapInArrow(_writer(files, layout), MANIFEST_SCHEMA).write.parquet(f"{root}/manifest")
