@@ -5,8 +5,9 @@ two levels: the number of tokens, then the first ``depth`` tokens; a leaf holds
 in both. Within a leaf a token is a constant of its position if lines of at least ``min_docs``
 documents have it there, and a variable field otherwise, which is generalised to ``<*>`` as well. A
 line's template is its leaf and its constants. Templates of which at least ``similar`` of the tokens
-are constant and that occur in at least ``min_docs`` documents recur, and their lines are dropped,
-but for those of the document with the least id, so that of a text with many copies one stays whole.
+are constant, or which are one masked line with a constant, and that occur in at least ``min_docs``
+documents recur, and their lines are dropped, but for those of the document with the least id, so that
+of a text with many copies one stays whole. Lines of numbers alone have no constant and stay.
 
 Lines go through as hashes: texts move twice, once for one representative of each masked line that
 may recur, once to rebuild the documents. All counts combine before they are shuffled, and all joins
@@ -22,7 +23,6 @@ from factloom.llm.common import SPACE, Stash, text_of
 
 DEPTH = 3
 MIN_DOCS = 10
-MIN_TOKENS = 4
 SIMILAR = 0.6
 _BLANK = " \t\n\x0b\f\r"
 _FIELD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*[0-9][^\x20\x09-\x0D]*"
@@ -43,10 +43,10 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _lines(rows: DataFrame) -> DataFrame:
-    """(doc_id, text_key, pos, leaf, line_key); leaf is null where a line is too short to be judged."""
+    """(doc_id, text_key, pos, leaf, line_key); leaf is null where a line is blank."""
     cut = rows.select("doc_id", "text_key", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     parsed = cut.select("doc_id", "text_key", "pos", masked_tokens(F.col("line")).alias("m"))
-    judged = F.size("m") >= MIN_TOKENS
+    judged = F.element_at("m", 1) != ""
     leaf = F.when(judged, F.xxhash64(F.size("m"), F.slice("m", 1, DEPTH)))
     return parsed.select("doc_id", "text_key", "pos", leaf.alias("leaf"), F.when(judged, F.xxhash64("m", F.lit(1))).alias("line_key"))
 
@@ -74,9 +74,10 @@ def recurring(stash: Stash, rows: DataFrame, lines: DataFrame, min_docs: int, si
     spelled = tokens.select("leaf", "line_key", "docs", F.size("m").alias("n"), F.posexplode("m").alias("i", "token"))
     often = spelled.where("token != '<*>'").groupBy("leaf", "i", "token").agg(F.sum("docs").alias("s")).where(F.col("s") >= min_docs)
     solid = often.select("leaf", "i", "token", F.lit(True).alias("solid"))
-    matched = spelled.join(solid, ["leaf", "i", "token"], "left").select("leaf", "line_key", "n", F.when(F.col("solid"), F.struct("i", "token")).alias("c"))
-    shaped = matched.groupBy("leaf", "line_key").agg(F.first("n").alias("n"), F.array_sort(F.collect_list("c")).alias("c"))
-    likely = stash.put(shaped.where(F.size("c") >= F.col("n") * similar).select("leaf", "line_key", F.xxhash64("leaf", "c").alias("template")))
+    matched = spelled.join(solid, ["leaf", "i", "token"], "left").select("leaf", "line_key", "docs", "n", F.when(F.col("solid"), F.struct("i", "token")).alias("c"))
+    shaped = matched.groupBy("leaf", "line_key").agg(F.first("n").alias("n"), F.first("docs").alias("docs"), F.array_sort(F.collect_list("c")).alias("c"))
+    alike = (F.size("c") >= F.col("n") * similar) | ((F.col("docs") >= min_docs) & (F.size("c") > 0))
+    likely = stash.put(shaped.where(alike).select("leaf", "line_key", F.xxhash64("leaf", "c").alias("template")))
     of_docs = held.join(likely, ["leaf", "line_key"]).select("template", "doc_id").distinct()
     often = of_docs.groupBy("template").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where(F.col("n") >= min_docs)
     return likely.join(often, "template").select("leaf", "line_key", "first_doc")
@@ -85,10 +86,11 @@ def recurring(stash: Stash, rows: DataFrame, lines: DataFrame, min_docs: int, si
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, similar: float = SIMILAR) -> DataFrame:
     """(row, text, n_lines, n_dropped): each row of docs as a struct, and its text without dropped lines.
 
-    Lines are those between newlines; lines of fewer than four tokens stay. Null and empty texts have
-    one empty line, so a null text becomes empty. Rows without an id count as one document; repeated
-    rows too, and they get the same result. Documents that lose all lines stay, with an empty text.
-    An empty table gives an empty result.
+    Lines are those between newlines; blank lines stay. Null and empty texts have one empty line, so
+    a null text becomes empty. Rows without an id count as one document; repeated rows too, and they
+    get the same result. Documents that lose all lines stay, with an empty text. Very long texts and
+    lines go through whole, at a cost in proportion to their length. Extra columns stay in the row's
+    struct, so their names cannot clash. An empty table gives an empty result.
     """
     stash = Stash(docs.sparkSession, "lines")
     rows = _rows(docs, id_col, text_col)

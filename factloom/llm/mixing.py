@@ -75,7 +75,9 @@ def weights(words: DataFrame, repeats: float = REPEATS, entropy: float = ENTROPY
 
 
 def plan(blocks: DataFrame, mix: DataFrame, seed: str = "mix") -> DataFrame:
-    """(source, block, copy, place, weight, passes): each pass over each block that the budget pays for.
+    """(source, block, copy, place, width, weight, passes): each pass over each block that the budget pays for.
+
+    A block lies around its place and is as wide as any other of its source.
 
     blocks: (source, block, words). Passes before the last are whole; the last, of share f of the
     source's words, takes blocks in hash order while those before it hold fewer than f of them.
@@ -89,8 +91,8 @@ def plan(blocks: DataFrame, mix: DataFrame, seed: str = "mix") -> DataFrame:
     taken = ordered.withColumn("before", F.coalesce(F.sum("words").over(within), F.lit(0)))
     kept = taken.where((F.col("copy") <= F.floor("passes")) | (F.col("before") < (F.col("passes") - F.floor("passes")) * F.col("of")))
     order = Window.partitionBy("source").orderBy("copy", "h", "block")
-    rank = (F.row_number().over(order) - 0.5) / F.count("*").over(Window.partitionBy("source"))
-    return kept.select("source", "block", "copy", rank.alias("place"), "weight", "passes")
+    many = F.count("*").over(Window.partitionBy("source"))
+    return kept.select("source", "block", "copy", ((F.row_number().over(order) - 0.5) / many).alias("place"), (1 / many).alias("width"), "weight", "passes")
 
 
 def _parts(docs: DataFrame, id_col: str, text_col: str, source_col: str, blocks: int):
@@ -126,12 +128,20 @@ def mix_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", parts: int | None = None, **options) -> DataFrame:
-    """The mixed corpus, with the columns of docs, dealt to partitions and sorted in mixture order."""
+    """The mixed corpus, with the columns of docs, dealt to partitions and sorted in mixture order.
+
+    Documents of a block are spread over its width by a hash of id and text, so that a source that
+    holds most of the corpus fills as many partitions as its share asks for. Nulls, repeated rows and
+    empty tables are as in ``mix_ids``; columns keep their names, also where they are ours; long texts
+    are moved whole.
+    """
     blocks = options.get("blocks", BLOCKS)
     _, chosen = mixture(docs, id_col, text_col, source_col, **options)
     source, block, _ = _parts(docs, id_col, text_col, source_col, blocks)
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), source.alias("mix_source"), block.alias("mix_block"))
     met = rows.join(chosen, (F.col("block") == F.col("mix_block")) & F.col("source").eqNullSafe(F.col("mix_source")))
     n = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = met.select("row", "place", "copy").repartitionById(n, F.least(F.floor(F.col("place") * n), F.lit(n - 1)).cast("int"))
-    return dealt.sortWithinPartitions("place", "copy").select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    within = F.pmod(F.xxhash64(F.col(f"row.`{id_col}`"), F.col(f"row.`{text_col}`"), F.col("copy")), F.lit(1 << 20)) / F.lit(float(1 << 20)) - 0.5
+    spot = met.select("row", "copy", (F.col("place") + within * F.col("width")).alias("spot"))
+    dealt = spot.repartitionById(n, F.greatest(F.lit(0), F.least(F.floor(F.col("spot") * n), F.lit(n - 1))).cast("int"))
+    return dealt.sortWithinPartitions("spot", "copy").select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))

@@ -1,14 +1,17 @@
 """Mixture-controlled packing: deficit round-robin over source queues, in closed form.
 
-Every source is a queue of its documents' tokens, cut into quanta of ``quantum`` tokens. A queue
-with weight w earns credit at rate w; its j-th quantum is due when its credit reaches j + 1/2
-quanta, that is at virtual time (2j + 1) / w, and quanta are served in order of that time (ties by
-queue). This is deficit round-robin in its limit: at any moment every queue's deficit - what it is
-owed less what it got - stays within one quantum, it is carried from window to window without reset,
-and an exhausted queue leaves its share to the others. Because due times are known in advance, the
-number of tokens served before any quantum is a sum over queues and needs no loop over windows, so
-partitions pack independently and still continue each other's deficits.
-
+Every source is a queue of its documents' tokens. A round grants a queue with share w of the mixture
+``window * w`` tokens of credit, so that all queues together get one window a round; a queue serves
+whole documents while its credit lasts and carries the rest, its deficit, to the next round. Documents
+longer than a window are served in window-sized pieces, each like a document. A queue that is not
+empty has earned ``r`` rounds of credit after round r, whatever it served, so the document that ends at
+token e of its queue goes in round ceil(e / credit): that is deficit round-robin without a loop, and
+every partition can tell the round of its documents by itself. Deficits carry over windows and over
+partitions, no queue is ever more than one document behind its share, and an exhausted queue leaves
+its share to the others.
+
+Within a round queues serve in the order of their names. The tokens before each (round, queue) come
+from a prefix sum in two levels, over groups of rounds and then within them; sources may be any number.
 Windows are the served stream cut every ``window`` tokens: only the last one can be short.
 
 Texts are tokenised once. Ids are written to the shared folder with each document's place in its
@@ -29,13 +32,10 @@ from pyspark.sql import functions as F
 from factloom.llm.common import Stash, pick, slices, text_of
 
 WINDOW = 4096
-QUANTUM = 256
 END = 2
-#: More sources than this share queues by hash: the mixture gets coarser, no document is lost.
-MOST_QUEUES = 512
+#: Rounds of one group of the prefix sum.
+GROUP = 2048
 _CACHE = 1_000_000
-#: Largest weight: times the odd numbers to 2**38 (7e13 tokens a queue) it stays within 63 bits.
-_WEIGHT = 1 << 24
 
 
 class WordTokenizer:
@@ -134,65 +134,57 @@ def _tokenise(tokenizer_path: str):
     return run
 
 
-def served_before(totals: np.ndarray, weights: np.ndarray, queue: np.ndarray, j: np.ndarray, quantum: int) -> np.ndarray:
-    """Tokens served, over all queues, before quantum j of queue ``queue`` (arrays of one length).
-
-    Weights are positive integers, so due times are compared exactly: queue s has served the quanta
-    i with (2i + 1) * w_q < (2j + 1) * w_s, or equal times and s before the queue.
-    """
-    out = np.zeros(len(j), np.int64)
-    own = weights[queue]
-    for s, (total, w) in enumerate(zip(totals.tolist(), weights.tolist())):
-        reach = (2 * j + 1) * w + np.where(s < queue, own, own - 1)
-        quanta = np.where(s == queue, j, reach // (2 * own))
-        out += np.minimum(total, quanta * quantum)
-    return out
-
-
-def layout(start: np.ndarray, n: np.ndarray, queue: np.ndarray, totals: np.ndarray, weights: np.ndarray, quantum: int, window: int) -> list[tuple[int, int, int, int]]:
-    """(row, place in the document, length, place in the stream) of the pieces of each row, whose
-    tokens are start to start + n of its queue."""
-    first, last = start // quantum, (start + n - 1) // quantum
-    many = last - first + 1
-    row = np.repeat(np.arange(len(n)), many)
-    j = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + first[row]
-    base = served_before(totals, weights, queue[row], j, quantum)
-    low = np.maximum(start[row], j * quantum)
-    size = np.minimum((start + n)[row], (j + 1) * quantum) - low
-    pieces: list[tuple[int, int, int, int]] = []
-    for r, at, place, left in zip(row.tolist(), (base + low - j * quantum).tolist(), (low - start[row]).tolist(), size.tolist()):
-        while left:
-            take = min(left, window - at % window)
-            if pieces and pieces[-1][0] == r and pieces[-1][3] + pieces[-1][2] == at and at % window:
-                pieces[-1] = (r, pieces[-1][1], pieces[-1][2] + take, pieces[-1][3])
-            else:
-                pieces.append((r, place, take, at))
-            at, place, left = at + take, place + take, left - take
-    return pieces
-
-
-def _cut(totals: np.ndarray, weights: np.ndarray, quantum: int, window: int, with_ids: bool):
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue", *["ids"] * with_ids]
+def _cut(window: int, with_ids: bool):
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", *["ids"] * with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 256):
+        for b in slices(batches):
             if not b.num_rows:
                 continue
-            queue, at, n = (b.column(c).to_numpy(zero_copy_only=False) for c in ("queue", "queue_at", "n"))
-            ids = [np.frombuffer(x, "<u2").astype("<u4") for x in b.column("ids").to_pylist()]
-            rows, owner = [], []
-            for r, start, length, place in layout(at, n, queue, totals, weights, quantum, window):
-                piece = ids[r][start : start + length].tobytes()
-                rows.append((start, length, zlib.crc32(piece), len(ids[r]), place // window, place % window, int(queue[r]), piece))
-                owner.append(r)
-            cols = list(zip(*rows))
+            start, tokens, place = (b.column(c).to_numpy(zero_copy_only=False) for c in ("start", "doc_tokens", "place"))
+            ids = b.column("ids").to_pylist()
+            size = np.array([len(x) // 2 for x in ids], np.int64)
+            many = (place + size - 1) // window - place // window + 1
+            row = np.repeat(np.arange(len(size)), many)
+            sequence = place[row] // window + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            low = np.maximum(place[row], sequence * window)
+            high = np.minimum((place + size)[row], (sequence + 1) * window)
+            pieces = [
+                np.frombuffer(ids[r], "<u2", n, 2 * at).astype("<u4").tobytes()
+                for r, at, n in zip(row.tolist(), (low - place[row]).tolist(), (high - low).tolist())
+            ]
+            columns = [start[row] + low - place[row], high - low, np.fromiter(map(zlib.crc32, pieces), np.int64), tokens[row], sequence, low - sequence * window]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").take(pa.array(owner)), *(pa.array(c, pa.int64()) for c in cols[:7]), *[pa.array(cols[7], pa.binary())] * with_ids], names=names
+                [b.column("doc_id").take(pa.array(row)), *(pa.array(c, pa.int64()) for c in columns), b.column("source").take(pa.array(row)), *[pa.array(pieces, pa.binary())] * with_ids], names=names
             )
 
     return run
 
 
+def rounds(tokens: DataFrame, placed: DataFrame, window: int) -> DataFrame:
+    """(doc_id, queue, start, doc_tokens, at, size, round, ids): what is served at once, by its queue's round.
+
+    start is the place in the document and at that in the queue.
+    """
+    each = tokens.join(placed, ["queue", "part"])
+    cut = each.select("*", F.explode(F.expr(f"sequence(0L, (n - 1) div {window})")).alias("i"))
+    start = F.col("i") * window
+    size = F.least(F.lit(window), F.col("n") - start)
+    at = F.col("before") + F.col("queue_pos") + start
+    ids = F.expr(f"substring(ids, cast(i * {2 * window} + 1 as int), {2 * window})")
+    return cut.select("doc_id", "queue", start.alias("start"), F.col("n").alias("doc_tokens"), at.alias("at"), size.alias("size"), F.ceil((at + size) / F.col("credit")).alias("round"), ids.alias("ids"))
+
+
+def bases(served: DataFrame) -> DataFrame:
+    """(round, queue, base): what to add to a place in the queue for the place in the stream."""
+    sums = served.groupBy("round", "queue").agg(F.sum("size").alias("size"), F.min("at").alias("low"))
+    grouped = sums.withColumn("g", F.expr(f"round div {GROUP}"))
+    earlier = lambda w: F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = grouped.groupBy("g").agg(F.sum("size").alias("size")).select("g", earlier(Window.orderBy("g")).alias("first"))
+    within = grouped.select("round", "queue", "low", "g", earlier(Window.partitionBy("g").orderBy("round", "queue")).alias("inner"))
+    return within.join(groups, "g").select("round", "queue", (F.col("first") + F.col("inner") - F.col("low")).alias("base"))
+
+
 def pack(
     docs: DataFrame,
     tokenizer_path: str,
@@ -200,44 +192,36 @@ def pack(
     text_col: str = "text",
     source_col: str = "source",
     targets: dict[str, float] | None = None,
-    quantum: int = QUANTUM,
     window: int = WINDOW,
     with_ids: bool = True,
 ) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue and, with_ids, ids.
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source and, with_ids, ids.
 
     targets gives token proportions by source (a source that is missing gets the least weight
     given); by default the proportions are those of the corpus, so that all queues end together.
     Ids come as little-endian 32-bit values. Null texts count as empty and have the end id alone;
     null sources form a queue of their own; null ids and repeated rows are packed like any other;
-    an empty table gives an empty result.
+    a very long text is served a window at a time; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    stash = Stash(spark, "packing")
-    rows = pick(docs, doc_id=id_col, text=text_col, source=source_col).select("doc_id", text_of().alias("text"), F.col("source").cast("string").alias("source"))
-    names = [r.source for r in rows.select("source").distinct().orderBy(F.col("source").asc_nulls_first()).limit(MOST_QUEUES + 1).collect()]
-    if len(names) <= MOST_QUEUES:
-        known = spark.createDataFrame([(s, i) for i, s in enumerate(names)], "source string, queue int") if names else None
-        queued = rows.join(F.broadcast(known), rows.source.eqNullSafe(known.source)).drop(known.source) if names else rows.withColumn("queue", F.lit(0))
-    else:
-        queued = rows.withColumn("queue", F.pmod(F.xxhash64("source"), F.lit(MOST_QUEUES)).cast("int"))
+    stash = Stash(docs.sparkSession, "packing")
+    queue = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
+    rows = pick(docs, doc_id=id_col, text=text_col, source=source_col).select("doc_id", text_of().alias("text"), queue.alias("queue"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    parted = queued.select("doc_id", "text", F.col("queue").cast("long").alias("queue"), F.spark_partition_id().cast("long").alias("part"))
-    tokens = stash.put(parted.mapInArrow(_tokenise(tokenizer_path), f"doc_id {kind}, queue long, part long, queue_pos long, n long, ids binary"))
+    parted = rows.withColumn("part", F.spark_partition_id().cast("long"))
+    tokens = stash.put(parted.mapInArrow(_tokenise(tokenizer_path), f"doc_id {kind}, queue string, part long, queue_pos long, n long, ids binary"))
     sums = stash.put(tokens.groupBy("queue", "part").agg(F.sum("n").alias("total")))
-    totals = {r.queue: r.total for r in sums.groupBy("queue").agg(F.sum("total").alias("total")).collect()}
-    size = max(totals, default=0) + 1
-    total = np.array([totals.get(q, 0) for q in range(size)], np.int64)
-    weights = np.array([max(1, x * _WEIGHT // max(1, int(total.max()))) for x in total.tolist()], np.int64)
+    weighed = sums.groupBy("queue").agg(F.sum("total").cast("double").alias("weight"))
     if targets is not None:
-        if len(names) > MOST_QUEUES:
-            raise ValueError(f"targets need at most {MOST_QUEUES} sources")
-        least = min(targets.values())
-        weights = np.array([max(1, round(targets.get(s, least) / max(targets.values()) * _WEIGHT)) for s in names], np.int64)[:size]
+        given = docs.sparkSession.createDataFrame([("=" + s, float(w)) for s, w in targets.items()], "queue string, given double")
+        weighed = weighed.join(given, "queue", "left").select("queue", F.coalesce("given", F.lit(float(min(targets.values())))).alias("weight"))
+    total = weighed.agg(F.sum("weight")).first()[0]
+    credits = weighed.select("queue", (F.lit(float(window)) * F.col("weight") / F.lit(total or 1.0)).alias("credit"))
     before = F.coalesce(F.sum("total").over(Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = sums.select("queue", "part", before.alias("before"))
-    ready = tokens.join(placed, ["queue", "part"]).select("doc_id", "queue", (F.col("before") + F.col("queue_pos")).alias("queue_at"), "n", "ids")
+    placed = stash.put(sums.select("queue", "part", before.alias("before")).join(credits, "queue"))
+    served = rounds(tokens, placed, window)
+    source = F.when(F.col("queue") != "", F.expr("substring(queue, 2)")).alias("source")
+    ready = served.join(stash.put(bases(served)), ["round", "queue"]).select("doc_id", "start", "doc_tokens", (F.col("at") + F.col("base")).alias("place"), source, "ids")
     return ready.mapInArrow(
-        _cut(total, weights, quantum, window, with_ids),
-        f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue long" + ", ids binary" * with_ids,
+        _cut(window, with_ids),
+        f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string" + ", ids binary" * with_ids,
     )

@@ -86,7 +86,7 @@ WITH line AS (
 ), parsed AS (
   SELECT doc_id, pos, line, list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS m FROM line
 ), judged AS (
-  SELECT *, list_prepend(CAST(len(m) AS VARCHAR), m[1:3]) AS leaf FROM parsed WHERE len(m) >= 4
+  SELECT *, list_prepend(CAST(len(m) AS VARCHAR), m[1:3]) AS leaf FROM parsed WHERE len(m) > 0
 ), forms AS (
   SELECT leaf, m, count(DISTINCT doc_id) AS docs FROM judged GROUP BY leaf, m
 ), spelled AS (
@@ -94,10 +94,10 @@ WITH line AS (
 ), solid AS (
   SELECT leaf, i, token FROM spelled WHERE token <> '<*>' GROUP BY leaf, i, token HAVING sum(docs) >= 10
 ), shaped AS (
-  SELECT s.leaf, s.m, list(CAST(s.i AS VARCHAR) || ' ' || s.token ORDER BY s.i) FILTER (WHERE d.token IS NOT NULL) AS c
-  FROM spelled s LEFT JOIN solid d ON s.leaf = d.leaf AND s.i = d.i AND s.token = d.token GROUP BY s.leaf, s.m
+  SELECT s.leaf, s.m, s.docs, list(CAST(s.i AS VARCHAR) || ' ' || s.token ORDER BY s.i) FILTER (WHERE d.token IS NOT NULL) AS c
+  FROM spelled s LEFT JOIN solid d ON s.leaf = d.leaf AND s.i = d.i AND s.token = d.token GROUP BY s.leaf, s.m, s.docs
 ), likely AS (
-  SELECT leaf, m, c FROM shaped WHERE len(c) >= len(m) * 0.6
+  SELECT leaf, m, c FROM shaped WHERE len(c) >= len(m) * 0.6 OR docs >= 10 AND len(c) > 0
 ), often AS (
   SELECT l.leaf, l.c, min(j.doc_id) AS first_doc FROM likely l JOIN judged j ON j.leaf = l.leaf AND j.m = l.m
   GROUP BY l.leaf, l.c HAVING count(DISTINCT j.doc_id) >= 10

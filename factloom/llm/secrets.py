@@ -29,6 +29,7 @@ _CUE = re.compile(r"password|passwd|secret|token|api_?key", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _WEAK_ID = re.compile(r"\b(?:client|account|user|access|app|tenant|key)_?-?id[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9._@-]{4,})", re.I | re.A)
+_ID_CUE = re.compile(r"id[\"']?\x20*[:=]", re.I | re.A)
 _WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])", re.A)
 _ENDPOINT = re.compile(r"\b(?:https?://|jdbc:[a-z0-9]+://|(?:host|endpoint|server|url)[\"']?\x20*[:=]\x20*[\"']?)[A-Za-z0-9.-]+\.[A-Za-z]{2,}(?::\d{2,5})?[A-Za-z0-9/_.?=&%-]*", re.I | re.A)
 _BLANK = re.compile(r"\n[\x20\t\r]*\n")
@@ -59,7 +60,7 @@ def _random_looking(word: str) -> bool:
 
 def weak_candidates(text: str) -> list[tuple[int, int, int]]:
     found = []
-    if "id" in text or "ID" in text or "Id" in text:
+    if _ID_CUE.search(text):
         found += [(m.start(), 3, m.end()) for m in _WEAK_ID.finditer(text)]
     # the value of an identifier is no secret as well
     starts, bare = [s for s, _, _ in found], []

@@ -11,7 +11,7 @@ SCHEMA = "doc_id long, text string, pos string, leaf string"
 def plain(rows, min_docs=10, similar=0.6):
     def parse(line):
         m = ["<*>" if re.search("[0-9]", w) else w for w in re.findall(r"[^\x20\x09-\x0D]+", line)]
-        return tuple(m) if len(m) >= 4 else None
+        return tuple(m) or None
 
     docs_of = defaultdict(set)
     for d, t, *_ in rows:
@@ -26,7 +26,7 @@ def plain(rows, min_docs=10, similar=0.6):
     template, members = {}, defaultdict(set)
     for m, ds in docs_of.items():
         c = tuple((i, w) for i, w in enumerate(m) if support[len(m), m[:3], i, w] >= min_docs and w != "<*>")
-        if len(c) >= len(m) * similar:
+        if len(c) >= len(m) * similar or (c and len(ds) >= min_docs):
             template[m] = (len(m), m[:3], c)
             members[template[m]] |= ds
     out = []
@@ -54,6 +54,8 @@ def corpus():
             lines.append("All rights  reserved by the owner of this text.")
         if i % 5 == 0:
             lines.append(f"user zed{word(1)} logged in from {word(1)} at noon today")
+        if i % 2:
+            lines += [f"Page {i} of 90", "Thank you", f"{i} 2024"]
         rows.append((200 - i, "\n".join(lines), "x", None))
     rows += [(500 + i, "one line of a copied text here\nand its second line is here too", "x", "y") for i in range(30)]
     rows += [(None, "All rights reserved by the owner of this text.", None, None), (7, None, "x", "y"), (8, "", None, None), (9, "\n\n \n", "x", "y"), (9, "All rights reserved by the owner of this text.\nmine", "x", "y"), (600, "x" * 100_000 + "\n" + "y 1 " * 50_000, "x", "y")]
@@ -73,6 +75,8 @@ def test_one_copy_stays_whole_and_variable_fields_are_generalised(spark):
     out = lt.filter_lines(df)
     assert out.columns == df.columns
     texts = {r.doc_id: r.text for r in out.collect()}
+    assert sum("Thank you" in t for t in texts.values()) == 1 and sum("Page" in t for t in texts.values()) == 1, "short lines and lines of one masked form"
+    assert sum(" 2024" in t for t in texts.values()) == 40, "numbers alone stay"
     assert texts[500] == rows[80][1] and texts[501] == ""
     assert sum("logged in from host" in (t or "") for t in texts.values()) <= 2
 
