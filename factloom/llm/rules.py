@@ -110,8 +110,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_
     """One row per document: the counts, base_failed, the posterior and kept.
 
     Null and empty texts have zero words, fail the base and are not kept. Null ids and repeated
-    rows pass through with a row each. On an empty table nothing is estimated and the result is
-    empty. The histogram of votes and its posteriors have at most 3**8 rows, so they are broadcast.
+    rows pass through with a row each; a posterior equal to keep_at is kept. Long texts are counted
+    whole, and extra columns are not read, so their names cannot clash. On an empty table nothing is
+    estimated and the result is empty. The histogram of votes and its posteriors have at most 3**8 rows, so they are broadcast.
     """
     stash = Stash(docs.sparkSession, "rules")
     rows = stash.put(_measured(docs, id_col, text_col))

@@ -37,7 +37,8 @@ def expectation_maximisation(votes: np.ndarray, counts: np.ndarray, good_share:
     Each rule that votes has its own chance to be right on good and on bad documents; an abstention
     says nothing, so that short texts, on which most rules abstain, are not held against their
     authors. A prior that rules are right four times in five, worth two in a hundred of the
-    documents, keeps the classes from changing places.
+    documents, keeps the classes from changing places. good_share starts the classes and weighs as
+    much as that prior, so with many documents the votes decide the share of good ones.
     """
     n, (_, m) = counts.sum(), votes.shape
     if not n:

@@ -1,9 +1,12 @@
+import math
 import re
+from collections import Counter
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from factloom.llm import rules
+from factloom.llm import rules, weak
 
 SCHEMA = "doc_id long, text string, votes long"
 
@@ -59,3 +62,47 @@ def test_posterior_agrees_with_held_out_labels(spark):
     right = sum(r.kept == bool(r.quality) for r in pairs)
     assert right / len(pairs) >= 0.97, right / len(pairs)
     assert all(r.kept for r in pairs if r.quality == 1)
+
+
+def plain_posteriors(votes, good_share=0.85, rounds=100):
+    """Expectation-maximisation document by document, with plain loops."""
+    m, n = len(votes[0]), len(votes)
+    strength = 0.02 * n + 1
+    post = [1 / (1 + math.exp(-1.5 * sum(v) - math.log(good_share / (1 - good_share)))) for v in votes]
+    for _ in range(rounds):
+        share = {y: (sum(p if y else 1 - p for p in post) + strength * (good_share if y else 1 - good_share)) / (n + strength) for y in (0, 1)}
+        says = {}
+        for j in range(m):
+            for y in (0, 1):
+                held = {s: strength * (0.8 if (s > 0) == (y == 1) else 0.2) + sum((p if y else 1 - p) for v, p in zip(votes, post) if v[j] == s) for s in (-1, 1)}
+                for s in held:
+                    says[j, y, s] = held[s] / sum(held.values())
+        like = lambda v, y: math.log(share[y]) + sum(math.log(says[j, y, s]) for j, s in enumerate(v) if s)
+        post = [1 / (1 + math.exp(like(v, 0) - like(v, 1))) for v in votes]
+    return post
+
+
+def test_kept_against_plain_expectation_maximisation(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect() + [(10**6, "word " * 200_000), (10**6 + 1, "A long text goes on. " * 5 + "\n" + " ".join("w%d" % i for i in range(50_000)))]
+    found = [rules.measure(t) for _, t in rows]
+    votes = [tuple(int(x) for x in weak.decode(np.array([f[5]]), len(rules.RULES))[0]) for f in found]
+    post = plain_posteriors(votes)
+    want = {}
+    for (d, t), f, p in zip(rows, found, post):
+        n, _, _, _, again = plain(t) if len(t or "") < 20_000 else f[:5]
+        failed = n < 10 or 100 * again > 20 * n
+        want[d] = (failed, not failed and p >= 0.5)
+    got = rules.judge(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.base_failed, r.kept) for r in got} == want
+    assert len({k for _, k in want.values()}) == 2 and Counter(f for f, _ in want.values())[True] > 1
+
+
+def test_the_prior_on_good_documents_gives_way_to_votes():
+    rng = np.random.default_rng(3)
+    for truth in (0.3, 0.6):
+        y = rng.random(20_000) < truth
+        right, says = rng.random((20_000, 6)) < 0.85, rng.random((20_000, 6)) < 0.8
+        votes = np.where(says, np.where(right == y[:, None], 1, -1), 0)
+        codes, at, n = np.unique([weak.encode(v) for v in votes], return_inverse=True, return_counts=True)
+        post, _ = weak.expectation_maximisation(weak.decode(codes, 6), n.astype(float))
+        assert ((post[at] > 0.5) == y).mean() > 0.95 and abs(post[at].mean() - truth) < 0.05

@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -71,3 +72,29 @@ def test_long_secrets_and_parts_inside_a_url():
     url = "https://api.acme.example/v1?app_id=acme7731&sig=q8ZpL0vRt2Ws6Ydn4Kfg9B"
     shown = secrets.scan(url)[4]
     assert "weak_id:" in shown, "an endpoint does not swallow the parts inside it"
+
+
+def test_identifiers_in_any_case():
+    for name in ("clientID", "clientiD", "CLIENTid", "client_Id"):
+        assert secrets.scan(f"{name}: acme-7731 and q8ZpL0vRt2Ws6Ydn4Kfg9B")[5] == 2
+
+
+def test_planted_parts_are_found_and_lone_ones_left_alone(spark):
+    rng = np.random.default_rng(6)
+    letters = list("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789")
+    word = lambda n: " ".join("w%d" % x for x in rng.integers(0, 999, n))
+
+    def secret():
+        return "a7B" + "".join(rng.choice(letters, int(rng.integers(20, 90))))
+
+    rows, want = [], {}
+    for i in range(600):
+        ident, end = f"client_id: acme-{i}", f"https://api{i}.acme.example/v1"
+        kind, head, gap = i % 6, word(int(rng.integers(0, 200))), word(int(rng.integers(0, 30)))
+        text = {0: f"{ident} {gap} {secret()}", 1: f"{end} {gap} {secret()}", 2: f"{ident} {gap} {end}", 3: secret(), 4: f"{ident} {word(200)} {secret()}", 5: f"{end}\n\n{ident}"}[kind]
+        rows.append((i, f"{head} {text} {word(20)}"))
+        want[i] = 2 if kind < 2 else int(kind == 2)  # an identifier completes an endpoint, not the reverse
+    got = {r.doc_id: r.n_linked for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    planted = [i for i, n in want.items() if n]
+    assert sum(got[i] >= want[i] for i in planted) / len(planted) >= 0.98, "recall of planted pairs"
+    assert all(got[i] == 0 for i, n in want.items() if not n), "no false links"
