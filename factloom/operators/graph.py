@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.session import written
+
 
 def provenance_edges(canonical: DataFrame) -> DataFrame:
     """(src, dst, type): evidence to claims it supports or opposes, parents to claims derived from them."""
@@ -33,31 +35,24 @@ def cycle_edges(edges: DataFrame, rounds: int = 10_000) -> DataFrame:
     """The edges that lie on cycles or between them; empty for an acyclic graph.
 
     Each round drops edges out of nodes without predecessors and into nodes without successors.
-    Rounds are at most the longest chain's length over two; every fourth step is written to the
-    checkpoint folder, which executors share, so that plans stay short and survive lost executors.
+    Rounds are at most a quarter of the longest chain's length; more than ``rounds`` is an error and
+    never a wrong answer. Every fourth step is written to the checkpoint folder, which executors share,
+    so that plans stay short and survive lost executors.
     """
-    spark = edges.sparkSession
-    now = edges.select("src", "dst").distinct()
-    if not spark.sparkContext.getCheckpointDir():
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="factloom-"))
-    now = now.checkpoint()
+    now = written(edges.select("src", "dst").distinct())
     left = now.count()
     for _ in range(rounds):
         if not left:
-            break
+            return now
         for _ in range(2):
             now = now.join(now.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
             now = now.join(now.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        now = now.select("src", "dst").checkpoint()
+        now = written(now.select("src", "dst"))
         after = now.count()
         if after == left:
-            break
+            return now
         left = after
-    return now
+    raise RuntimeError(f"GRAPH_TOO_DEEP: chains of more than {4 * rounds} nodes are not peeled in {rounds} rounds")
 
 
 def is_acyclic(edges: DataFrame) -> bool:

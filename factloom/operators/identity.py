@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import text as T
@@ -48,12 +48,12 @@ def variant_groups(sources: DataFrame) -> DataFrame:
     key = F.when(F.coalesce("source_url", F.lit("")) != "", F.col("source_url")).otherwise(F.concat(F.lit("local:"), F.col("source_id")))
     translated = F.col("source_kind") == "faithful-translation"
     keyed = sources.withColumn("variant_key", key).withColumn("translated", translated)
-    order = Window.partitionBy("variant_key").orderBy("translated", "path")
-    whole = Window.partitionBy("variant_key")
-    placed = keyed.withColumn("place", F.row_number().over(order)).withColumn("n", F.count("*").over(whole))
-    first = F.first("source_id").over(order), F.first("path").over(order)
-    role = F.when(F.col("n") == 1, "sole").when(F.col("translated"), "translation").when(F.col("place") == 1, "original").otherwise("duplicate")
-    return placed.withColumn("variant_role", role).withColumn("logical_source_id", first[0]).withColumn("extraction_path", first[1]).drop("translated", "place", "n")
+    lead = F.min(F.struct("translated", "path", "source_id")).alias("lead")
+    groups = keyed.groupBy("variant_key").agg(F.count("*").alias("n"), lead)
+    first = F.struct("translated", "path", "source_id") == F.col("lead")
+    role = F.when(F.col("n") == 1, "sole").when(F.col("translated"), "translation").when(first, "original").otherwise("duplicate")
+    met = keyed.join(groups, "variant_key").withColumn("variant_role", role)
+    return met.withColumn("logical_source_id", F.col("lead.source_id")).withColumn("extraction_path", F.col("lead.path")).drop("translated", "n", "lead")
 
 
 def identities(df: DataFrame, exact_case: bool = True) -> DataFrame:

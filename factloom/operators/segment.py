@@ -10,7 +10,7 @@ import hashlib
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.udf import arrow_udf
@@ -215,17 +215,49 @@ _PREFIX = r"^\s*(?:[-+*]|\d+[.)])\s+"
 _PIECES = r"(?<=[。！？；])|(?<=[.!?])(?=\s+|$)"
 
 
+_CHUNK = 256
+
+
+def _let(value: Column, use) -> Column:
+    """use(value) with value computed once: a transform over an array of one."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def starts_of(texts: Column) -> Column:
+    """Where each text of a non-empty array begins when all stand end to end, within the row.
+
+    Sums run over chunks of 256, so that long arrays cost little more than their length.
+    """
+    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
+
+    def of(n: Column) -> Column:
+        def chunk(c: Column) -> Column:
+            own = F.slice(n, c * _CHUNK + 1, F.lit(_CHUNK))
+            return _let(total(F.slice(n, F.lit(1), c * _CHUNK)), lambda before: _let(own, lambda o: F.transform(o, lambda _, i: before + total(F.slice(o, F.lit(1), i)))))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.shiftright(F.size(n) - 1, 8)), chunk))
+
+    return _let(F.transform(texts, F.length), of)
+
+
+def _placed(texts: Column) -> Column:
+    """array<struct<s, at>> of texts with their starts."""
+    return _let(texts, lambda t: F.arrays_zip(t.alias("s"), starts_of(t).alias("at")))
+
+
 def span_rows(units: DataFrame, unit_id: str, content: str, start_line: Column) -> DataFrame:
     """(evidence_unit_id, start_offset, end_offset, line, content, span_kind) of each span of a unit.
 
     Every line with text gives one or more exact substrings: indentation and list marks go, what is
-    left is cut after sentence ends. Offsets count code points in the unit's text.
+    left is cut after sentence ends. Offsets count code points in the unit's text; they are summed
+    within the row, so nothing is shuffled.
     """
-    lines = units.select(F.col(unit_id).alias("unit"), start_line.alias("first"), F.posexplode(F.split(F.col(content), _LINE_ENDS, -1)).alias("i", "raw"))
+    lines = units.select(F.col(unit_id).alias("unit"), start_line.alias("first"), F.posexplode(_placed(F.split(F.col(content), _LINE_ENDS, -1))).alias("i", "r"))
+    raw = lines.select("unit", "first", "i", F.col("r.s").alias("raw"), F.col("r.at").alias("at"))
     line = F.regexp_replace("raw", r"[\r\n]+\z", "")
-    marked = lines.select("unit", "first", "i", F.length("raw").alias("size"), line.alias("line"), F.regexp_replace(line, r"^\s+", "").alias("bare"))
+    marked = raw.select("unit", "first", "i", "at", line.alias("line"), F.regexp_replace(line, r"^\s+", "").alias("bare"))
     prefix = F.regexp_extract("bare", _PREFIX, 0)
-    cut = marked.select("unit", "first", "i", "size", "line", (F.length("line") - F.length("bare") + F.length(prefix)).alias("lead"), (prefix != "").alias("listed"), F.substring("bare", F.length(prefix) + 1, F.length("bare")).alias("text"))
+    cut = marked.select("unit", "first", "i", "at", "line", (F.length("line") - F.length("bare") + F.length(prefix)).alias("lead"), (prefix != "").alias("listed"), F.substring("bare", F.length(prefix) + 1, F.length("bare")).alias("text"))
     kind = (
         F.when(F.col("text").startswith("!["), "media")
         .when(F.col("text").startswith("[") & F.col("text").contains("]("), "link")
@@ -234,13 +266,8 @@ def span_rows(units: DataFrame, unit_id: str, content: str, start_line: Column)
         .when(F.col("listed"), "list-item")
         .otherwise("prose")
     )
-    parts = cut.select("unit", "first", "i", "size", "lead", kind.alias("kind"), F.length("text").alias("chars"), F.split("text", _PIECES, -1).alias("p"))
-    pieces = parts.select("unit", "first", "i", "size", "lead", "kind", "chars", F.size("p").alias("n"), F.posexplode("p").alias("j", "piece"))
-    # pieces tile the unit: the first takes the line's lead with it, the last what ends the line
-    opens = F.when(F.col("j") == 0, F.col("lead")).otherwise(0)
-    ends = F.when(F.col("j") == F.col("n") - 1, F.col("size") - F.col("lead") - F.col("chars")).otherwise(0)
-    upto = F.sum(opens + F.length("piece") + ends).over(Window.partitionBy("unit").orderBy("i", "j").rowsBetween(Window.unboundedPreceding, -1))
-    placed = pieces.select("unit", "first", "i", "kind", "piece", (F.coalesce(upto, F.lit(0)) + opens).alias("at"))
+    pieces = cut.select("unit", "first", "i", (F.col("at") + F.col("lead")).alias("at"), kind.alias("kind"), F.explode(_placed(F.split("text", _PIECES, -1))).alias("p"))
+    placed = pieces.select("unit", "first", "i", "kind", F.col("p.s").alias("piece"), (F.col("at") + F.col("p.at")).alias("at"))
     trimmed = F.regexp_replace("piece", r"^\s+|\s+$", "")
     begin = F.col("at") + F.length("piece") - F.length(F.regexp_replace("piece", r"^\s+", ""))
     return placed.where(trimmed != "").select(

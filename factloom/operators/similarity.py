@@ -3,7 +3,8 @@
 The exact all-pairs comparison is the operator; what makes it affordable is a filter that loses
 nothing. A pair can reach the threshold only if the length bound of the Indel ratio allows it or the
 statements share a token, so pairs that share no token and whose lengths are too far apart are never
-scored. The join runs in blocks of the left side, each against all rows of the right.
+scored. Claims are dealt by hash to blocks, and every pair of blocks is a cell that an equi-join fills:
+cells are alike in size whatever the claims are, and no side is broadcast. Candidates are written once.
 """
 
 from __future__ import annotations
@@ -16,10 +17,13 @@ from factloom.functions.udf import arrow_udf
 
 from factloom.functions.hashing import stable_id
 from factloom.functions.text import casefold
+from factloom.session import written
 
 VERSION = "2.0.0"
 THRESHOLD = 0.55
 MOST_CANDIDATES = 50_000
+#: Claims of a block.
+BLOCK_ROWS = 500
 
 
 def lcs(a: str, b: str) -> int:
@@ -83,7 +87,11 @@ def signals(claims: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         F.filter(F.split("statement", r"\s+"), lambda x: x != "").alias("tokens"),
     )
     c = c.withColumn("size", F.length("folded")).withColumn("set_size", F.length(F.array_join(F.array_distinct("tokens"), " ")))
-    a, b = c.alias("a"), c.alias("b")
+    blocks = max(1, -(-claims.count() // BLOCK_ROWS))
+    c = c.withColumn("block", F.pmod(F.xxhash64("evidence_claim_id"), F.lit(blocks)).cast("int"))
+    cell = lambda own, other: F.struct(F.least(own, other).alias("i"), F.greatest(own, other).alias("j"))
+    dealt = c.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("cell", cell(F.col("block"), F.col("other")))
+    a, b = dealt.where("block = cell.i").alias("a"), dealt.where("block = cell.j").alias("b")
 
     def within(x: str) -> Column:
         """2 * LCS / (m + n) is at most 2 * min / (m + n): can this ratio reach the threshold?"""
@@ -91,7 +99,12 @@ def signals(claims: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         return 2 * F.least(m, n) >= F.lit(threshold - 1e-9) * (m + n)
 
     reachable = within("size") | within("set_size") | F.arrays_overlap("a.tokens", "b.tokens")
-    pairs = a.join(b, (F.col("a.evidence_claim_id") < F.col("b.evidence_claim_id")) & (F.col("a.evidence_unit_id") != F.col("b.evidence_unit_id")) & reachable)
+    same = (F.col("a.block") != F.col("b.block")) | (F.col("a.evidence_claim_id") < F.col("b.evidence_claim_id"))
+    met = a.join(b, (F.col("a.cell") == F.col("b.cell")) & same & (F.col("a.evidence_unit_id") != F.col("b.evidence_unit_id")) & reachable)
+    rows = met.select(F.struct("a.*").alias("a"), F.struct("b.*").alias("b"))
+    # the claim with the lesser id is the left one
+    turned = F.col("a.evidence_claim_id") > F.col("b.evidence_claim_id")
+    pairs = rows.select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b"))
     scored = pairs.withColumn("lexical", lexical("a.folded", "b.folded", "a.statement", "b.statement")).where(F.col("lexical") >= threshold)
     return scored.select(
         F.col("a.evidence_claim_id").alias("left_claim_id"), F.col("b.evidence_claim_id").alias("right_claim_id"),
@@ -126,7 +139,7 @@ def relate(pairs: DataFrame) -> DataFrame:
 
 def suggest(claims: DataFrame, threshold: float = THRESHOLD, most: int = MOST_CANDIDATES) -> DataFrame:
     """Alignment candidates; more than ``most`` of them is an error and never a shorter result."""
-    found = relate(signals(claims, threshold))
+    found = written(relate(signals(claims, threshold)))
     if found.limit(most + 1).count() > most:
         raise ValueError("ALIGNMENT_LIMIT_EXCEEDED")
     return found

@@ -51,9 +51,18 @@ def with_status(counted: DataFrame) -> DataFrame:
     return counted.withColumn("status", status)
 
 
+def _listed(pages: DataFrame, *more: str) -> DataFrame:
+    """(page_id, canonical_claim_id) rows of pages that have claim_ids, or that are such rows already."""
+    one = F.explode_outer("claim_ids").alias("canonical_claim_id") if "claim_ids" in pages.columns else "canonical_claim_id"
+    return pages.select("page_id", *more, one)
+
+
 def status_pivot(pages: DataFrame, claims: DataFrame) -> DataFrame:
-    """(page_id, one count per status): all seven, zeros kept. pages: (page_id, claim_ids)."""
-    named = pages.select("page_id", F.explode_outer("claim_ids").alias("canonical_claim_id"))
+    """(page_id, one count per status): all seven, zeros kept.
+
+    pages: (page_id, claim_ids), or a row (page_id, canonical_claim_id) a claim.
+    """
+    named = _listed(pages)
     met = named.join(claims.select("canonical_claim_id", "status"), "canonical_claim_id", "left")
     return met.groupBy("page_id").agg(*(F.count_if(F.col("status") == s).alias(s) for s in STATUSES))
 
@@ -61,11 +70,11 @@ def status_pivot(pages: DataFrame, claims: DataFrame) -> DataFrame:
 def hidden_status(pages: DataFrame, claims: DataFrame) -> DataFrame:
     """Pages whose main text does not show the status of a claim that must be shown.
 
-    pages: (page_id, main, claim_ids); claims: (canonical_claim_id, status).
+    pages: (page_id, main) with claim_ids or canonical_claim_id; claims: (canonical_claim_id, status).
     """
     from factloom.operators.rules import violations
 
-    named = pages.select("page_id", "main", F.explode("claim_ids").alias("canonical_claim_id"))
+    named = _listed(pages, "main")
     met = named.join(claims.select("canonical_claim_id", "status"), "canonical_claim_id")
     hidden = F.lit(False)
     for status, pattern in VISIBLE.items():

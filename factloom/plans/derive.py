@@ -33,13 +33,12 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first sentence of each line as a claim: subject its first two words, predicate the third."""
-    first = spans(spark, sf_dir).groupBy("doc_id", "line").agg(F.min_by("content", "start_offset").alias("statement"))
+    """Every sentence as a claim: subject its first two words, predicate the third."""
     words = F.filter(F.split("statement", " "), lambda x: x != "")
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
     negated = F.exists(words, lambda w: F.lower(w).isin(*NEGATORS))
-    return first.join(d, "doc_id").select(
-        F.concat_ws("-", F.lit("ec"), "doc_id", "line").alias("evidence_claim_id"), "doc_id", "line", "statement",
+    return spans(spark, sf_dir).withColumnRenamed("content", "statement").join(d, "doc_id").select(
+        F.concat_ws("-", F.lit("ec"), "doc_id", "start_offset").alias("evidence_claim_id"), "doc_id", "line", "statement",
         F.array_join(F.slice(words, 1, 2), " ").alias("subject"), F.coalesce(F.get(words, F.lit(2)), F.lit("is")).alias("predicate"),
         F.when(negated, "negative").otherwise("positive").alias("polarity"), F.col("lang").alias("scope"), "source",
         F.when(F.pmod("line", F.lit(5)) == 0, "reported").when(F.pmod("line", F.lit(7)) == 0, "recommended").otherwise("asserted").alias("modality"),
@@ -48,15 +47,19 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def canonical_id(statement: str = "statement"):
+    return F.concat(F.lit("cc_"), F.substring(F.sha2(statement, 256), 1, 12))
+
+
 def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claims of one statement and scope together; opposing where the document's number is odd."""
+    """Claims of one statement together; opposing where the document's number is odd."""
     c = claims(spark, sf_dir)
     odd = F.pmod("doc_id", F.lit(2)) == 1
     return c.groupBy("statement").agg(
         F.array_sort(F.collect_list(F.when(~odd, F.col("evidence_claim_id")))).alias("supporting"),
-        F.array_sort(F.collect_list(F.when(odd & (F.pmod("doc_id", F.lit(5)) == 0), F.col("evidence_claim_id")))).alias("opposing"),
+        F.array_sort(F.collect_list(F.when(odd, F.col("evidence_claim_id")))).alias("opposing"),
     ).select(
-        F.concat(F.lit("cc_"), F.substring(F.sha2("statement", 256), 1, 12)).alias("canonical_claim_id"), "statement", "supporting", "opposing",
+        canonical_id().alias("canonical_claim_id"), "statement", "supporting", "opposing",
         F.when(F.col("statement").rlike("^[A-D]"), F.array(F.lit("cc_parent"))).otherwise(F.array().cast("array<string>")).alias("derived_from"),
         F.when(F.col("statement").rlike("^[XYZ]"), F.array(F.lit("cc_newer"))).otherwise(F.array().cast("array<string>")).alias("superseded_by"),
     )
@@ -90,18 +93,17 @@ SPANS_SQL = r"""line AS (
 )"""
 
 CLAIMS_SQL = SPANS_SQL + """, claim AS (
-  SELECT 'ec-' || f.doc_id || '-' || f.line AS evidence_claim_id, f.doc_id, f.line, statement, array_to_string(w[1:2], ' ') AS subject, coalesce(w[3], 'is') AS predicate,
+  SELECT 'ec-' || f.doc_id || '-' || f.start_offset AS evidence_claim_id, f.doc_id, f.line, statement, array_to_string(w[1:2], ' ') AS subject, coalesce(w[3], 'is') AS predicate,
          CASE WHEN len(list_filter(w, lambda x: lower(x) IN ('not', 'no', 'nicht', 'kein', 'pas', 'non'))) > 0 THEN 'negative' ELSE 'positive' END AS polarity,
          d.lang AS scope, d.source, CASE WHEN f.line % 5 = 0 THEN 'reported' WHEN f.line % 7 = 0 THEN 'recommended' ELSE 'asserted' END AS modality,
          CASE WHEN f.line % 7 = 0 AND f.doc_id % 2 = 0 THEN 'recommendation' ELSE 'fact' END AS claim_type, CASE WHEN f.doc_id % 3 = 0 THEN d.source END AS attribution
-  FROM (SELECT doc_id, line, statement, list_filter(string_split(statement, ' '), lambda x: x <> '') AS w
-        FROM (SELECT doc_id, line, arg_min(content, start_offset) AS statement FROM span GROUP BY doc_id, line)) f JOIN documents d ON d.doc_id = f.doc_id
+  FROM (SELECT doc_id, line, start_offset, content AS statement, list_filter(string_split(content, ' '), lambda x: x <> '') AS w FROM span) f JOIN documents d ON d.doc_id = f.doc_id
 )"""
 
 CANONICAL_SQL = CLAIMS_SQL + """, canonical AS (
   SELECT 'cc_' || substr(sha256(statement), 1, 12) AS canonical_claim_id, statement,
          coalesce(list(evidence_claim_id ORDER BY evidence_claim_id) FILTER (WHERE doc_id % 2 = 0), []) AS supporting,
-         coalesce(list(evidence_claim_id ORDER BY evidence_claim_id) FILTER (WHERE doc_id % 2 = 1 AND doc_id % 5 = 0), []) AS opposing,
+         coalesce(list(evidence_claim_id ORDER BY evidence_claim_id) FILTER (WHERE doc_id % 2 = 1), []) AS opposing,
          regexp_matches(statement, '^[A-D]') AS derived, regexp_matches(statement, '^[XYZ]') AS superseded
   FROM claim GROUP BY statement
 )"""

@@ -110,10 +110,10 @@ def a_hamming(spark, d):
     return table(spark, d, "documents").select("doc_id", frames.hamming(h("text"), h("source")).alias("bits"))
 
 
-@query(r"""WITH d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(substr(text, 1, 400)), '[\p{L}\p{N}]+')) AS t FROM documents)
+@query(r"""WITH d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS t FROM documents)
 SELECT a.doc_id, round(CASE WHEN least(len(a.t), len(b.t)) < 4 THEN 0 ELSE len(list_intersect(a.t, b.t)) / least(len(a.t), len(b.t)) END, 6) AS overlap FROM d a JOIN d b ON b.doc_id = a.doc_id + 1""")
 def a_token_overlap(spark, d):
-    a = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 400).alias("a"))
+    a = table(spark, d, "documents").select("doc_id", F.col("text").alias("a"))
     b = a.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b"))
     return a.join(b, "doc_id").select("doc_id", F.round(frames.token_overlap(F.col("a"), F.col("b")), 6).alias("overlap"))
 

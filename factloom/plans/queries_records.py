@@ -102,9 +102,7 @@ def p_limits(spark, d):
     from factloom.sources.markdown import limits
 
     rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.octet_length("text").cast("long").alias("byte_size"))
-    found = limits(rows, each=5000, total=500_000)
-    sums = rows.agg(F.count("*").alias("n"), F.sum("byte_size").alias("t")).select(F.lit("TOTAL_BYTES_EXCEEDED").alias("rule_code"), F.lit(None).cast("string").alias("record_id"), F.col("t").cast("string").alias("detail")).where("cast(detail as long) > 500000")
-    return found.where("rule_code != 'TOTAL_BYTES_EXCEEDED'").unionByName(sums)
+    return limits(rows, each=5000, total=500_000)
 
 
 @query(f"""WITH {SPANS_SQL}, {SOURCES_SQL}
@@ -238,19 +236,24 @@ def a_epistemic_status(spark, d):
     return support.with_status(_counted(spark, d)).select("canonical_claim_id", "status")
 
 
+def _paged(spark, d):
+    """Sixteen pages, each with the claims whose digest begins with its digit."""
+    ids = derive.spans(spark, d).select(derive.canonical_id("content").alias("canonical_claim_id")).distinct()
+    return ids.select(F.substring("canonical_claim_id", 4, 1).alias("page_id"), "canonical_claim_id")
+
+
 @query(_SUPPORT + """ SELECT page_id, count(*) FILTER (status = 'single-source') AS "single-source", count(*) FILTER (status = 'multi-source') AS "multi-source", count(*) FILTER (status = 'disputed') AS disputed, count(*) FILTER (status = 'superseded') AS superseded,
  count(*) FILTER (status = 'derived') AS derived, count(*) FILTER (status = 'derived-note-only') AS "derived-note-only", count(*) FILTER (status = 'insufficient-evidence') AS "insufficient-evidence" FROM (SELECT substr(canonical_claim_id, 4, 1) AS page_id, status FROM st) GROUP BY page_id""")
 def a_status_pivot(spark, d):
     s = support.with_status(_counted(spark, d)).select("canonical_claim_id", "status")
-    pages = s.groupBy(F.substring("canonical_claim_id", 4, 1).alias("page_id")).agg(F.collect_list("canonical_claim_id").alias("claim_ids"))
-    return support.status_pivot(pages, s)
+    return support.status_pivot(_paged(spark, d), s)
 
 
 @query(_SUPPORT + """ SELECT 'HIDDEN_EPISTEMIC_STATUS' AS rule_code, substr(canonical_claim_id, 4, 1) || '/' || canonical_claim_id AS record_id, status AS detail FROM st
 WHERE status IN ('superseded', 'derived', 'derived-note-only', 'insufficient-evidence') AND NOT (status = 'derived' AND substr(canonical_claim_id, 4, 1) < '8')""")
 def p_hidden_status(spark, d):
     s = support.with_status(_counted(spark, d)).select("canonical_claim_id", "status")
-    pages = s.groupBy(F.substring("canonical_claim_id", 4, 1).alias("page_id")).agg(F.collect_list("canonical_claim_id").alias("claim_ids"))
+    pages = _paged(spark, d)
     main = F.when(F.col("page_id") < "8", "This is disputed, and Derived here.").otherwise("Some disputes remain.")
     return support.hidden_status(pages.withColumn("main", main), s)
 
