@@ -110,6 +110,7 @@ def review_rules(joined: DataFrame, reviews: DataFrame) -> DataFrame:
     return union(
         violations(both, "PRIMARY_REVIEW_REQUIRED", key, note & F.col("there").isNull()),
         violations(both, "PRIMARY_REVIEW_MISMATCH", key, note & F.col("there") & ((F.col("decision") != F.col("primary_support_status")) | ~set_equal(F.col("reviewed"), F.col("primary_anchor_ids")))),
+        violations(both, "PRIMARY_EVIDENCE_REQUIRED", key, note & F.col("there") & F.col("decision").isin("verified", "partial") & (F.size("reviewed") == 0)),
         violations(both, "UNEXPECTED_PRIMARY_REVIEW", key, ~note & F.col("there")),
     )
 
@@ -249,3 +250,46 @@ def partition_rules(candidates: DataFrame, reviewed: DataFrame) -> DataFrame:
         violations(counted, "REVIEW_PARTITION", F.concat_ws("/", "job", "name"), (F.col("n") != 1) | (F.col("m") == 0), F.col("n")),
         violations(ordered, "REVIEW_ORDER", F.concat_ws("/", "job", "name"), F.col("position") < F.col("before"), F.col("side")),
     )
+
+
+#: Stages of a build from which each command may run.
+STAGES = {
+    "evidence-claims": ("prepared", "evidence-validated"),
+    "suggest-alignments": ("evidence-validated", "canonical-validated"),
+    "canonical-claims": ("evidence-validated", "canonical-validated"),
+    "pages": ("canonical-validated", "pages-validated"),
+    "evaluate": ("pages-validated", "evaluation-passed", "evaluation-blocked"),
+    "publish": ("evaluation-passed", "publish-failed"),
+}
+
+
+def stage_rules(requests: DataFrame) -> DataFrame:
+    """Requests (job, command, stage) that the stage does not allow."""
+    allowed = F.lit(False)
+    for command, stages in STAGES.items():
+        allowed = allowed | ((F.col("command") == command) & F.col("stage").isin(*stages))
+    publish = F.col("command") == "publish"
+    return union(
+        violations(requests, "PUBLISH_GATE", F.col("job"), publish & ~allowed, F.col("stage")),
+        violations(requests, "STAGE_GATE", F.col("job"), ~publish & ~allowed, F.concat_ws(" after ", "command", "stage")),
+    )
+
+
+def graph_rules(canonical: DataFrame) -> DataFrame:
+    """Edges on cycles of derivation or of supersession; evidence has no way back, so only claims matter."""
+    from factloom.operators import graph
+
+    derived = canonical.select(F.explode("derived_from").alias("src"), F.col("canonical_claim_id").alias("dst"))
+    both = ((derived, "PROVENANCE_CYCLE"), (graph.supersession_edges(canonical), "SUPERSESSION_CYCLE"))
+    return union(*(violations(graph.cycle_edges(edges), code, F.col("src"), F.lit(True), F.col("dst")) for edges, code in both))
+
+
+def probe_rules(probes: DataFrame, results: DataFrame, canonical: DataFrame) -> DataFrame:
+    """Probes and their results: some, unique, one result each, about known claims."""
+    required = probes.select(F.explode("required_claim_ids").alias("canonical_claim_id"))
+    return union(
+        violations(probes.agg(F.count("*").alias("n")), "NO_PROBES", F.lit("probes"), F.col("n") == 0),
+        duplicates(probes, "probe_id"), duplicates(results, "probe_id"),
+        coverage(probes, "probe_id", results, "probe_id", "INCOMPLETE_PROBE_RESULTS"),
+        missing(required, "canonical_claim_id", canonical, "canonical_claim_id", "UNKNOWN_CANONICAL_CLAIM"),
+    )

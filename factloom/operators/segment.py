@@ -287,6 +287,25 @@ def evidence_spans(units: DataFrame) -> DataFrame:
     )
 
 
+def primary_anchors(units: DataFrame, sources: DataFrame, assets: DataFrame | None = None) -> DataFrame:
+    """Anchors of derived notes: one for each timestamp locator of their units.
+
+    assets: (source_id, local_asset_path, local_asset_sha256) of transcripts kept beside a note; an
+    anchor is available where its source has one.
+    """
+    notes = sources.where("evidence_tier = 'derived-note'").select("source_id").distinct()
+    named = units.join(notes, "source_id", "left_semi").select("source_id", "evidence_unit_id", F.explode("upstream_locators").alias("l")).where("l.type = 'timestamp'")
+    none = F.lit(None).cast("string")
+    if assets is None:
+        met = named.select("*", none.alias("local_asset_path"), none.alias("local_asset_sha256"))
+    else:
+        met = named.join(assets.select("source_id", "local_asset_path", "local_asset_sha256"), "source_id", "left")
+    return met.select(
+        stable_id("pa", F.col("evidence_unit_id"), F.col("l.value")).alias("primary_anchor_id"), "source_id", "evidence_unit_id", F.lit("video-timestamp").alias("anchor_type"), F.col("l.value").alias("locator"),
+        "local_asset_path", "local_asset_sha256", F.when(F.col("local_asset_path").isNotNull(), "available").otherwise("unavailable").alias("verification_status"),
+    )
+
+
 def factual_blocks(pages: DataFrame, page_id: str, body: str) -> DataFrame:
     """(page_id, ordinal, text) of paragraphs, those in lists and quotes too, before the first
     evidence or open-questions heading, but for those that begin with a bracket."""

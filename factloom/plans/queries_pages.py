@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from factloom import schemas
 from factloom.functions import text
 from factloom.functions.udf import arrow_udf
-from factloom.operators import frames, graph, incremental, notes, rules, segment, support
+from factloom.operators import frames, graph, incremental, notes, pages, rules, segment, support
 from factloom.plans import derive
 from factloom.plans.derive import CANONICAL_SQL, SOURCES_SQL, SPANS_SQL
 from factloom.plans.registry import registry
@@ -188,3 +188,91 @@ def g_export(spark, d):
     g = graph.export(graph.provenance_edges(k), graph.supersession_edges(k)).select(F.from_json("graph", kind).alias("g"))
     first = F.col("g.edges")[0]
     return g.select(F.size("g.nodes").cast("long").alias("nodes"), F.size("g.edges").cast("long").alias("edges"), F.size("g.supersession_edges").cast("long").alias("supersession_edges"), F.concat_ws(">", first["from"], first["to"]).alias("first_edge"))
+
+
+#: A page a part: its number decides type, status and which rules it breaks.
+_PART_PAGES = """WITH w AS (SELECT p_partkey AS k, p_name, 'p/' || p_partkey || '.md' AS path, ['concept', 'comparison', 'map'][1 + p_partkey % 3] AS kind, p_size % 7 AS s FROM part),
+q AS (SELECT *, ['single-source', 'multi-source', 'disputed', 'superseded', 'derived', 'derived-note-only', 'insufficient-evidence'][1 + s] AS status FROM w)"""
+
+
+def _part_pages(spark, d):
+    """(planned pages, claims): Markdown pages with front matter, made from the parts table."""
+    k = F.col("p_partkey")
+    cc = F.concat(F.lit("cc_part"), k)
+    kind = F.element_at(F.array(F.lit("concept"), F.lit("comparison"), F.lit("map")), F.pmod(k, F.lit(3)).cast("int") + 1)
+    at = F.pmod("p_size", F.lit(7)).cast("int")
+    shown = F.element_at(F.array(*map(F.lit, ("one source", "many sources", "存在争议", "Superseded", "derived", "derived-note", "证据不足"))), at + 1)
+    when = lambda n, yes, no="": F.when(k % n == 0, yes).otherwise(F.lit(no) if isinstance(no, str) else no)
+    summary = F.concat(*(F.concat(F.lit(f"  {s}: "), F.when(at == i, "1").otherwise("0"), F.lit("\n")) for i, s in enumerate(support.STATUSES)))
+    head = F.concat(F.lit("---\nknowledge_base: kb\npage_id: page-"), k, F.lit("\npage_type: "), kind, when(11, "\nbuild_id: b2", "\nbuild_id: b1"), when(13, "\nextra: 1"), F.lit("\nepistemic_summary:\n"), when(17, F.concat(F.lit("  other: 3\n"), summary), summary), F.lit("---\n"))
+    cite = F.concat(F.lit(" [^"), cc, F.lit("]"))
+    sections = F.when(kind == "concept", "## 前提与局限").when(kind == "comparison", "## 适用边界").otherwise("## More")
+    first = F.when(kind == "concept", "## 核心主张").otherwise("## 比较结论")
+    body = F.concat(
+        F.lit("# "), F.col("p_name"), F.lit("\n\n"), first, F.lit("\n\n"), F.col("p_name"), when(19, "", cite), F.lit(" "), when(23, "", shown), F.lit("\n\n"), when(29, "", sections), F.lit("\n\n- "), F.col("p_brand"), cite,
+        when(37, "\n\n[pic]: ![x](https://h/i.png)"), when(41, "\n\n[path] /tmp/x"), F.lit("\n\n## 开放问题\n\nopen\n\n## 证据\n\n[^"), when(31, "cc_other", cc), F.lit("]: source\n"),
+    )
+    rows = table(spark, d, "part").select(F.concat(F.lit("page-"), k).alias("page_id"), kind.alias("page_type"), F.concat(F.lit("p/"), k, F.lit(".md")).alias("path"), F.array(cc).alias("claim_ids"), F.concat(head, body).alias("markdown"), cc.alias("canonical_claim_id"), F.element_at(F.array(*map(F.lit, support.STATUSES)), at + 1).alias("status"))
+    plan = rows.select("page_id", "page_type", "path", "claim_ids")
+    return plan.join(pages.parsed(rows.select("path", "markdown")), "path"), rows.select("canonical_claim_id", "status")
+
+
+@query(_PART_PAGES + """
+SELECT 'INVALID_PAGE_FRONTMATTER' AS rule_code, path AS record_id, 'keys' AS detail FROM q WHERE k % 13 = 0 UNION ALL SELECT 'INVALID_PAGE_FRONTMATTER', path, 'build_id' FROM q WHERE k % 11 = 0 AND k % 13 <> 0
+UNION ALL SELECT 'INVALID_PAGE_STATUS', path, NULL FROM q WHERE k % 17 = 0""")
+def p_page_front_matter(spark, d):
+    planned, claims = _part_pages(spark, d)
+    return pages.front_matter_rules(planned, claims, "kb", "b1")
+
+
+@query(_PART_PAGES + """
+SELECT 'UNSAFE_PAGE_CONTENT' AS rule_code, path AS record_id, CAST(NULL AS VARCHAR) AS detail FROM q WHERE k % 37 = 0 OR k % 41 = 0 UNION ALL SELECT 'PAGE_CITATION_CLOSURE', path, NULL FROM q WHERE k % 31 = 0
+UNION ALL SELECT 'MISSING_PAGE_SECTION', path, CASE kind WHEN 'concept' THEN '前提与局限' ELSE '适用边界' END FROM q WHERE k % 29 = 0 AND kind <> 'map'
+UNION ALL SELECT 'UNCITED_FACTUAL_BLOCK', path, trim(p_name || ' ' || CASE WHEN k % 23 = 0 THEN '' ELSE ['one source', 'many sources', '存在争议', 'Superseded', 'derived', 'derived-note', '证据不足'][1 + s] END) FROM q WHERE k % 19 = 0 AND kind <> 'map'
+UNION ALL SELECT 'HIDDEN_EPISTEMIC_STATUS', 'page-' || k || '/cc_part' || k, status FROM q WHERE k % 23 = 0 AND s >= 2""")
+def p_page_rules(spark, d):
+    planned, claims = _part_pages(spark, d)
+    return pages.content_rules(planned, claims)
+
+
+@query("""WITH r AS (SELECT o_orderkey AS job, ['publish', 'evaluate', 'pages', 'canonical-claims', 'evidence-claims', 'suggest-alignments'][1 + o_custkey % 6] AS command,
+  ['prepared', 'evidence-validated', 'canonical-validated', 'pages-validated', 'evaluation-passed', 'evaluation-blocked', 'publish-failed', 'published'][1 + o_orderkey % 8] AS stage FROM orders),
+a AS (SELECT * FROM (VALUES ('publish', 'evaluation-passed'), ('publish', 'publish-failed'), ('evaluate', 'pages-validated'), ('evaluate', 'evaluation-passed'), ('evaluate', 'evaluation-blocked'), ('pages', 'canonical-validated'), ('pages', 'pages-validated'),
+  ('canonical-claims', 'evidence-validated'), ('canonical-claims', 'canonical-validated'), ('suggest-alignments', 'evidence-validated'), ('suggest-alignments', 'canonical-validated'), ('evidence-claims', 'prepared'), ('evidence-claims', 'evidence-validated')) v(command, stage))
+SELECT CASE WHEN command = 'publish' THEN 'PUBLISH_GATE' ELSE 'STAGE_GATE' END AS rule_code, CAST(job AS VARCHAR) AS record_id, CASE WHEN command = 'publish' THEN stage ELSE command || ' after ' || stage END AS detail
+FROM r ANTI JOIN a USING (command, stage)""")
+def p_publish_gate(spark, d):
+    o = table(spark, d, "orders")
+    commands = F.array(*map(F.lit, ("publish", "evaluate", "pages", "canonical-claims", "evidence-claims", "suggest-alignments")))
+    stages = F.array(*map(F.lit, ("prepared", "evidence-validated", "canonical-validated", "pages-validated", "evaluation-passed", "evaluation-blocked", "publish-failed", "published")))
+    return rules.stage_rules(o.select(F.col("o_orderkey").alias("job"), F.get(commands, (F.col("o_custkey") % 6).cast("int")).alias("command"), F.get(stages, (F.col("o_orderkey") % 8).cast("int")).alias("stage")))
+
+
+@query("""WITH k AS (SELECT p_partkey AS k, max(p_partkey) OVER () AS last FROM part), e AS (SELECT k, 'ec_' || k AS ec FROM k)
+SELECT 'CONTRADICTORY_EDGE' AS rule_code, 'cc_' || k AS record_id, CAST(NULL AS VARCHAR) AS detail FROM k WHERE k % 10 = 0 AND k % 15 <> 7
+UNION ALL SELECT 'EVIDENCE_CLOSURE', 'cc_' || k, NULL FROM k WHERE k % 15 = 7 AND k % 22 <> 3
+UNION ALL SELECT 'UNKNOWN_EVIDENCE_CLAIM', 'ec_' || k, NULL FROM k WHERE k % 9 = 4 AND k % 15 <> 7
+UNION ALL SELECT DISTINCT 'UNKNOWN_CONCEPT', 'concept_49', NULL FROM k WHERE k % 50 = 49
+UNION ALL SELECT DISTINCT 'UNKNOWN_CANONICAL_CLAIM', 'cc_missing', NULL FROM k WHERE k % 22 = 3
+UNION ALL SELECT 'INVALID_CONCEPT_BACKREF', 'cc_' || k, 'concept_' || k % 50 FROM k WHERE k % 7 = 0 AND k % 50 <> 49
+UNION ALL SELECT DISTINCT 'INVALID_CONCEPT_BACKREF', 'cc_zzz', 'concept_5' FROM k WHERE k % 50 = 5
+UNION ALL SELECT 'SUPERSESSION_BACKREF', new, old FROM (SELECT 'cc_' || k AS new, 'cc_' || (k + 1) AS old FROM k WHERE k % 3 = 0 AND k < last AND (k + 1) % 4 <> 1 UNION ALL SELECT 'cc_' || (k - 1), 'cc_' || k FROM k WHERE k % 4 = 1 AND (k - 1) % 3 <> 0)
+UNION ALL SELECT 'QUALIFIER_LOSS', 'cc_' || k, 'ec_' || k FROM k WHERE k % 6 = 0 AND k % 15 <> 7 AND k % 9 <> 4
+UNION ALL SELECT 'QUALIFIER_LOSS', 'cc_' || k, 'ec_' || k FROM k WHERE k % 6 = 0 AND k % 10 = 0 AND k % 15 <> 7 AND k % 9 <> 4""")
+def p_canonical_rules(spark, d):
+    k = F.col("p_partkey")
+    part = table(spark, d, "part").select(k)
+    last = part.agg(F.max(k)).first()[0]
+    none = F.array().cast("array<string>")
+    some = lambda when, value: F.when(when, F.array(value)).otherwise(none)
+    ec, cc = F.concat(F.lit("ec_"), k), lambda x: F.concat(F.lit("cc_"), x)
+    bare = k % 15 == 7
+    canonical = part.select(
+        cc(k).alias("canonical_claim_id"), some(~bare, ec).alias("supporting"), some((k % 10 == 0) & ~bare, ec).alias("opposing"), some(k % 22 == 3, F.lit("cc_missing")).alias("derived_from"),
+        some((k % 3 == 0) & (k < last), cc(k + 1)).alias("supersedes"), some(k % 4 == 1, cc(k - 1)).alias("superseded_by"), F.array(F.concat(F.lit("concept_"), k % 50)).alias("concept_ids"),
+        F.lit(None).cast("string").alias("time"), F.lit(None).cast("string").alias("scope"), none.alias("conditions"),
+    )
+    claims = part.where(k % 9 != 4).select(ec.alias("evidence_claim_id"), F.lit(None).cast("string").alias("time"), F.when(k % 6 == 0, "en").alias("scope"), none.alias("conditions"))
+    of = part.where(k % 50 != 49).groupBy((k % 50).alias("c")).agg(F.collect_list(F.when(k % 7 != 0, cc(k))).alias("claim_ids"))
+    concepts = of.select(F.concat(F.lit("concept_"), "c").alias("concept_id"), "claim_ids", some(F.col("c") == 5, F.lit("cc_zzz")).alias("definition_claim_ids"))
+    return rules.canonical_rules(canonical, claims, concepts)

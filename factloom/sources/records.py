@@ -6,6 +6,7 @@ coerced. Types are checked on the parsed variant of each field.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import tempfile
@@ -85,6 +86,16 @@ def tree_hash(spark: SparkSession, root: str) -> DataFrame:
     return raw.select(F.regexp_replace(F.regexp_replace("path", r"^file:/*", "/"), "^" + base.replace(".", r"\."), "").alias("path"), F.sha2("content", 256).alias("sha256"))
 
 
+def new_build_id() -> str:
+    return f"{int(time.time())}-{uuid.uuid4().hex[:8]}"
+
+
+def manifest_digest(state: dict) -> str:
+    """Digest of what a pointer says about its build: all but the digest itself."""
+    rest = {k: v for k, v in state.items() if k != "manifest_sha256"}
+    return hashlib.sha256(json.dumps(rest, sort_keys=True, ensure_ascii=False).encode()).hexdigest()
+
+
 class Publication:
     """Builds of a knowledge base: tables below builds/<id>, and a pointer file that names the current one.
 
@@ -109,7 +120,7 @@ class Publication:
             raise ValueError(f"VERIFY_MANIFEST: {table}")
         return self.spark.read.parquet(f"{self.target}/builds/{state['build_id']}/{table}")
 
-    def publish(self, tables: dict[str, DataFrame], fingerprint: str, verify=None) -> dict:
+    def publish(self, tables: dict[str, DataFrame], fingerprint: str, verify=None, build_id: str | None = None) -> dict:
         """Publish tables; equal fingerprints publish nothing. verify(read) raises to refuse."""
         import shutil
 
@@ -122,7 +133,7 @@ class Publication:
             os.mkdir(lock)
         except FileExistsError:
             raise ValueError("PUBLISH_LOCKED") from None
-        build = f"{int(time.time())}-{uuid.uuid4().hex[:8]}"
+        build = build_id or new_build_id()
         root = f"{self.target}/builds/{build}"
         try:
             for name, df in tables.items():
@@ -131,6 +142,7 @@ class Publication:
                 verify(lambda name: self.spark.read.parquet(f"{root}/{name}"))
             files = {r.path: r.sha256 for r in tree_hash(self.spark, root).where("path NOT LIKE '%.crc'").collect()}
             new = {"build_id": build, "fingerprint": fingerprint, "tables": sorted(tables), "files": files, "previous": state and state["build_id"]}
+            new["manifest_sha256"] = manifest_digest(new)
             write_json_atomic(f"{self.target}/current.json", new)
             return {**new, "status": "published"}
         except BaseException:

@@ -71,6 +71,55 @@ def test_gates_refuse(spark):
         build.prepare(files(spark, NOTES).where("false"))
 
 
+def test_cycles_reviews_and_anchors_are_gated(spark):
+    course = "---\ntitle: V\nauthor: x\nsource_url: https://www.youtube.com/watch?v=abc\n---\n# [https://youtu.be/abc?t=42] Concept\n\nA note says it.\n"
+    t = with_claims(build.prepare(files(spark, {**NOTES, "v.md": course})))
+    anchors = t["primary_anchors"].collect()
+    assert [(a.locator, a.verification_status) for a in anchors] == [("https://youtu.be/abc?t=42", "unavailable")]
+    with pytest.raises(build.GateClosed, match="PRIMARY_REVIEW_REQUIRED"):
+        build.check_evidence(t)
+    note = F.col("evidence_origin") == "derived-note"
+    claims = t["evidence_claims"].withColumn("primary_support_status", F.when(note, "partial")).withColumn("primary_anchor_ids", F.when(note, F.array(F.lit(anchors[0].primary_anchor_id))).otherwise(F.col("primary_anchor_ids")))
+    reviews = claims.where(note).select("evidence_claim_id", F.lit("partial").alias("decision"), "primary_anchor_ids")
+    t = {**t, "evidence_claims": claims, "primary_support_reviews": reviews}
+    with pytest.raises(build.GateClosed, match="INVALID_PRIMARY_ANCHOR"):
+        build.check_evidence({**t, "evidence_claims": claims.withColumn("primary_anchor_ids", F.array(F.lit("pa_x")))})
+    with pytest.raises(build.GateClosed, match="PRIMARY_EVIDENCE_REQUIRED"):
+        none = F.array().cast("array<string>")
+        build.check_evidence({**t, "evidence_claims": claims.withColumn("primary_anchor_ids", none), "primary_support_reviews": reviews.withColumn("primary_anchor_ids", none)})
+    t = with_canonical(build.check_evidence(t))
+    ids = sorted(r.canonical_claim_id for r in t["canonical_claims"].collect())[:2]
+    other = F.when(F.col("canonical_claim_id") == ids[0], ids[1]).when(F.col("canonical_claim_id") == ids[1], ids[0])
+    ring = F.filter(F.array(other), lambda x: x.isNotNull())
+    with pytest.raises(build.GateClosed, match="PROVENANCE_CYCLE"):
+        build.check_canonical({**t, "canonical_claims": t["canonical_claims"].withColumn("derived_from", ring)})
+    with pytest.raises(build.GateClosed, match="SUPERSESSION_CYCLE"):
+        build.check_canonical({**t, "canonical_claims": t["canonical_claims"].withColumn("supersedes", ring).withColumn("superseded_by", ring)})
+    with pytest.raises(build.GateClosed, match="NO_CANONICAL_CLAIMS"):
+        build.check_canonical({**t, "canonical_claims": t["canonical_claims"].where("false")})
+
+
+def test_verification_recomputes_claims_and_statuses(spark):
+    t = build.check_canonical(with_canonical(build.check_evidence(with_claims(build.prepare(files(spark, NOTES))))))
+    names = ("sources", "evidence_units", "evidence_spans", "files", "evidence_claims", "span_dispositions", "canonical_status")
+    whole = {n: t[n] for n in names}
+    codes = lambda **x: {r.rule_code for r in verify.verify_tables({**whole, **x}).collect()}
+    assert codes() == set()
+    assert codes(canonical_status=t["canonical_status"].withColumn("work_count", F.lit(9).cast("long"))) == {"VERIFY_COUNTS"}
+    assert codes(canonical_status=t["canonical_status"].withColumn("status", F.lit("disputed"))) == {"VERIFY_STATUS"}
+    assert codes(evidence_claims=t["evidence_claims"].withColumn("supporting_excerpt", F.lit("other"))) == {"VERIFY_EXCERPT"}
+    assert codes(span_dispositions=t["span_dispositions"].limit(5)) == {"VERIFY_DISPOSITION", "VERIFY_SPAN_COVERAGE"}
+
+
+def test_deep_graphs_are_refused_and_not_called_cyclic(spark):
+    from factloom.operators import graph
+
+    chain = spark.range(60).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert graph.is_acyclic(chain)
+    with pytest.raises(RuntimeError, match="GRAPH_TOO_DEEP"):
+        graph.cycle_edges(chain, rounds=3)
+
+
 def test_verification_sees_tampering(spark):
     t = build.prepare(files(spark, NOTES))
     base = {n: t[n] for n in ("sources", "evidence_units", "evidence_spans", "files")}
