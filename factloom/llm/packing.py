@@ -220,7 +220,8 @@ def pack(
     placed = stash.put(sums.select("queue", "part", before.alias("before")).join(credits, "queue"))
     served = rounds(tokens, placed, window)
     source = F.when(F.col("queue") != "", F.expr("substring(queue, 2)")).alias("source")
-    ready = served.join(stash.put(bases(served)), ["round", "queue"]).select("doc_id", "start", "doc_tokens", (F.col("at") + F.col("base")).alias("place"), source, "ids")
+    # always by merge, so that ids move once whatever the size: the bases grow with the documents
+    ready = served.join(stash.put(bases(served)).hint("merge"), ["round", "queue"]).select("doc_id", "start", "doc_tokens", (F.col("at") + F.col("base")).alias("place"), source, "ids")
     return ready.mapInArrow(
         _cut(window, with_ids),
         f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string" + ", ids binary" * with_ids,
