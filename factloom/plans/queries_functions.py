@@ -47,12 +47,17 @@ def f_url_canonical_collect(spark, d):
     return table(spark, d, "pages").select("page_id", urls.canonicalize(F.col("url"), urls.adapter(urls.host(F.col("url")))).alias("canonical"))
 
 
-@query(r"""
-WITH p AS (SELECT page_id, lower(regexp_extract(url, '://([^/?#:]*)', 1)) AS host, regexp_extract(url, '^([a-z]+):', 1) AS scheme FROM pages)
-SELECT page_id, host, 'generic-article' AS adapter, CASE WHEN scheme <> 'https' THEN 'not-https' END AS problem FROM p""")
+#: Addresses of several sites, some of which are refused, among those of the pages.
+_SITES = "CASE page_id % 9 WHEN 0 THEN 'https://x.com/a/' || page_id WHEN 1 THEN 'https://u:p@h.example/' WHEN 2 THEN 'https://10.0.0.8/x' WHEN 3 THEN 'nothing' WHEN 4 THEN 'https://www.langchain.com/b' WHEN 5 THEN 'https://recursive.com/' || page_id WHEN 6 THEN 'http://mobile.twitter.com/' ELSE url END"
+
+
+@query(rf"""
+WITH p AS (SELECT page_id, page_id % 9 AS k, {_SITES} AS u FROM pages), q AS (SELECT *, CASE WHEN k <> 3 THEN lower(regexp_extract(u, '://(?:[^/?#@]*@)?([^/?#:]*)', 1)) END AS host, regexp_extract(u, '^([a-z]+):', 1) AS scheme FROM p)
+SELECT page_id, host, CASE WHEN host IN ('x.com', 'mobile.twitter.com') THEN 'x-article' WHEN host = 'www.langchain.com' THEN 'langchain-blog' WHEN host = 'recursive.com' THEN 'recursive' ELSE 'generic-article' END AS adapter,
+ CASE WHEN k = 3 THEN 'invalid' WHEN k = 1 THEN 'credentials' WHEN k = 2 THEN 'private' WHEN scheme <> 'https' THEN 'not-https' END AS problem FROM q""")
 def f_site_adapter(spark, d):
-    u = F.col("url")
-    return table(spark, d, "pages").select("page_id", urls.host(u).alias("host"), urls.adapter(urls.host(u)).alias("adapter"), urls.source_url_problem(u).alias("problem"))
+    u = F.col("u")
+    return table(spark, d, "pages").select("page_id", F.expr(_SITES).alias("u")).select("page_id", urls.host(u).alias("host"), urls.adapter(urls.host(u)).alias("adapter"), urls.source_url_problem(u).alias("problem"))
 
 
 _IP = "concat_ws('.', o_orderkey % 256, (o_orderkey * 7) % 256, (o_custkey * 3) % 256, o_custkey % 256)"
@@ -149,32 +154,49 @@ def m_han_latin(spark, d):
 #: A text's words, so that the Markdown around them has one reading in any SQL engine.
 _WORDS = "'Text ' || trim(regexp_replace(text, '[^A-Za-zÀ-ÿ]+', ' '))"
 _WORDS_SQL = _WORDS.replace("' '))", "' ', 'g'))")
-_NOTE = "'## ' || role || chr(10) || chr(10) || " + _WORDS + " || chr(10) || chr(10) || '- see [^cc_' || conv_id || '_' || turn || '] and [it](https://t.example/' || conv_id || '?t=' || turn || '0s)' || chr(10) || chr(10) || '![a' || turn || '](<i/' || turn || '.png>)'"
+#: Notes made of whole texts and of blocks that the document's number decides.
+_NOTE = (
+    "concat_ws(chr(10) || chr(10), CASE WHEN doc_id % 2 = 0 THEN '## ' || lang END, text, CASE WHEN doc_id % 3 = 0 THEN '- see [^cc_' || doc_id || '_a] and [it](https://t.example/' || doc_id || '?t=' || doc_id % 90 || 's)' END, "
+    "CASE WHEN doc_id % 5 = 0 THEN '> quoted [^cc_' || source || ']' END, CASE WHEN doc_id % 7 = 0 THEN '```' || lang || chr(10) || 'x' || doc_id || chr(10) || '```' END, CASE WHEN doc_id % 4 = 1 THEN '| a | b |' END, "
+    "CASE WHEN doc_id % 11 = 0 THEN '---' END, CASE WHEN doc_id % 6 = 1 THEN '![a' || doc_id || '](<i/' || doc_id || '.png>)' END, CASE WHEN doc_id % 9 = 0 THEN '1. one' END)"
+)
 
 
 def _notes(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", F.expr(_NOTE.replace("chr(10)", "char(10)")).alias("note"))
+    return table(spark, d, "documents").select("doc_id", F.expr(_NOTE.replace("chr(10)", "char(10)")).alias("note"))
 
 
-@query("SELECT conv_id, turn, 'H2,PARAGRAPH,LIST,IMAGE' AS types FROM conversations")
+@query(rf"""WITH n AS (SELECT doc_id, regexp_replace({_NOTE}, '^[\s\v]+|[\s\v]+$', '', 'g') AS note FROM documents),
+b AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(note, '\n{{2,}}'), lambda x: regexp_replace(x, '^[\s\v]+|[\s\v]+$', '', 'g')), lambda x: x <> '') AS b FROM n)
+SELECT doc_id, array_to_string(list_transform(b, lambda x: CASE WHEN starts_with(x, '```') THEN 'CODE' WHEN regexp_matches(x, '^#{{1,6}}[\s\v]+') THEN 'H' || length(regexp_extract(x, '^(#{{1,6}})[\s\v]', 1)) WHEN regexp_matches(x, '^!\[[^\]]*\]\(') THEN 'IMAGE' WHEN starts_with(x, '>') THEN 'QUOTE'
+ WHEN regexp_matches(x, '^(?:[-+*]|\d+\.)[\s\v]+') THEN 'LIST' WHEN regexp_matches(x, '(?m)^\|.*\|$') THEN 'TABLE' WHEN x = '---' THEN 'RULE' ELSE 'PARAGRAPH' END), ',') AS types FROM b""")
 def m_block_sequence(spark, d):
-    return _notes(spark, d).select("conv_id", "turn", F.array_join(text.block_types(F.col("note")), ",").alias("types"))
+    return _notes(spark, d).select("doc_id", F.array_join(text.block_types(F.col("note")), ",").alias("types"))
 
 
-@query("SELECT conv_id, turn, 'cc_' || conv_id || '_' || turn AS cited, 'https://t.example/' || conv_id || '?t=' || turn || '0s' AS links, 'i/' || turn || '.png' AS images, 'https://t.example/' || conv_id || '?t=' || turn || '0s' AS stamps FROM conversations")
+@query(rf"""WITH n AS (SELECT doc_id, {_NOTE} AS note FROM documents), m AS (SELECT *, regexp_replace(note, '!\[[^\]]*\]\([^)]*\)', '', 'g') AS bare FROM n)
+SELECT doc_id, array_to_string(regexp_extract_all(note, '\[\^(cc_[a-z0-9][a-z0-9_-]{{2,80}})\]', 1), ',') AS cited, array_to_string(regexp_extract_all(bare, '\[[^\]]+\]\(<?([^)\s>]+)>?\)', 1), ',') AS links,
+ array_to_string(regexp_extract_all(note, '!\[[^\]]*\]\(<?([^)\s>]+)>?\)', 1), ',') AS images, array_to_string(list_filter(regexp_extract_all(note, 'https?://[^\s)>\]]+[?&](?:t|start)=\d+s?[^\s)>\]]*'), lambda x: true), ',') AS stamps FROM m""")
 def m_citation_tokens(spark, d):
     n = F.col("note")
     rows = _notes(spark, d)
-    return rows.select("conv_id", "turn", F.array_join(text.citations(n), ",").alias("cited"), F.array_join(text.link_destinations(n), ",").alias("links"), F.array_join(text.image_destinations(n), ",").alias("images"), F.array_join(text.timestamp_urls(n), ",").alias("stamps"))
+    return rows.select("doc_id", F.array_join(text.citations(n), ",").alias("cited"), F.array_join(text.link_destinations(n), ",").alias("links"), F.array_join(text.image_destinations(n), ",").alias("images"), F.array_join(text.timestamp_urls(n), ",").alias("stamps"))
 
 
-@query("""
-WITH l AS (SELECT conv_id, turn, role, '```' || role || chr(10) || 'x' || turn || chr(10) || '```' || chr(10) || 'the speaker then notes ' || turn AS body FROM conversations)
-SELECT conv_id, turn, role AS language, 'x' || turn AS code, '4' AS narrated FROM l""")
+#: Bodies with up to two fences and a narrated line after, inside or not at all.
+_CODED = (
+    "CASE WHEN turn % 2 = 0 THEN '```' || role || chr(10) || 'x' || turn || chr(10) || '```' || chr(10) ELSE 'intro' || chr(10) END || CASE WHEN conv_id % 3 = 0 THEN '```sql' || chr(10) || 'the speaker then notes' || chr(10) || '```' || chr(10) ELSE '' END || "
+    "CASE conv_id % 5 WHEN 0 THEN 'the speaker then notes ' || turn WHEN 1 THEN 'In the video one sees' WHEN 2 THEN 'see https://t.example/in-the-video' ELSE 'plain ' || role END"
+)
+
+
+@query(f"""WITH b AS (SELECT conv_id, turn, role, {_CODED} AS body FROM conversations)
+SELECT conv_id, turn, concat_ws('|', CASE WHEN turn % 2 = 0 THEN role || '=x' || turn END, CASE WHEN conv_id % 3 = 0 THEN 'sql=the speaker then notes' END) AS code,
+ CASE WHEN conv_id % 5 < 2 THEN CAST(len(string_split(body, chr(10))) AS VARCHAR) ELSE '' END AS narrated FROM b""")
 def m_code_and_style(spark, d):
-    body = F.expr("'```' || role || char(10) || 'x' || turn || char(10) || '```' || char(10) || 'the speaker then notes ' || turn")
-    b = text.code_blocks(body)
-    return table(spark, d, "conversations").select("conv_id", "turn", b[0]["language"].alias("language"), b[0]["body"].alias("code"), F.array_join(text.style_violations(body), ",").alias("narrated"))
+    rows = table(spark, d, "conversations").withColumn("body", F.expr(_CODED.replace("chr(10)", "char(10)")))
+    blocks = F.transform(text.code_blocks(F.col("body")), lambda b: F.concat_ws("=", b["language"], b["body"]))
+    return rows.select("conv_id", "turn", F.array_join(blocks, "|").alias("code"), F.array_join(text.style_violations(F.col("body")), ",").alias("narrated"))
 
 
 @query(r"""SELECT page_id, array_to_string(list_distinct_ordered, ' ') AS hrefs FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS list_distinct_ordered FROM pages)""")
@@ -190,7 +212,11 @@ def m_article_score(spark, d):
     return pages.select("page_id", art.alias("a")).select("page_id", "a.title", "a.root_tag")
 
 
-@query()
+@query(r"""WITH a AS (SELECT page_id, regexp_extract(html, '<article>([\s\S]*?)</article>', 1) AS a FROM pages),
+p AS (SELECT page_id, list_transform(string_split(a, '<p>'), lambda x: {'bold': starts_with(x, '<b>'), 't': replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&')}) AS p FROM a),
+m AS (SELECT page_id, p, list_transform(p, lambda x: {'bold': x.bold, 't': regexp_replace(replace(trim(x.t), chr(92), repeat(chr(92), 2)), '([`*_\[\]<>])', chr(92) || chr(92) || chr(92) || '1', 'g')}) AS e FROM p)
+SELECT page_id, trim(p[1].t) AS title, array_to_string(list_transform(e, lambda x, i: CASE WHEN i = 1 THEN '# ' || x.t WHEN x.bold THEN '**' || x.t || chr(10) || '**' ELSE x.t END), chr(10) || chr(10)) AS markdown,
+ CAST(length(array_to_string(list_transform(p, lambda x: trim(x.t)), chr(10))) AS INTEGER) AS characters, CAST(100500 + length(array_to_string(list_transform(p, lambda x: trim(x.t)), chr(10))) AS DOUBLE) AS root_score, false AS challenge FROM m""")
 def m_article_extract(spark, d):
     pages = table(spark, d, "pages")
     art = html.extract("html", "url", urls.adapter(urls.host(F.col("url"))))

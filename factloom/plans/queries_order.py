@@ -161,7 +161,12 @@ def s_greedy_collapse(spark, d):
     return frames.collapse(c, "label").withColumn("alternates", F.array_join("alternates", ","))
 
 
-@query()
+@query(f"""WITH e AS (SELECT vec_id, {_LUMA} AS v FROM embeddings), p AS (SELECT *, list_transform(generate_series(1, 64), lambda i: CASE WHEN i % 8 > 0 THEN abs(v[i + 1] - v[i]) ELSE 0 END + CASE WHEN i <= 56 THEN abs(v[i + 8] - v[i]) ELSE 0 END) AS steps,
+  list_filter(v, lambda x, i: i <= 8 OR i > 56 OR i % 8 < 2) AS edge, list_filter(v, lambda x, i: NOT (i <= 8 OR i > 56 OR i % 8 < 2)) AS inside FROM e),
+m AS (SELECT *, list_sum(v) / 64.0 AS mean, list_sum(steps) / 112.0 AS sharp, greatest(0, (list_sum(inside) / 36.0 - list_sum(edge) / 28.0) / 255) AS deficit FROM p),
+q AS (SELECT *, sqrt(greatest(0, list_sum(list_transform(v, lambda x: x * x)) / 64.0 - mean * mean)) AS contrast FROM m)
+SELECT vec_id, round_even(deficit, 4) AS border_luma_deficit, round_even(contrast, 3) AS contrast, round_even(len(list_filter(edge, lambda x: x < 32)) / 28.0, 4) AS dark_border_ratio, round_even(mean, 3) AS mean_luma,
+ round_even(1.6 * sharp + 0.1 * contrast - 60 * deficit - 0.5 * len(list_filter(v, lambda x: x <= 5 OR x >= 250)) / 64.0, 3) AS score, round_even(sharp, 3) AS sharpness FROM q""")
 def a_frame_quality(spark, d):
     v = _luma(spark, d)
     rgb = F.unhex(F.array_join(F.flatten(F.transform("v", lambda x: F.array_repeat(F.lpad(F.hex(x), 2, "0"), 3))), ""))

@@ -84,7 +84,7 @@ def s_crop_box(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", box.alias("b")).select("l_orderkey", "l_linenumber", "b.x", "b.y", "b.width", "b.height")
 
 
-@query()
+@query("""SELECT vec_id, CAST(floor(abs(embedding[1]) * 40) AS INTEGER) % 40 + 6 AS x, CAST(floor(abs(embedding[2]) * 20) AS INTEGER) % 20 + 4 AS y, 256 AS width, 144 AS height, true AS sure FROM embeddings""")
 def s_slide_bounds(spark, d):
     """Each vector as a drawn page: its first values place a bright page on a dark frame."""
     @arrow_udf("binary")
@@ -98,7 +98,7 @@ def s_slide_bounds(spark, d):
         return vectors.map(one)
 
     got = table(spark, d, "embeddings").select("vec_id", frames.bounds_of(320, 180)(draw("embedding")).alias("b"))
-    return got.select("vec_id", "b.*")
+    return got.select("vec_id", "b.x", "b.y", "b.width", "b.height", (F.col("b.confidence") > 0.9).alias("sure"))
 
 
 @query("SELECT s.doc_id FROM documents s WHERE NOT (s.doc_id % 3 = 0 AND s.lang = 'en' AND length(s.source) % 2 = 0)")
@@ -108,11 +108,12 @@ def i_unfinished(spark, d):
     return incremental.unfinished(docs.withColumn("segment_id", F.col("doc_id")), done, "h1", 0).select("doc_id")
 
 
-@query(f"WITH {SOURCES_SQL} SELECT CAST(64 AS INTEGER) AS hex_digits, count(*) AS sources FROM src")
+@query(f"""WITH {SOURCES_SQL}, r AS (SELECT source_id || chr(31) || path AS k, sha256(CAST(to_json({{'content_sha256': content_sha256, 'path': path, 'source_id': source_id}}) AS VARCHAR)) AS d FROM src),
+b AS (SELECT substr(sha256(k), 1, 3) AS bucket, sha256(string_agg(k || '=' || d, chr(10) ORDER BY k || '=' || d)) AS d FROM r GROUP BY 1)
+SELECT sha256('{{"profile":"default","sources":"' || sha256(string_agg(d, chr(10) ORDER BY bucket)) || '","version":1}}') AS build_fingerprint FROM b""")
 def i_build_fingerprint(spark, d):
-    s = derive.sources(spark, d)
-    mark = incremental.build_fingerprint(s, version=1, profile="default")
-    return s.agg(F.length(F.lit(mark)).alias("hex_digits"), F.count("*").alias("sources"))
+    mark = incremental.build_fingerprint(derive.sources(spark, d), version=1, profile="default")
+    return spark.createDataFrame([(mark,)], "build_fingerprint string")
 
 
 @query("""WITH a AS (SELECT o_custkey, list(o_orderpriority ORDER BY o_orderkey) AS x, list(o_orderstatus ORDER BY o_orderkey) AS y FROM orders GROUP BY o_custkey)
@@ -158,11 +159,17 @@ def j_published_assets(spark, d):
     return rules.missing(table(spark, d, "part"), "p_partkey", table(spark, d, "lineitem").where("l_quantity = 50"), "l_partkey", "UNREFERENCED")
 
 
-@query("""WITH c AS (SELECT c_custkey AS k FROM customer) SELECT gate FROM (SELECT unnest(['citation_closure', 'probe-failures']) AS gate)""")
+@query("""WITH r AS (SELECT c_custkey AS k FROM customer), g AS (
+SELECT 'citation_closure' AS gate FROM r WHERE k % 3 = 0 UNION ALL SELECT 'published_claim_evidence_rate' FROM r WHERE k % 5 = 0 UNION ALL SELECT 'span_processing_rate' FROM r WHERE k % 7 = 0
+UNION ALL SELECT 'conflict_visibility_rate' FROM r WHERE k % 11 = 0 UNION ALL SELECT 'probe-failures' FROM r WHERE k % 4 > 0 UNION ALL SELECT 'entailment-review' FROM r WHERE k % 6 = 1) SELECT gate, count(*) AS n FROM g GROUP BY gate""")
 def a_gate_failures(spark, d):
-    n = table(spark, d, "customer").agg(F.count("*").alias("n"))
-    row = n.select(F.lit(0.5).alias("citation_closure"), F.lit(1.0).alias("published_claim_evidence_rate"), F.lit(1.0).alias("span_processing_rate"), F.lit(1.0).alias("conflict_visibility_rate"), F.col("n").alias("probe_failures"), F.lit(0).alias("entailment_open"))
-    return support.gate_failures(row)
+    k = F.col("c_custkey")
+    rate = lambda n, bad: F.when(k % n == 0, bad).otherwise(1.0)
+    rows = table(spark, d, "customer").select(
+        rate(3, 0.5).alias("citation_closure"), rate(5, 0.0).alias("published_claim_evidence_rate"), rate(7, F.lit(None).cast("double")).alias("span_processing_rate"), rate(11, 0.9).alias("conflict_visibility_rate"),
+        (k % 4).alias("probe_failures"), F.when(k % 6 == 1, 2).otherwise(0).alias("entailment_open"),
+    )
+    return support.gate_failures(rows).groupBy("gate").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {SPANS_SQL} SELECT 'INVALID_IR' AS rule_code, 'es_' || substr(sha256(doc_id || '-' || start_offset), 1, 20) AS record_id, 'end_offset > start_offset' AS detail FROM span WHERE start_offset % 37 = 0 AND start_offset > 0

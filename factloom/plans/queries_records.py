@@ -282,7 +282,8 @@ def a_duplicates(spark, d):
     return rules.duplicates(table(spark, d, "documents").select(F.sha2("text", 256).alias("k")), "k")
 
 
-@query()
+@query("""WITH r AS (SELECT substr(sha256(CAST(doc_id AS VARCHAR)), 1, 3) AS bucket, doc_id || '=' || sha256(CAST(to_json({'doc_id': doc_id, 'lang': lang, 'text': text}) AS VARCHAR)) AS kd FROM documents),
+b AS (SELECT bucket, sha256(string_agg(kd, chr(10) ORDER BY kd)) AS d FROM r GROUP BY bucket) SELECT sha256(string_agg(d, chr(10) ORDER BY bucket)) AS fingerprint FROM b""")
 def a_fingerprint(spark, d):
     from factloom.functions.hashing import fingerprint
 
