@@ -190,6 +190,30 @@ def resample(raw, width: int, height: int, bounds: tuple[int, int, int, int], si
     return _half_up(rgb @ np.array([0.2126, 0.7152, 0.0722])).astype(np.uint8)
 
 
+def resampled(width: int, height: int, bounds: tuple[int, int, int, int], size: tuple[int, int] = SIGNATURE):
+    """UDF: raw RGB frame to its signature within bounds; a frame of another size gives null."""
+
+    @arrow_udf("binary")
+    def udf(frames: pd.Series) -> pd.Series:
+        return frames.map(lambda raw: None if raw is None or len(raw) != width * height * 3 else resample(raw, width, height, bounds, size).tobytes())
+
+    return udf
+
+
+def scan(streams: DataFrame, key: str, raw: str, frame_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """(frames, violations) of raw streams: (key, number, frame) of each whole frame; streams that are
+    empty or end within a frame are refused."""
+    from factloom.operators.rules import union, violations
+
+    size = F.octet_length(raw)
+    cut = F.transform(F.sequence(F.lit(0), F.expr(f"octet_length({raw}) div {frame_bytes} - 1").cast("int")), lambda i: F.substring(F.col(raw), i * frame_bytes + 1, F.lit(frame_bytes)))
+    frames = streams.where(size >= frame_bytes).select(key, F.posexplode(cut).alias("number", "frame"))
+    return frames, union(
+        violations(streams, "NO_FRAMES", F.col(key), F.coalesce(size, F.lit(0)) == 0),
+        violations(streams, "TRUNCATED_FRAME", F.col(key), size % frame_bytes != 0, size % frame_bytes),
+    )
+
+
 def boundary_scores(rgb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Mean absolute RGB difference at each boundary between rows and between columns; every other
     pixel along the boundary counts, the frame's own edges are zero."""

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.plans import queries_functions, queries_order, queries_pages, queries_records
+from factloom.plans import queries_functions, queries_more, queries_order, queries_pages, queries_records
 
-_PARTS = (queries_functions, queries_records, queries_pages, queries_order)
+_PARTS = (queries_functions, queries_records, queries_pages, queries_order, queries_more)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,3 +49,12 @@ def local_name(number: Column, content: Column, mime: Column) -> Column:
 
 def markdown_image(alt: Column, path: Column) -> Column:
     return F.concat(F.lit("!["), escape_alt(alt), F.lit("](<"), path, F.lit(">)"))
+
+
+def localise(markdown: Column, images: Column) -> Column:
+    """markdown with the token of each image, an array of (token, alt, path), replaced by the image; images
+    without a path leave nothing behind."""
+    def one(text: Column, i: Column) -> Column:
+        return F.replace(text, i["token"], F.coalesce(markdown_image(i["alt"], i["path"]), F.lit("")))
+
+    return F.aggregate(images, markdown, one)
