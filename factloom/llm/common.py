@@ -7,6 +7,7 @@ and never a recomputation of the whole lineage.
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import tempfile
 import uuid
@@ -40,12 +41,29 @@ def _hadoop(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+#: Folders opened by this process, in order; ``scratch`` removes them again.
+_OPENED: list[str] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Removes, at its end, the tables that operators wrote within: their results must be consumed by then."""
+    mark = len(_OPENED)
+    try:
+        yield
+    finally:
+        for path in _OPENED[mark:]:
+            drop_folder(spark, path)
+        del _OPENED[mark:]
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared one, removed when the driver's JVM ends."""
+    """A fresh folder under the shared one, removed by ``scratch`` or else when the driver's JVM ends."""
     path = f"{shared_root(spark)}/factloom-{name}-{uuid.uuid4().hex}"
     fs, p = _hadoop(spark, path)
     fs.mkdirs(p)
     fs.deleteOnExit(p)
+    _OPENED.append(path)
     return path
 
 

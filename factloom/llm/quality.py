@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from factloom.llm import rules, weak
-from factloom.llm.common import Stash, pick, slices, text_of
+from factloom.llm.common import Stash, pick, slices, text_of, trim
 
 BUCKETS = 1 << 16
 #: Bytes of text that are hashed at once.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 _SHAPE = np.array([65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 or c >= 128 else 57 if 48 <= c <= 57 else c for c in range(256)], np.uint8)
@@ -254,6 +254,7 @@ def scored(docs: DataFrame, weights: np.ndarray, bias: float, text_col: str = "t
         for b in slices(batches):
             found = score(b.column("text").to_pylist(), *share.value)
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(found, pa.float64())], names=["row", "score"])
+        trim()
 
     return extra.mapInArrow(run, StructType([extra.schema["row"], StructField("score", DoubleType())]))
 

@@ -66,3 +66,41 @@ def test_a_full_filter_changes_nothing(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert passages.remove_repeats(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_the_automaton_decides():
+    words = [b"w%d" % i for i in range(40)]
+    docs = [(1, words), (2, [b"x"] + words[3:30] + [b"y"])]
+    h = passages.window_hashes(passages._hashes(docs[1][1]))[0]
+    start = np.arange(1, 16)
+    places = ((h[start] & 0x7FFFFFFF).astype(np.int32), np.full(15, 2), start.astype(np.int32), np.full(15, 1))
+    whole = passages.locate(docs, places, 1000)
+    assert not whole[0].any() and whole[1].tolist() == [False] + [True] * 27 + [False]
+    real = passages.automata
+    try:
+        passages.automata = lambda patterns, most: real([("~", 0)], most)
+        assert not any(x.any() for x in passages.locate(docs, places, 1000)), "nothing found, nothing removed"
+    finally:
+        passages.automata = real
+
+
+def test_hot_tiles_are_compiled_as_whole_windows(monkeypatch):
+    rng = np.random.default_rng(8)
+    hot = [b"h%d" % i for i in range(7)]
+    docs = []
+    for i in range(60):
+        own = [b"v%d" % x for x in rng.integers(0, 10**6, 12)]
+        docs += [(2 * i, own[:6] + hot + own[6:]), (2 * i + 1, [b"z"] + own[:6] + hot + own[6:])]
+    first = {}
+    for d, w in docs:
+        for i in range(len(w) - 12):
+            first.setdefault(tuple(w[i : i + 13]), (d, i))
+    rows = []
+    for d, w in docs:
+        h = passages.window_hashes(passages._hashes(w))[0]
+        rows += [(int(h[i] & 0x7FFFFFFF), d, i, first[tuple(w[i : i + 13])][0]) for i in range(len(w) - 12) if first[tuple(w[i : i + 13])][0] < d]
+    places = tuple(np.array(c, t) for c, t in zip(zip(*rows), (np.int32, np.int64, np.int32, np.int64)))
+    want = [[False] * len(w) if d % 2 == 0 else [False] + [True] * 19 for d, w in docs]
+    for most in (16, 0, 1000):
+        monkeypatch.setattr(passages, "MOST_SAME", most)
+        assert [x.tolist() for x in passages.locate(docs, places, 50)] == want

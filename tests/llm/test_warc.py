@@ -2,8 +2,10 @@ import gzip
 import hashlib
 import os
 
+from pyspark.sql import functions as F
+
 from factloom.llm import warc
-from factloom.llm.common import new_folder
+from factloom.llm.common import Stash, new_folder, range_shards
 
 SCHEMA = "page_id long, url string, html string, digest string"
 
@@ -71,3 +73,21 @@ def test_repeats_nulls_and_empty_table(spark):
     root = new_folder(spark, "t")
     assert warc.write_warc(spark.createDataFrame([], SCHEMA), root).collect() == []
     assert warc.read_warc(spark, root).collect() == []
+
+
+def test_shards_hold_their_target_whatever_the_ids(spark):
+    wide = [(i, 100) for i in range(5000)] + [(1 << 62, 100), (-(1 << 63), 100), ((1 << 63) - 1, 100)]
+    clusters = [(c * 10**12 + i, 100) for c in range(4) for i in range(1000)]
+    nulls = [(None, 100)] * 3000 + [(7, 100)] * 3000 + [(i, 100) for i in range(500)]
+    for rows in (wide, clusters, nulls, [(5, 100)] * 4000, [(None, 100)] * 4000, [(i, 100) for i in range(-20, 20)]):
+        df = spark.createDataFrame([(i, n, j) for j, (i, n) in enumerate(rows)], "id long, size long, j long")
+        deal, count = range_shards(Stash(spark, "t"), df, "id", "size", 20_000)
+        dealt = deal(df, F.xxhash64("j"))
+        assert dealt.columns == [*df.columns, "shard"]
+        held = {r.shard: r for r in dealt.groupBy("shard").agg(F.sum("size").alias("b"), F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).collect()}
+        assert sum(r.n for r in held.values()) == len(rows) and set(held) <= set(range(count))
+        assert max(r.b for r in held.values()) <= 40_000, "no shard above twice its target"
+        order = [held[s] for s in sorted(held) if held[s].low is not None]
+        assert all(a.high <= b.low for a, b in zip(order, order[1:])), "shards are ranges of the id"
+    deal, count = range_shards(Stash(spark, "t"), df.where("false"), "id", "size", 20_000)
+    assert count == 1 and deal(df.where("false"), F.xxhash64("j")).count() == 0
