@@ -59,13 +59,26 @@ def is_acyclic(edges: DataFrame) -> bool:
     return cycle_edges(edges).isEmpty()
 
 
-def export(edges: DataFrame, supersession: DataFrame) -> DataFrame:
+def records(edges: DataFrame, supersession: DataFrame, claims: DataFrame) -> DataFrame:
+    """(part, src, dst, type): the dependency graph a row at a time, however large: nodes, provenance
+    edges and supersession edges. Nodes are the claims and all ends of edges."""
+    ends = edges.select(F.array("src", "dst").alias("n")).unionByName(supersession.select(F.array("src", "dst").alias("n")))
+    nodes = ends.select(F.explode("n").alias("src")).unionByName(claims.select(F.col("canonical_claim_id").alias("src"))).distinct()
+    none = F.lit(None).cast("string")
+    return (
+        nodes.select(F.lit("node").alias("part"), "src", none.alias("dst"), none.alias("type"))
+        .unionByName(edges.select(F.lit("edge").alias("part"), "src", "dst", "type"))
+        .unionByName(supersession.select(F.lit("supersession").alias("part"), "src", "dst", none.alias("type")))
+    )
+
+
+def export(edges: DataFrame, supersession: DataFrame, claims: DataFrame) -> DataFrame:
     """One row (graph) with the sorted node and edge lists as JSON: the dependency graph record.
 
-    Meant for the claims of one knowledge base, a report of bounded size.
+    Meant for the claims of one knowledge base, a report of bounded size; ``records`` has no bound.
     """
-    ends = edges.select(F.col("src").alias("n")).unionByName(edges.select(F.col("dst").alias("n")))
-    nodes = ends.agg(F.sort_array(F.collect_set("n")).alias("nodes"))
-    listed = edges.agg(F.sort_array(F.collect_list(F.struct(F.col("src").alias("from"), F.col("dst").alias("to"), "type"))).alias("edges"))
-    newer = supersession.agg(F.sort_array(F.collect_list(F.struct(F.col("src").alias("from"), F.col("dst").alias("to")))).alias("supersession_edges"))
-    return nodes.crossJoin(listed).crossJoin(newer).select(F.to_json(F.struct("nodes", "edges", "supersession_edges")).alias("graph"))
+    rows = records(edges, supersession, claims)
+    of = lambda part, value: F.sort_array(F.collect_list(F.when(F.col("part") == part, value)))
+    ends = (F.col("src").alias("from"), F.col("dst").alias("to"))
+    lists = rows.agg(of("node", F.col("src")).alias("nodes"), of("edge", F.struct(*ends, "type")).alias("edges"), of("supersession", F.struct(*ends)).alias("supersession_edges"))
+    return lists.select(F.to_json(F.struct("nodes", "edges", "supersession_edges")).alias("graph"))

@@ -187,14 +187,11 @@ def p_record_schema(spark, d):
 
 
 @query(f"""WITH {CANONICAL_SQL}, e AS (SELECT unnest(supporting) AS src, canonical_claim_id AS dst, 'supports' AS type FROM canonical UNION ALL SELECT unnest(opposing), canonical_claim_id, 'opposes' FROM canonical UNION ALL SELECT 'cc_parent', canonical_claim_id, 'derived-from' FROM canonical WHERE derived),
-n AS (SELECT src AS node FROM e UNION SELECT dst FROM e)
-SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM e) AS edges, count(*) AS supersession_edges, (SELECT src || '>' || dst FROM e ORDER BY src, dst LIMIT 1) AS first_edge FROM canonical WHERE superseded""")
+n AS (SELECT src AS node FROM e UNION SELECT dst FROM e UNION SELECT canonical_claim_id FROM canonical UNION SELECT 'cc_newer' FROM canonical WHERE superseded)
+SELECT 'node' AS part, node AS src, CAST(NULL AS VARCHAR) AS dst, CAST(NULL AS VARCHAR) AS type FROM n UNION ALL SELECT 'edge', src, dst, type FROM e UNION ALL SELECT 'supersession', 'cc_newer', canonical_claim_id, NULL FROM canonical WHERE superseded""")
 def g_export(spark, d):
     k = derive.canonical(spark, d).withColumn("supersedes", F.array().cast("array<string>"))
-    kind = "struct<nodes:array<string>,edges:array<struct<`from`:string,to:string,type:string>>,supersession_edges:array<struct<`from`:string,to:string>>>"
-    g = graph.export(graph.provenance_edges(k), graph.supersession_edges(k)).select(F.from_json("graph", kind).alias("g"))
-    first = F.col("g.edges")[0]
-    return g.select(F.size("g.nodes").cast("long").alias("nodes"), F.size("g.edges").cast("long").alias("edges"), F.size("g.supersession_edges").cast("long").alias("supersession_edges"), F.concat_ws(">", first["from"], first["to"]).alias("first_edge"))
+    return graph.records(graph.provenance_edges(k), graph.supersession_edges(k), k)
 
 
 #: A page a part: its number decides type, status and which rules it breaks.

@@ -111,6 +111,18 @@ def test_verification_recomputes_claims_and_statuses(spark):
     assert codes(span_dispositions=t["span_dispositions"].limit(5)) == {"VERIFY_DISPOSITION", "VERIFY_SPAN_COVERAGE"}
 
 
+def test_the_graph_record(spark):
+    import json
+
+    from factloom.operators import graph
+
+    none = "cast(array() as array<string>)"
+    k = spark.sql(f"SELECT 'cc_a' AS canonical_claim_id, array('ec_2', 'ec_1') AS supporting, array('ec_3') AS opposing, {none} AS derived_from, array('cc_b') AS supersedes, {none} AS superseded_by UNION ALL SELECT 'cc_b', {none}, {none}, array('cc_a'), {none}, array('cc_a') UNION ALL SELECT 'cc_c', {none}, {none}, {none}, {none}, {none}")
+    got = json.loads(graph.export(graph.provenance_edges(k), graph.supersession_edges(k), k).first().graph)
+    assert got["nodes"] == ["cc_a", "cc_b", "cc_c", "ec_1", "ec_2", "ec_3"] and got["supersession_edges"] == [{"from": "cc_a", "to": "cc_b"}]
+    assert [(e["from"], e["to"], e["type"]) for e in got["edges"]] == [("cc_a", "cc_b", "derived-from"), ("ec_1", "cc_a", "supports"), ("ec_2", "cc_a", "supports"), ("ec_3", "cc_a", "opposes")]
+
+
 def test_deep_graphs_are_refused_and_not_called_cyclic(spark):
     from factloom.operators import graph
 
