@@ -28,6 +28,7 @@ NARRATION = (
     r"(?i)\b(?:in|later\s+in)\s+(?:the\s+)?(?:video|lecture|talk)\b",
     r"(?i)\b(?:the\s+)?slide\s+(?:shows?|demonstrates?|illustrates?|presents?)\b",
 )
+#: Patterns of what notes and pages hold, fixed values.
 GENERIC_ALT = r"(?i)^(?:课件帧|幻灯片(?:截图|帧)?|slide(?:\s+frame)?|screenshot)(?:[，,\s:—-]*\d{1,2}:\d{2}(?::\d{2})?)?$"
 TIMESTAMP_URL = r"(?i)https?://[^\s)>\]]+(?:[?&](?:t|start)=\d+s?)[^\s)>\]]*"
 CITATION = r"\[\^(cc_[a-z0-9][a-z0-9_-]{2,80})\]"

@@ -10,6 +10,10 @@ def _whole(seconds: Column) -> Column:
     return F.greatest(F.floor(F.coalesce(seconds.cast("double"), F.lit(0.0))), F.lit(0)).cast("long")
 
 
+#: File names of slides, a fixed value.
+SLIDE_NAME = r"(?i)^\d{3,}-(\d{2})h(\d{2})m(\d{2})s\.(?:jpe?g|png|webp)$"
+
+
 def clock(seconds: Column, template: str = "%02d:%02d:%02d") -> Column:
     """HH:MM:SS of seconds, floored, never negative; hours may have more than two digits."""
     s = _whole(seconds)
@@ -23,7 +27,7 @@ def file_clock(seconds: Column) -> Column:
 def slide_seconds(path: Column) -> Column:
     """Seconds in a slide's file name; null where the name has none or minutes or seconds exceed 59."""
     name = F.regexp_extract(path, r"([^/]*)$", 1)
-    part = [F.regexp_extract(name, r"(?i)^\d{3,}-(\d{2})h(\d{2})m(\d{2})s\.(?:jpe?g|png|webp)$", i).try_cast("int") for i in (1, 2, 3)]
+    part = [F.regexp_extract(name, SLIDE_NAME, i).try_cast("int") for i in (1, 2, 3)]
     return F.when((part[1] <= 59) & (part[2] <= 59), part[0] * 3600 + part[1] * 60 + part[2])
 
 

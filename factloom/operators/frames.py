@@ -19,6 +19,8 @@ LEAST_SAMPLES, REPRESENTATIVES = 2, 3
 ASPECTS = (4 / 3, 3 / 2, 16 / 10, 16 / 9)
 SIGNATURE = (96, 54)
 QUALITY = "struct<border_luma_deficit:double,contrast:double,dark_border_ratio:double,mean_luma:double,score:double,sharpness:double>"
+#: Thresholds of the rectangle search, fixed values.
+DARKER, LEAST_SIDE, LEAST_AREA, MOST_AREA, ASPECT_ERROR, LEAST_CONFIDENCE = 28, 0.35, 0.55, 0.985, 0.055, 0.62
 DIFFERENCE = "struct<changed_ratio:double,mean_difference:double>"
 BOUNDS = "struct<confidence:double,height:int,width:int,x:int,y:int>"
 
@@ -264,20 +266,20 @@ def slide_bounds(raw, width: int, height: int) -> tuple | None:
         return part.mean() if part.size else None
 
     def darker(outer, inner):
-        return outer is not None and inner is not None and inner - outer >= 28
+        return outer is not None and inner is not None and inner - outer >= DARKER
 
-    wide = [(a, b) for i, a in enumerate(xs) for b in xs[i + 1 :] if b[0] - a[0] >= width * 0.35]
-    tall = [(a, b) for i, a in enumerate(ys) for b in ys[i + 1 :] if b[0] - a[0] >= height * 0.35]
+    wide = [(a, b) for i, a in enumerate(xs) for b in xs[i + 1 :] if b[0] - a[0] >= width * LEAST_SIDE]
+    tall = [(a, b) for i, a in enumerate(ys) for b in ys[i + 1 :] if b[0] - a[0] >= height * LEAST_SIDE]
     best = None
     for left, right in wide:
         for top, bottom in tall:
             w, h = right[0] - left[0], bottom[0] - top[0]
             area = w * h / (width * height)
-            if not 0.55 <= area <= 0.985:
+            if not LEAST_AREA <= area <= MOST_AREA:
                 continue
             error = min(abs(np.log(w / h / a)) for a in ASPECTS)
             found = [e for e in (left, right, top, bottom) if not e[2]]
-            if error > 0.055 or len(found) < 3:
+            if error > ASPECT_ERROR or len(found) < 3:
                 continue
             (l, r), (t, b) = (left[0], right[0]), (top[0], bottom[0])
             dark = sum((
@@ -288,10 +290,10 @@ def slide_bounds(raw, width: int, height: int) -> tuple | None:
             ))
             if dark < 3:
                 continue
-            strength, aspect = sum(e[1] for e in found) / len(found), 1 - error / 0.055
+            strength, aspect = sum(e[1] for e in found) / len(found), 1 - error / ASPECT_ERROR
             confidence = 0.55 * strength + 0.35 * aspect + 0.1 * area
             points = 2 * strength + 3 * aspect + 0.8 * area + 0.12 * len(found)
-            if confidence >= 0.62 and (best is None or points > best[0]):
+            if confidence >= LEAST_CONFIDENCE and (best is None or points > best[0]):
                 best = points, (round(float(confidence), 3), h, w, l, t)
     return best and best[1]
 

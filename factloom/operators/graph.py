@@ -5,17 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.operators.rules import exploded
 from factloom.session import written
 
 
 def provenance_edges(canonical: DataFrame) -> DataFrame:
     """(src, dst, type): evidence to claims it supports or opposes, parents to claims derived from them."""
-    parts = [("supporting", "supports"), ("opposing", "opposes"), ("derived_from", "derived-from")]
-    out = None
-    for column, kind in parts:
-        e = canonical.select(F.explode(column).alias("src"), F.col("canonical_claim_id").alias("dst"), F.lit(kind).alias("type"))
-        out = e if out is None else out.unionByName(e)
-    return out
+    edges = exploded(canonical, "canonical_claim_id", "type", {"supporting": "supports", "opposing": "opposes", "derived_from": "derived-from"})
+    return edges.select(F.col("item").alias("src"), F.col("canonical_claim_id").alias("dst"), "type")
 
 
 def supersession_edges(canonical: DataFrame) -> DataFrame:

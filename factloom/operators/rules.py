@@ -161,12 +161,19 @@ def unit_rules(units: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
+def exploded(df: DataFrame, key: str, label: str, named: dict[str, str]) -> DataFrame:
+    """(key, item, label) of every item of several array columns, in one pass; named: column to its label."""
+    none = F.array().cast("array<string>")
+
+    def items(column: str, name: str) -> Column:
+        return F.transform(F.coalesce(F.col(column), none), lambda x: F.struct(x.alias("item"), F.lit(name).alias(label)))
+
+    return df.select(key, F.explode(F.concat(*(items(c, n) for c, n in named.items()))).alias("e")).select(key, "e.item", f"e.{label}")
+
+
 def evidence_edges(canonical: DataFrame) -> DataFrame:
     """(canonical_claim_id, evidence_claim_id, side) of support and opposition."""
-    def side(column: str, name: str) -> DataFrame:
-        return canonical.select("canonical_claim_id", F.explode(column).alias("evidence_claim_id"), F.lit(name).alias("side"))
-
-    return side("supporting", "supports").unionByName(side("opposing", "opposes"))
+    return exploded(canonical, "canonical_claim_id", "side", {"supporting": "supports", "opposing": "opposes"}).withColumnRenamed("item", "evidence_claim_id")
 
 
 def qualifier_rules(canonical: DataFrame, claims: DataFrame) -> DataFrame:

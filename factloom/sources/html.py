@@ -176,13 +176,18 @@ def candidates(doc: Node, adapter: str) -> list[Node]:
     return out
 
 
+#: What parts of a root are worth beside its characters, fixed values.
+HEADING_POINTS, IMAGE_POINTS, BODY_POINTS = 500, 250, 120_000
+VIEW_POINTS = {"twitterArticleReadView": 100_000, "article-content": 80_000}
+TAG_POINTS = {"article": 100_000, "main": 10_000}
+
+
 def score(node: Node, adapter: str) -> int:
-    total = len(_text_of(node)) + 500 * len(node.find("h1", "h2", "h3", "h4", "h5", "h6")) + 250 * len(node.find("img"))
-    test = node.attrs.get("data-testid", "")
+    total = len(_text_of(node)) + HEADING_POINTS * len(node.find("h1", "h2", "h3", "h4", "h5", "h6")) + IMAGE_POINTS * len(node.find("img"))
     if adapter == "x-article":
-        return total + {"twitterArticleReadView": 100_000, "article-content": 80_000}.get(test, 0)
-    total += 120_000 * (node.attrs.get("itemprop") == "articleBody")
-    return total + {"article": 100_000, "main": 10_000}.get(node.tag, 0)
+        return total + VIEW_POINTS.get(node.attrs.get("data-testid", ""), 0)
+    total += BODY_POINTS * (node.attrs.get("itemprop") == "articleBody")
+    return total + TAG_POINTS.get(node.tag, 0)
 
 
 def pick_root(doc: Node, adapter: str) -> tuple[Node | None, int]:

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factloom.sources import files
+
 _KINDS = {
     T.StringType: "STRING", T.LongType: "BIGINT", T.IntegerType: "BIGINT", T.BooleanType: "BOOLEAN",
 }
@@ -80,10 +82,10 @@ def write_json_atomic(path: str, value) -> None:
 
 
 def tree_hash(spark: SparkSession, root: str) -> DataFrame:
-    """(path, sha256) of every file below root, relative to it."""
+    """(path, sha256) of every file below root, relative to it; root may lie in any file system."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = os.path.abspath(root).rstrip("/") + "/"
-    return raw.select(F.regexp_replace(F.regexp_replace("path", r"^file:/*", "/"), "^" + base.replace(".", r"\."), "").alias("path"), F.sha2("content", 256).alias("sha256"))
+    base = files.qualified(spark, root).rstrip("/") + "/"
+    return raw.select(F.substring("path", len(base) + 1, 1 << 20).alias("path"), F.sha2("content", 256).alias("sha256"))
 
 
 def new_build_id() -> str:
@@ -100,19 +102,16 @@ class Publication:
     """Builds of a knowledge base: tables below builds/<id>, and a pointer file that names the current one.
 
     Tables are written first and verified as written; then one rename of the pointer publishes them.
-    Until it, readers see the previous build; a failure removes what was written. A lock folder
-    keeps two publishers apart.
+    Until it, readers see the previous build; a failure removes what was written. A lock file
+    keeps two publishers apart. The target may lie in any file system that Spark reaches.
     """
 
     def __init__(self, spark: SparkSession, target: str):
         self.spark, self.target = spark, target
 
     def current(self) -> dict | None:
-        try:
-            with open(f"{self.target}/current.json", encoding="utf-8") as f:
-                return json.load(f)
-        except FileNotFoundError:
-            return None
+        found = files.read_text(self.spark, f"{self.target}/current.json")
+        return None if found is None else json.loads(found)
 
     def read(self, table: str) -> DataFrame:
         state = self.current()
@@ -122,17 +121,12 @@ class Publication:
 
     def publish(self, tables: dict[str, DataFrame], fingerprint: str, verify=None, build_id: str | None = None) -> dict:
         """Publish tables; equal fingerprints publish nothing. verify(read) raises to refuse."""
-        import shutil
-
         state = self.current()
         if state is not None and state["fingerprint"] == fingerprint:
             return {**state, "status": "noop"}
-        os.makedirs(self.target, exist_ok=True)
         lock = f"{self.target}/publish.lock"
-        try:
-            os.mkdir(lock)
-        except FileExistsError:
-            raise ValueError("PUBLISH_LOCKED") from None
+        if not files.take_lock(self.spark, lock):
+            raise ValueError("PUBLISH_LOCKED")
         build = build_id or new_build_id()
         root = f"{self.target}/builds/{build}"
         try:
@@ -140,16 +134,16 @@ class Publication:
                 df.write.parquet(f"{root}/{name}")
             if verify is not None:
                 verify(lambda name: self.spark.read.parquet(f"{root}/{name}"))
-            files = {r.path: r.sha256 for r in tree_hash(self.spark, root).where("path NOT LIKE '%.crc'").collect()}
-            new = {"build_id": build, "fingerprint": fingerprint, "tables": sorted(tables), "files": files, "previous": state and state["build_id"]}
+            written = {r.path: r.sha256 for r in tree_hash(self.spark, root).where("path NOT LIKE '%.crc'").collect()}
+            new = {"build_id": build, "fingerprint": fingerprint, "tables": sorted(tables), "files": written, "previous": state and state["build_id"]}
             new["manifest_sha256"] = manifest_digest(new)
-            write_json_atomic(f"{self.target}/current.json", new)
+            files.write_text(self.spark, f"{self.target}/current.json", json.dumps(new, ensure_ascii=False, sort_keys=True, indent=2))
             return {**new, "status": "published"}
         except BaseException:
-            shutil.rmtree(root, ignore_errors=True)
+            files.delete(self.spark, root)
             raise
         finally:
-            os.rmdir(lock)
+            files.delete(self.spark, lock)
 
     def drifted(self) -> DataFrame:
         """Files of the current build that are not as they were published."""

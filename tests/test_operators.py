@@ -234,10 +234,10 @@ def test_publication(spark, tmp_path):
     with pytest.raises(ValueError, match="gate"):
         pub.publish({"claims": one.union(one)}, "f2", refuse)
     assert pub.current()["build_id"] == first["build_id"] and pub.read("claims").count() == 1
-    (tmp_path / "kb" / "publish.lock").mkdir()
+    (tmp_path / "kb" / "publish.lock").write_text("")
     with pytest.raises(ValueError, match="LOCKED"):
         pub.publish({"claims": one}, "f3")
-    (tmp_path / "kb" / "publish.lock").rmdir()
+    (tmp_path / "kb" / "publish.lock").unlink()
     part = next((tmp_path / "kb" / "builds" / first["build_id"] / "claims").glob("part-*.parquet"))
     part.write_bytes(part.read_bytes() + b"x")
     part.with_name(f".{part.name}.crc").unlink()
