@@ -216,7 +216,7 @@ def m_article_score(spark, d):
 p AS (SELECT page_id, list_transform(string_split(a, '<p>'), lambda x: {'bold': starts_with(x, '<b>'), 't': replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&')}) AS p FROM a),
 m AS (SELECT page_id, p, list_transform(p, lambda x: {'bold': x.bold, 't': regexp_replace(replace(trim(x.t), chr(92), repeat(chr(92), 2)), '([`*_\[\]<>])', chr(92) || chr(92) || chr(92) || '1', 'g')}) AS e FROM p)
 SELECT page_id, trim(p[1].t) AS title, array_to_string(list_transform(e, lambda x, i: CASE WHEN i = 1 THEN '# ' || x.t WHEN x.bold THEN '**' || x.t || chr(10) || '**' ELSE x.t END), chr(10) || chr(10)) AS markdown,
- CAST(length(array_to_string(list_transform(p, lambda x: trim(x.t)), chr(10))) AS INTEGER) AS characters, CAST(100500 + length(array_to_string(list_transform(p, lambda x: trim(x.t)), chr(10))) AS DOUBLE) AS root_score, false AS challenge FROM m""")
+ CAST(length(array_to_string(list_transform(p, lambda x: trim(x.t)), chr(10))) AS INTEGER) AS characters, CAST(100500 + length(array_to_string(list_transform(p, lambda x: trim(x.t)), chr(10))) AS INTEGER) AS root_score, false AS challenge FROM m""")
 def m_article_extract(spark, d):
     pages = table(spark, d, "pages")
     art = html.extract("html", "url", urls.adapter(urls.host(F.col("url"))))
