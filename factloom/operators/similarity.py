@@ -9,6 +9,8 @@ cells are alike in size whatever the claims are, and no side is broadcast. Candi
 
 from __future__ import annotations
 
+from math import ceil, sqrt
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,11 +89,14 @@ def signals(claims: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         F.filter(F.split("statement", r"\s+"), lambda x: x != "").alias("tokens"),
     )
     c = c.withColumn("size", F.length("folded")).withColumn("set_size", F.length(F.array_join(F.array_distinct("tokens"), " ")))
-    blocks = max(1, -(-claims.count() // BLOCK_ROWS))
+    n, cores = claims.count(), claims.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, -(-n // BLOCK_ROWS), min(n // 16, ceil(sqrt(2 * cores))))  # a cell for each core at least
     c = c.withColumn("block", F.pmod(F.xxhash64("evidence_claim_id"), F.lit(blocks)).cast("int"))
     cell = lambda own, other: F.struct(F.least(own, other).alias("i"), F.greatest(own, other).alias("j"))
     dealt = c.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("cell", cell(F.col("block"), F.col("other")))
-    a, b = dealt.where("block = cell.i").alias("a"), dealt.where("block = cell.j").alias("b")
+    # a given number of partitions, so that small tables with costly pairs still fill the cores
+    parts = min(max(cores, blocks * (blocks + 1) // 2), 100_000)
+    a, b = (dealt.where(f"block = cell.{side}").repartition(parts, "cell").alias(name) for side, name in (("i", "a"), ("j", "b")))
 
     def within(x: str) -> Column:
         """2 * LCS / (m + n) is at most 2 * min / (m + n): can this ratio reach the threshold?"""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.hashing import stable_id
 from factloom.operators import segment
-from factloom.session import table
+from factloom.session import spread, table
 
 NEGATORS = ("not", "no", "nicht", "kein", "pas", "non")
 
@@ -28,7 +28,7 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, start_offset, end_offset, line, content, span_kind)."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return segment.span_rows(d, "doc_id", "text", F.lit(1)).withColumnRenamed("evidence_unit_id", "doc_id")
 
 

@@ -9,7 +9,7 @@ from factloom.functions import hashing, text, timecode, urls
 from factloom.operators import identity
 from factloom.plans.derive import SOURCES_SQL
 from factloom.plans.registry import registry
-from factloom.session import table
+from factloom.session import spread, table
 from factloom.sources import html, images, markdown, vtt
 
 QUERIES, SQL, query = registry()
@@ -218,7 +218,7 @@ m AS (SELECT page_id, p, list_transform(p, lambda x: {'bold': x.bold, 't': regex
 SELECT page_id, trim(p[1].t) AS title, array_to_string(list_transform(e, lambda x, i: CASE WHEN i = 1 THEN '# ' || x.t WHEN x.bold THEN '**' || x.t || chr(10) || '**' ELSE x.t END), chr(10) || chr(10)) AS markdown,
  CAST(length(array_to_string(list_transform(p, lambda x: trim(x.t)), chr(10))) AS INTEGER) AS characters, CAST(100500 + length(array_to_string(list_transform(p, lambda x: trim(x.t)), chr(10))) AS INTEGER) AS root_score, false AS challenge FROM m""")
 def m_article_extract(spark, d):
-    pages = table(spark, d, "pages")
+    pages = spread(table(spark, d, "pages"))
     art = html.extract("html", "url", urls.adapter(urls.host(F.col("url"))))
     got = pages.select("page_id", art.alias("a"))
     return got.select("page_id", "a.title", "a.markdown", "a.characters", "a.root_score", html.is_challenge(F.col("a.markdown"), F.col("a.characters")).alias("challenge"))
@@ -228,7 +228,7 @@ def m_article_extract(spark, d):
 WITH c AS (SELECT conv_id, turn, {_WORDS_SQL} AS text FROM conversations)
 SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS cue, CAST(turn * 65.5 AS DOUBLE) AS start, CAST(turn * 65.5 + 5 AS DOUBLE) AS "end", text FROM c""")
 def io_vtt_parse(spark, d):
-    rows = table(spark, d, "conversations").withColumn("text", F.expr(_WORDS))
+    rows = spread(table(spark, d, "conversations")).withColumn("text", F.expr(_WORDS))
     files = vtt.render(rows.withColumn("s", F.col("turn") * 65.5).withColumn("e", F.col("turn") * 65.5 + 5), "conv_id", "turn", "s", "e", "text")
     return vtt.parse(files, "conv_id", "vtt").where("problem IS NULL").select("conv_id", F.row_number().over(Window.partitionBy("conv_id").orderBy("cue")).alias("cue"), "start", "end", "text")
 

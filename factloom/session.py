@@ -35,6 +35,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df for work that costs far more than reading it: rows of fewer partitions than there are cores are
+    dealt to all of them. Tables of many files stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _checkpoint_root(spark: SparkSession) -> str:
     """The folder that driver and executors share; local sessions without one get one of their own."""
     context = spark.sparkContext
