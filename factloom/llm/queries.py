@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import line_templates, mixing, packing, passages, quality, rules, search, secrets, simhash, warc
+from factloom.llm import line_templates, middle, mixing, packing, passages, quality, rules, search, secrets, simhash, suffixes, warc, whitening
 from factloom.llm.common import new_folder
 from factloom.session import table
 
@@ -67,6 +67,24 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    restored = middle.restore(F.col("output"), F.col("form"))
+    return found.select(
+        "row.doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"),
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"),
+    )
+
+
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.remove_substrings(table(spark, sf_dir, "documents"), with_bytes=False)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 WARC_SQL = """
 WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
@@ -150,6 +168,27 @@ SELECT d.doc_id, d.source, CAST(p.copy AS INT) AS copy, CAST(d.block AS INT) AS
 FROM doc d JOIN placed p ON d.source = p.source AND d.block = p.block
 """
 
+MIDDLE_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS h FROM documents
+), c AS (
+  SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (n + 1) AS a, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (n + 1) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 90 THEN 'plain'
+         WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM d
+), p AS (
+  SELECT *, least(a, b) AS low, greatest(a, b) AS high FROM c
+), o AS (
+  SELECT *, substr(text, 1, low) AS prefix, substr(text, low + 1, high - low) AS middle, substr(text, high + 1) AS suffix FROM p
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(low AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(high - low AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM o
+"""
+
 
 def queries() -> dict:
     return {
@@ -163,8 +202,11 @@ def queries() -> dict:
         "op8_source_mixing": op8_source_mixing,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_quality_rules": op10_quality_rules,
+        "op11_embedding_whitening": op11_embedding_whitening,
+        "op12_fill_in_middle": op12_fill_in_middle,
+        "op13_suffix_dedup": op13_suffix_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": WARC_SQL, "op4_line_dedup": LINES_SQL, "op8_source_mixing": MIXING_SQL}
+    return {"op1_warc": WARC_SQL, "op4_line_dedup": LINES_SQL, "op8_source_mixing": MIXING_SQL, "op12_fill_in_middle": MIDDLE_SQL}
