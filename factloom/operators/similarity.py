@@ -1,53 +1,25 @@
-"""Pairwise claim alignment: typed signals as expressions, string scores as one Arrow UDF.
-
-The exact all-pairs comparison is the operator; what makes it affordable is a filter that loses
-nothing. A pair can reach the threshold only if the length bound of the Indel ratio allows it or the
-statements share a token, so pairs that share no token and whose lengths are too far apart are never
-scored. Claims are dealt by hash to blocks, and every pair of blocks is a cell that an equi-join fills:
-cells are alike in size whatever the claims are, and no side is broadcast. Candidates are written once.
-"""
+"""Pairwise claim alignment: an exact similarity join finds the pairs, typed signals are expressions over them."""
 
 from __future__ import annotations
 
-from math import ceil, sqrt
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.udf import arrow_udf
-
 from factloom.functions.hashing import stable_id
 from factloom.functions.text import casefold
+from factloom.functions.udf import arrow_udf
+from factloom.operators.similarity_join import indel, lcs, similar_pairs
 from factloom.session import written
 
 VERSION = "2.0.0"
 THRESHOLD = 0.55
 MOST_CANDIDATES = 50_000
-#: Claims of a block.
-BLOCK_ROWS = 500
-
-
-def lcs(a: str, b: str) -> int:
-    """Length of the longest common subsequence, a row of bits at a time."""
-    if len(a) > len(b):
-        a, b = b, a
-    if not a:
-        return 0
-    where: dict[str, int] = {}
-    for i, c in enumerate(a):
-        where[c] = where.get(c, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    row = full
-    for c in b:
-        u = row & where.get(c, 0)
-        row = (row + u | row - u) & full
-    return len(a) - row.bit_count()
 
 
 def ratio(a: str, b: str) -> float:
     """Indel similarity in 0..100; two empty texts are equal."""
-    return 100.0 * 2 * lcs(a, b) / (len(a) + len(b)) if a or b else 100.0
+    return indel(lcs(a, b), len(a) + len(b))
 
 
 def token_set_ratio(a: str, b: str) -> float:
@@ -63,10 +35,9 @@ def token_set_ratio(a: str, b: str) -> float:
     return max(best, ratio(both, with_left), ratio(both, with_right)) if both else best
 
 
-@arrow_udf("double")
-def lexical(a: pd.Series, b: pd.Series, raw_a: pd.Series, raw_b: pd.Series) -> pd.Series:
-    """The larger of the ratio of folded statements and the token set ratio of the statements as they are."""
-    return pd.Series([max(ratio(w, x), token_set_ratio(y, z)) / 100 for w, x, y, z in zip(a, b, raw_a, raw_b)])
+@arrow_udf("array<string>")
+def token_set(statements: pd.Series) -> pd.Series:
+    return statements.map(lambda x: list(dict.fromkeys(x.split())))
 
 
 @arrow_udf("double")
@@ -79,40 +50,25 @@ def _compatible(a: Column, b: Column) -> Column:
 
 
 def signals(claims: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs of claims of different units at or above the threshold, with their typed signals."""
+    """Pairs of claims of different units at or above the threshold, with their typed signals.
+
+    Claim ids are unique, as the records' schema demands. A claim without an id or a unit pairs with none; a null statement,
+    subject or predicate counts as empty, while null times and scopes only agree with each other.
+    """
     if not 0 <= threshold <= 1:
         raise ValueError("INVALID_PARAMETER: the threshold lies between 0 and 1")
-    c = claims.select(
-        "evidence_claim_id", "evidence_unit_id", "statement", "polarity", "modality", "claim_type",
-        casefold("statement").alias("folded"), casefold("subject").alias("subject"), casefold("predicate").alias("predicate"),
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    c = claims.where("evidence_claim_id IS NOT NULL AND evidence_unit_id IS NOT NULL").select(
+        F.col("evidence_claim_id").cast("string").alias("id"), F.col("evidence_unit_id").cast("string").alias("unit"), text("statement").alias("statement"), "polarity", "modality", "claim_type",
+        casefold(text("statement")).alias("folded"), token_set(text("statement")).alias("tokens"), casefold(text("subject")).alias("subject"), casefold(text("predicate")).alias("predicate"),
         casefold("time").alias("time"), casefold("scope").alias("scope"), F.array_sort(F.array_distinct("conditions")).alias("conditions"),
-        F.filter(F.split("statement", r"\s+"), lambda x: x != "").alias("tokens"),
     )
-    c = c.withColumn("size", F.length("folded")).withColumn("set_size", F.length(F.array_join(F.array_distinct("tokens"), " ")))
-    n, cores = claims.count(), claims.sparkSession.sparkContext.defaultParallelism
-    blocks = max(1, -(-n // BLOCK_ROWS), min(n // 16, ceil(sqrt(2 * cores))))  # a cell for each core at least
-    c = c.withColumn("block", F.pmod(F.xxhash64("evidence_claim_id"), F.lit(blocks)).cast("int"))
-    cell = lambda own, other: F.struct(F.least(own, other).alias("i"), F.greatest(own, other).alias("j"))
-    dealt = c.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("cell", cell(F.col("block"), F.col("other")))
-    # a given number of partitions, so that small tables with costly pairs still fill the cores
-    parts = min(max(cores, blocks * (blocks + 1) // 2), 100_000)
-    a, b = (dealt.where(f"block = cell.{side}").repartition(parts, "cell").alias(name) for side, name in (("i", "a"), ("j", "b")))
-
-    def within(x: str) -> Column:
-        """2 * LCS / (m + n) is at most 2 * min / (m + n): can this ratio reach the threshold?"""
-        m, n = F.col(f"a.{x}"), F.col(f"b.{x}")
-        return 2 * F.least(m, n) >= F.lit(threshold - 1e-9) * (m + n)
-
-    reachable = within("size") | within("set_size") | F.arrays_overlap("a.tokens", "b.tokens")
-    same = (F.col("a.block") != F.col("b.block")) | (F.col("a.evidence_claim_id") < F.col("b.evidence_claim_id"))
-    met = a.join(b, (F.col("a.cell") == F.col("b.cell")) & same & (F.col("a.evidence_unit_id") != F.col("b.evidence_unit_id")) & reachable)
-    rows = met.select(F.struct("a.*").alias("a"), F.struct("b.*").alias("b"))
-    # the claim with the lesser id is the left one
-    turned = F.col("a.evidence_claim_id") > F.col("b.evidence_claim_id")
-    pairs = rows.select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b"))
-    scored = pairs.withColumn("lexical", lexical("a.folded", "b.folded", "a.statement", "b.statement")).where(F.col("lexical") >= threshold)
+    c = written(c)
+    found = similar_pairs(c.select("id", "unit", "folded", "statement", "tokens"), threshold)
+    typed = c.select("id", F.struct("polarity", "modality", "claim_type", "subject", "predicate", "time", "scope", "conditions").alias("of"))
+    scored = found.join(typed.select(F.col("id").alias("left_claim_id"), F.col("of").alias("a")), "left_claim_id").join(typed.select(F.col("id").alias("right_claim_id"), F.col("of").alias("b")), "right_claim_id")
     return scored.select(
-        F.col("a.evidence_claim_id").alias("left_claim_id"), F.col("b.evidence_claim_id").alias("right_claim_id"),
+        "left_claim_id", "right_claim_id",
         F.round("lexical", 6).alias("lexical_similarity"), "lexical",
         (similar("a.subject", "b.subject") >= 85).alias("entity"), (similar("a.predicate", "b.predicate") >= 75).alias("predicate"),
         (F.col("a.polarity") == F.col("b.polarity")).alias("polarity"), _compatible(F.col("a.time"), F.col("b.time")).alias("temporal"),
