@@ -23,7 +23,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import Stash, pick, range_shards, slices
+from factloom.llm.common import Stash, drop_folder, pick, range_shards, slices
 
 #: Payloads below this many bytes are stored again rather than revisited.
 REVISIT_LEAST = 1000
@@ -31,7 +31,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: All records carry one date, so that equal input gives equal bytes; callers may pass another.
 DATE = "2024-01-01T00:00:00Z"
 MANIFEST_SCHEMA = "file string, shard long, part long, records long, bytes long, sha256 string"
-READ_SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, record_id string, payload binary"
+READ_SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, record_id string, refers_to_id string, payload binary"
 
 
 @dataclass(frozen=True)
@@ -57,8 +57,9 @@ def _b32(digest: bytes) -> str:
     return "sha1:" + base64.b32encode(digest).decode()
 
 
-def _record_id(page_id: int | None, copy: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'factloom:page:{page_id}:{copy}')}>"
+def _record_id(page_id: int | None, digest: str, copy: int) -> str:
+    """Of the copy-th record with this row id and payload; all such rows are in one shard."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'factloom:page:{page_id}:{digest}:{copy}')}>"
 
 
 def _clean(url: str | None) -> str:
@@ -72,7 +73,7 @@ def build_record(page_id: int | None, copy: int, url: str | None, payload: bytes
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
     fields = [
-        ("WARC-Record-ID", _record_id(page_id, copy)),
+        ("WARC-Record-ID", _record_id(page_id, sha.hex(), copy)),
         ("WARC-Date", date),
         ("WARC-Target-URI", _clean(url)),
         ("WARC-Payload-Digest", _b32(sha)),
@@ -80,7 +81,7 @@ def build_record(page_id: int | None, copy: int, url: str | None, payload: bytes
         ("WARC-Row-ID", "" if page_id is None else str(page_id)),
     ]
     if revisit:
-        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", _record_id(refers, 0)), ("WARC-Refers-To-Row-ID", "" if refers is None else str(refers))]
+        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", _record_id(refers, sha.hex(), 0)), ("WARC-Refers-To-Row-ID", "" if refers is None else str(refers))]
     fields += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     return _head("revisit" if revisit else "response", fields) + block + b"\r\n\r\n"
 
@@ -107,13 +108,20 @@ class _Roller:
         if self.size >= self.layout.roll_bytes:
             self.close()
 
+    def _digest(self, name: str) -> str:
+        sha = hashlib.sha256()
+        with self.fs.open_input_stream(f"{self.path}/{name}", compression=None) as stream:
+            while data := stream.read(1 << 20):
+                sha.update(data)
+        return sha.hexdigest()
+
     def close(self) -> None:
         if self.out is None:
             return
         self.out.close()
         name = f"part-{self.shard:07d}-{self.part:05d}.warc.gz"
         there = self.fs.get_file_info(f"{self.path}/{name}")
-        if there.is_file and there.size == self.size:  # another attempt at this shard: the same bytes
+        if there.is_file and there.size == self.size and self._digest(name) == self.sha.hexdigest():  # another attempt at this shard
             self.fs.delete_file(self.temp)
         else:
             self.fs.move(self.temp, f"{self.path}/{name}")
@@ -125,7 +133,7 @@ def _writer(root: str, layout: Layout):
     schema = pa.schema([("file", pa.string()), ("shard", pa.int64()), ("part", pa.int64()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roller, page, refer, copies, served = None, object(), {}, 0, set()
+        roller, page, refer, last, copies = None, object(), {}, None, 0
         for b in slices(batches):
             for shard, page_id, tag, url, html, digest, refers in zip(*(b.column(i).to_pylist() for i in range(7))):
                 if roller is None or roller.shard != shard:
@@ -134,17 +142,16 @@ def _writer(root: str, layout: Layout):
                         yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x)) for x in roller.done], schema)
                     roller = _Roller(root, layout, shard)
                 if page != page_id:
-                    page, refer, copies, served = page_id, {}, 0, set()
+                    page, refer, last = page_id, {}, None
                 if tag == 0:
                     refer[digest] = refers
                     continue
                 payload = (html or "").encode("utf-8", "surrogatepass")
-                own = hashlib.sha1(payload).hexdigest() if refer else None
-                again = own in refer and (refer[own] != page_id or own in served)
-                if own in refer:
-                    served.add(own)
+                own = hashlib.sha1(payload).hexdigest()
+                copies = copies + 1 if own == last else 0  # equal payloads of a row id follow each other
+                last = own
+                again = own in refer and (refer[own] != page_id or copies > 0)
                 roller.add(build_record(page_id, copies, url, payload, refer.get(own), again, layout.date))
-                copies += 1
         if roller is not None:
             roller.close()
             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x)) for x in roller.done], schema)
@@ -159,7 +166,9 @@ def write_warc(pages: DataFrame, root: str, layout: Layout = Layout(), id_col: s
     1000 bytes, the one with the largest id is a response and the others are revisits of it; of
     rows that share that id the first written is the response. Rows without an id sort first, are
     never preferred as response to rows with one, and refer to each other only where no row of
-    their payload has an id. A null url gives an empty header value. An empty table gives an empty
+    their payload has an id. Record ids are unique: each names its row's id, its payload and which
+    copy of both it is. Ids are cast to long, payloads of any length are written whole, and further columns
+    are not read, whatever their names. A null url gives an empty header value. An empty table gives an empty
     manifest and no files.
     """
     spark = pages.sparkSession
@@ -175,9 +184,10 @@ def write_warc(pages: DataFrame, root: str, layout: Layout = Layout(), id_col: s
     # rows that share an id and a payload share a shard with their note
     noted = deal(notes, F.xxhash64("digest")).select("shard", "page_id", F.lit(0).alias("tag"), none.cast("string").alias("url"), none.cast("string").alias("html"), "digest", "refers")
     bodies = deal(rows, F.xxhash64(F.sha1(payload))).select("shard", "page_id", F.lit(1).alias("tag"), "url", F.col("html").cast("string").alias("html"), none.cast("string").alias("digest"), none.cast("long").alias("refers"))
-    dealt = noted.unionByName(bodies).repartitionById(count, F.col("shard").cast("int")).sortWithinPartitions("shard", "page_id", "tag", F.xxhash64("html"), "url")
+    dealt = noted.unionByName(bodies).repartitionById(count, F.col("shard").cast("int")).sortWithinPartitions("shard", "page_id", "tag", F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary")), "url")
     files = f"{root}/data"
     dealt.mapInArrow(_writer(files, layout), MANIFEST_SCHEMA).write.parquet(f"{root}/manifest")
+    drop_folder(spark, f"{files}/tmp")  # what failed attempts have left
     return spark.read.schema(MANIFEST_SCHEMA).parquet(f"{root}/manifest")
 
 
@@ -209,7 +219,7 @@ def parse_members(stream, block: int = 1 << 20) -> Iterator[tuple[dict[str, str]
 def _reader(root: str, bodies: bool):
     import re
 
-    schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("record_id", pa.string()), ("payload", pa.binary())])
+    schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("record_id", pa.string()), ("refers_to_id", pa.string()), ("payload", pa.binary())])
 
     def number(x: str | None) -> int | None:
         return int(x) if x else None
@@ -229,7 +239,7 @@ def _reader(root: str, bodies: bool):
                         if not revisit and hashlib.sha1(payload).digest() != sha:
                             raise ValueError(f"{name}: payload digest differs")
                         size = int(re.search(rb"Content-Length: (\d+)", http)[1])
-                        rows.append((number(fields["WARC-Row-ID"]), size, sha.hex(), fields["WARC-Type"], number(fields.get("WARC-Refers-To-Row-ID")), fields["WARC-Target-URI"], fields["WARC-Record-ID"], payload if bodies and not revisit else None))
+                        rows.append((number(fields["WARC-Row-ID"]), size, sha.hex(), fields["WARC-Type"], number(fields.get("WARC-Refers-To-Row-ID")), fields["WARC-Target-URI"], fields["WARC-Record-ID"], fields.get("WARC-Refers-To"), payload if bodies and not revisit else None))
                         held += len(payload) if bodies else 200
                         if held >= 8 << 20:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
@@ -245,3 +255,14 @@ def read_warc(spark: SparkSession, root: str, payloads: bool = True) -> DataFram
     manifest = spark.read.schema(MANIFEST_SCHEMA).parquet(f"{root}/manifest")
     files = manifest.select("file").repartition(max(1, min(10_000, manifest.count())), F.xxhash64("file"))
     return files.mapInArrow(_reader(f"{root}/data", payloads), READ_SCHEMA)
+
+
+def archive_faults(records: DataFrame) -> DataFrame:
+    """(fault, record_id, n) of an archive's records: ids that are not unique, and revisits whose response
+    is missing or has another payload. Empty for a sound archive."""
+    ids = records.groupBy("record_id").agg(F.count("*").alias("n")).where("n > 1").select(F.lit("REPEATED_ID").alias("fault"), "record_id", "n")
+    responses = records.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), "payload_digest", F.col("page_id").alias("refers_to")).distinct()
+    revisits = records.where("record_type = 'revisit'")
+    same = (revisits["refers_to_id"] == responses["refers_to_id"]) & (revisits["payload_digest"] == responses["payload_digest"]) & revisits["refers_to"].eqNullSafe(responses["refers_to"])
+    lost = revisits.join(responses, same, "left_anti").select(F.lit("NO_RESPONSE").alias("fault"), "record_id", F.lit(1).cast("long").alias("n"))
+    return ids.unionByName(lost)

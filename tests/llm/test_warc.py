@@ -41,7 +41,8 @@ def test_round_trip(spark):
         raw = open(os.path.join(local, m.file), "rb").read()
         assert len(raw) == m.bytes and hashlib.sha256(raw).hexdigest() == m.sha256
         assert gzip.decompress(raw).startswith(b"WARC/1.1\r\n")
-    assert os.listdir(local + "tmp") == []
+    assert not os.path.exists(local + "tmp")
+    assert warc.archive_faults(warc.read_warc(spark, root)).count() == 0
     order = [r.page_id for m in sorted(manifest, key=lambda m: m.file) for r in back if r.page_id is not None]
     assert order
 
@@ -75,6 +76,20 @@ def test_repeats_nulls_and_empty_table(spark):
     assert warc.read_warc(spark, root).collect() == []
 
 
+def test_record_ids_are_unique_and_revisits_name_their_response(spark):
+    rows = [(None, "u", f"{i % 25}" + "n" * 1000, None) for i in range(60)]
+    rows += [(i, "u", f"{k}" + "m" * 1500, None) for i in range(20) for k in (i % 3, 7)] + [(99, "v", None, None), (99, "w", "", None)]
+    rows += [(7, f"u{i % 4}", f"{i % 9}" + "h" * 1200, None) for i in range(80)]
+    root = new_folder(spark, "t")
+    warc.write_warc(spark.createDataFrame(rows, SCHEMA).repartition(5), root, warc.Layout(shard_bytes=8000))
+    back = warc.read_warc(spark, root)
+    found = back.collect()
+    assert len(found) == len(rows) == len({r.record_id for r in found}) and any(r.record_type == "revisit" for r in found)
+    assert warc.archive_faults(back).count() == 0
+    broken = back.withColumn("refers_to_id", F.when(F.col("refers_to") == 7, F.lit("x")).otherwise(F.col("refers_to_id")))
+    assert {r.fault for r in warc.archive_faults(broken.unionByName(back)).collect()} == {"REPEATED_ID", "NO_RESPONSE"}
+
+
 def test_shards_hold_their_target_whatever_the_ids(spark):
     wide = [(i, 100) for i in range(5000)] + [(1 << 62, 100), (-(1 << 63), 100), ((1 << 63) - 1, 100)]
     clusters = [(c * 10**12 + i, 100) for c in range(4) for i in range(1000)]
