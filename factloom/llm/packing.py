@@ -201,8 +201,12 @@ def pack(
     given); by default the proportions are those of the corpus, so that all queues end together.
     Ids come as little-endian 32-bit values. Null texts count as empty and have the end id alone;
     null sources form a queue of their own; null ids and repeated rows are packed like any other;
-    a very long text is served a window at a time; an empty table gives an empty result.
+    a very long text is served a window at a time; further columns are not read, whatever their names;
+    an empty table gives an empty result. Weights are positive and finite, and given for one source at
+    least: a source of weight zero would never be served, so that is an error and drops nothing.
     """
+    if targets is not None and not (targets and all(0 < w < float("inf") for w in targets.values())):
+        raise ValueError("targets: a positive finite weight for one source at least")
     stash = Stash(docs.sparkSession, "packing")
     queue = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
     rows = pick(docs, doc_id=id_col, text=text_col, source=source_col).select("doc_id", text_of().alias("text"), queue.alias("queue"))

@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from factloom.llm import packing
@@ -123,3 +124,10 @@ def test_odd_rows_and_empty_table(spark):
     got = packing.pack(spark.createDataFrame(rows, SCHEMA), PATH).collect()
     assert sorted((str(p.doc_id), p.start, p.doc_tokens) for p in got) == [("7", 0, 2), ("7", 0, 2), ("None", 0, 3)]
     assert packing.pack(spark.createDataFrame([], SCHEMA), PATH).collect() == []
+
+
+@pytest.mark.parametrize("targets", [{}, {"a": 1.0, "b": 0.0}, {"a": -1.0}, {"a": float("nan")}, {"a": float("inf")}])
+def test_odd_targets_are_refused(spark, targets):
+    docs = spark.createDataFrame([(1, "one", "a")], "doc_id long, text string, source string")
+    with pytest.raises(ValueError, match="targets"):
+        packing.pack(docs, PATH, targets=targets)
