@@ -205,7 +205,8 @@ def _sample(rows: DataFrame, train_rows: int, train_bytes: int) -> DataFrame:
     total, size = rows.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     share = min(1.0, train_rows / max(1, total), train_bytes / max(1, size or 0))
     key = F.xxhash64("doc_id", "text")
-    picked = rows.where(F.pmod(key, F.lit(1 << 20)) < int(share * (1 << 20)) + 1).withColumn("key", key)
+    most = min((1 << 63) - 1, int(share * 2.0**64) - (1 << 63))  # of all 64 bits, so that the bound holds at any size
+    picked = rows.where(key <= most).withColumn("key", key)
     return picked.dropDuplicates(["key"]).select("text")
 
 
