@@ -150,23 +150,45 @@ def _first(which: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return doc == least[which]
 
 
+def _rows(key, doc, th, start, many, texts) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(th), pa.array(start.astype(np.int32)), pa.array(many.astype(np.int32)), pa.array(texts, pa.binary())], names=_SENT)
+
+
+def _runs(doc, th, start, many) -> pa.RecordBatch:
+    """Windows that are repeats, adjoining ones as one run; any key does that spreads them."""
+    goes_on = (doc[1:] == doc[:-1]) & (th[1:] == th[:-1]) & (start[1:] == start[:-1] + many[:-1])
+    begin = np.flatnonzero(np.append(True, ~goes_on)) if len(doc) else np.empty(0, np.int64)
+    many = np.add.reduceat(many, begin) if len(begin) else many
+    return _rows(doc[begin] * np.int64(0x9E3779B1) + start[begin], doc[begin], th[begin], start[begin], many, [None] * len(begin))
+
+
 def _segments(window: int, shared, hot):
     """Rows to deal by key: segments with the number of their windows, or (bytes null) windows that are repeats."""
 
-    def sent(known: dict, held: list[tuple]) -> pa.RecordBatch:
+    def by_window(segments: list[tuple]) -> tuple[dict, list[tuple]]:
+        """The windows of segments of hot anchors, each under its own hash."""
+        known: dict[tuple, int] = {}
+        held = []
+        for text, doc, th, start in segments:
+            for q, h in enumerate(rolled(text, window).tolist()):
+                held.append((known.setdefault((h, text[q : q + window]), len(known)), doc, th, start + q, 1))
+        return known, held
+
+    def sent(known: dict, held: list[tuple], crowded: set) -> Iterator[pa.RecordBatch]:
         which, doc, th, start, many = (np.array(x, np.int64) for x in zip(*held))
         first = _first(which, doc, len(known))
         keys, texts = zip(*known)
+        apart = np.fromiter((k in crowded for k in keys), bool, len(keys))[which] & first if crowded else np.zeros(len(which), bool)
+        yield _runs(doc[~first], th[~first], start[~first], many[~first])
+        on = np.flatnonzero(first & ~apart)
         keys = np.array(keys, np.uint64).view(np.int64)
-        # repeats only pass through the shards: any key does, so one that spreads them
-        key = np.where(first, keys[which], doc * np.int64(0x9E3779B1) + start)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(key), pa.array(doc), pa.array(th), pa.array(start.astype(np.int32)), pa.array(many.astype(np.int32)), pa.array([texts[w] if f else None for w, f in zip(which.tolist(), first.tolist())], pa.binary())],
-            names=_SENT,
-        )
+        yield _rows(keys[which[on]], doc[on], th[on], start[on], many[on], [texts[w] for w in which[on].tolist()])
+        if apart.any():
+            known, held = by_window([(texts[w], d, t, s) for w, d, t, s in zip(*(x[apart].tolist() for x in (which, doc, th, start)))])
+            yield from sent(known, held, set())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held, rows = {}, [], set()
+        known, held, rows, crowded = {}, [], set(), set()
         for b in slices(batches):
             for doc, th, text in zip(b.column("doc_id").to_pylist(), b.column("th").to_pylist(), b.column("text").to_pylist()):
                 if len(text) < window or (doc, th) in rows:
@@ -177,20 +199,15 @@ def _segments(window: int, shared, hot):
                 if not len(at):
                     continue
                 ends = np.append(places[1:], len(text) - window + 1)[at]
-                crowded = hot.value.has(anchors[at])
-                by_window = rolled(text, window).tolist() if crowded.any() else None
-                for a, p, e, each in zip(anchors[at].tolist(), places[at].tolist(), ends.tolist(), crowded.tolist()):
-                    if each:
-                        for q in range(p, e):
-                            held.append((known.setdefault((by_window[q], text[q : q + window]), len(known)), doc, th, q, 1))
-                    else:
-                        held.append((known.setdefault((a, text[p : e + window - 1]), len(known)), doc, th, p, e - p))
+                crowded.update(anchors[at][hot.value.has(anchors[at])].tolist())
+                for a, p, e in zip(anchors[at].tolist(), places[at].tolist(), ends.tolist()):
+                    held.append((known.setdefault((a, text[p : e + window - 1]), len(known)), doc, th, p, e - p))
             if len(held) >= _MOST_SEGMENTS:
-                yield sent(known, held)
-                known, held, rows = {}, [], set()
+                yield from sent(known, held, crowded)
+                known, held, rows, crowded = {}, [], set(), set()
         if held:
-            yield sent(known, held)
-        known = held = rows = None
+            yield from sent(known, held, crowded)
+        known = held = rows = crowded = None
         trim()
 
     return run
