@@ -10,7 +10,7 @@ from factloom.functions import text
 from factloom.operators import frames, identity, incremental, notes
 from factloom.plans.registry import registry
 from factloom.session import shared_folder, table
-from factloom.sources import images, records
+from factloom.sources import images, raw_frames, records
 
 QUERIES, SQL, query = registry()
 
@@ -49,6 +49,16 @@ def io_frame_scan(spark, d):
     return both.select(part[0].cast("long").alias("conv_id"), part[1].cast("long").alias("turn"), "number", "digest", "refused")
 
 
+@query("""SELECT doc_id, sha256(lpad(CAST(doc_id AS VARCHAR), 15, '0') || substr(md5(coalesce(text, '')), 1, 16) || chr(10)) AS digest FROM documents""")
+def io_frames_read(spark, d):
+    """Records of 32 bytes as frames of files that are cut into ranges."""
+    folder = shared_folder(spark, "frames")
+    record = F.concat(F.lpad(F.col("doc_id").cast("string"), 15, "0"), F.substring(F.md5(F.coalesce("text", F.lit(""))), 1, 16))
+    table(spark, d, "documents").select(record.alias("value")).write.option("lineSep", "\n").text(folder)
+    found = raw_frames.read_frames(spark, folder, 32, split_bytes=1 << 20)
+    return found.select(F.substring(F.decode("frame", "UTF-8"), 1, 15).cast("long").alias("doc_id"), F.sha2("frame", 256).alias("digest"))
+
+
 @query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(abs(x) * 255) % 256 AS INTEGER)) AS v FROM embeddings)
 SELECT vec_id, array_to_string(list_transform(generate_series(0, 11), lambda i: v[8 * least(7, CAST(floor(1 + (i // 4 + 0.5) * 6 / 3) AS INTEGER)) + least(7, CAST(floor(2 + (i % 4 + 0.5) * 5 / 4) AS INTEGER)) + 1]), ',') AS signature FROM e""")
 def s_signature_resample(spark, d):

@@ -13,7 +13,7 @@ import tempfile
 import time
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,14 +35,28 @@ def _type_fits(variant: Column, path: str, kind: T.DataType) -> Column:
     return found == _KINDS[type(kind)]
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_number, line) of text files, of which each may be many splits.
+
+    Spark splits a file by ranges of bytes, and a split's lines come in the order of the file. A line's
+    number is its place within its split, which rising row ids give, plus the lines of the file's earlier splits, a
+    running sum over one row a split. Only line feeds end lines; a line is in the split in which it begins.
+    """
+    split = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at")]
+    raw = spark.read.option("lineSep", "\n").text(path).select(*split, F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+    splits = raw.groupBy("file", "at").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    earlier = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    begins = splits.select("file", "at", (earlier - F.col("first")).alias("shift"))
+    return raw.join(begins, ["file", "at"]).select("file", (F.col("id") + F.col("shift") + 1).alias("line_number"), "line")
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """(rows, violations) of a JSON Lines file. Blank lines are skipped.
+    """(rows, violations) of JSON Lines files. Blank lines are skipped.
 
-    A violation has the line's number and the first reason: invalid JSON, unknown fields, a missing
-    required field, or a value of another type. A file is one split, so that lines have numbers.
+    A violation has the line's number in its file and the first reason: invalid JSON, unknown fields, a missing
+    required field, or a value of another type. A large file is read by many tasks.
     """
-    raw = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("i", "line"))
-    lines = raw.where(F.trim("line") != "").select((F.col("i") + 1).alias("line_number"), "line", F.try_parse_json("line").alias("v"))
+    lines = numbered_lines(spark, path).where(F.trim("line") != "").select("line_number", "line", F.try_parse_json("line").alias("v"))
     names = F.array(*(F.lit(f.name) for f in schema))
     unknown = F.array_except(F.json_object_keys("line"), names)
     reason = F.when(F.col("v").isNull(), "invalid JSON").when(F.json_object_keys("line").isNull(), "not an object").when(F.size(unknown) > 0, F.concat(F.lit("unknown field "), unknown[0]))
