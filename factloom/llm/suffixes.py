@@ -43,7 +43,7 @@ _MULT = 0x9E3779B97F4A7C15
 _BYTE = np.random.default_rng(13).integers(0, 1 << 63, 256, dtype=np.uint64)
 _ANCHOR_BITS = 48
 _MOST_ANCHORS = 3_000_000
-_MOST_SEGMENTS = 400_000
+_MOST_SEGMENTS = 250_000
 _BATCH_BYTES = 3 << 20
 
 
@@ -429,7 +429,7 @@ def _cut(window: int, with_bytes: bool):
     return run
 
 
-def remove_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, hot_docs: int = 1000, most_power: int = 30, with_bytes: bool = True) -> DataFrame:
+def remove_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, hot_docs: int = 10_000, most_power: int = 30, with_bytes: bool = True) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with_bytes, kept_bytes.
 
     Texts are UTF-8 bytes. Each byte is removed that a string of ``window`` bytes covers which also starts in
@@ -440,7 +440,8 @@ def remove_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     lose them; rows that repeat an id, alike or not, do not count as earlier than each other. Texts of any length
     are read whole; a task holds one of them and a bounded number of segments. An empty table gives an empty
     result; further columns are not read, whatever their names. window is 26 at least; hot_docs is the number of
-    documents beyond which an anchor's windows are dealt one by one, which changes no result; most_power bounds the
+    documents whose segments a shard takes under one anchor (10,000 are a megabyte); beyond it windows are dealt
+    one by one, which changes no result; most_power bounds the
     bits of a filter.
     """
     if window < TRIPLE + 2:
