@@ -123,15 +123,6 @@ def test_the_graph_record(spark):
     assert [(e["from"], e["to"], e["type"]) for e in got["edges"]] == [("cc_a", "cc_b", "derived-from"), ("ec_1", "cc_a", "supports"), ("ec_2", "cc_a", "supports"), ("ec_3", "cc_a", "opposes")]
 
 
-def test_deep_graphs_are_refused_and_not_called_cyclic(spark):
-    from factloom.operators import graph
-
-    chain = spark.range(60).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
-    assert graph.is_acyclic(chain)
-    with pytest.raises(RuntimeError, match="GRAPH_TOO_DEEP"):
-        graph.cycle_edges(chain, rounds=3)
-
-
 def test_verification_sees_tampering(spark):
     t = build.prepare(files(spark, NOTES))
     base = {n: t[n] for n in ("sources", "evidence_units", "evidence_spans", "files")}
