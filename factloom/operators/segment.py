@@ -1,7 +1,7 @@
 """Markdown to evidence units and units to spans.
 
 Units need a block scanner with state over lines, so they come from an Arrow UDF over whole texts.
-Spans are plain expressions: lines, pieces and a running offset within the unit.
+Spans are expressions, lines and pieces, with running offsets within the unit by an Arrow UDF over whole batches.
 """
 
 from __future__ import annotations
@@ -9,7 +9,9 @@ from __future__ import annotations
 import hashlib
 import re
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -215,34 +217,21 @@ _PREFIX = r"^\s*(?:[-+*]|\d+[.)])\s+"
 _PIECES = r"(?<=[。！？；])|(?<=[.!?])(?=\s+|$)"
 
 
-_CHUNK = 256
+def _begins(lengths: pa.Array) -> pa.Array:
+    """Running sums within each list, before each element: one pass over all lists of a batch."""
+    ends = lengths.offsets.to_numpy().astype("int64") - lengths.offsets[0].as_py()
+    before = np.append(0, np.cumsum(lengths.flatten().to_numpy()))
+    sums = before[:-1] - np.repeat(before[ends[:-1]], np.diff(ends))
+    return pa.ListArray.from_arrays(pa.array(ends.astype("int32")), pa.array(sums.astype("int32")))
 
 
-def _let(value: Column, use) -> Column:
-    """use(value) with value computed once: a transform over an array of one."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
-def starts_of(texts: Column) -> Column:
-    """Where each text of a non-empty array begins when all stand end to end, within the row.
-
-    Sums run over chunks of 256, so that long arrays cost little more than their length.
-    """
-    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
-
-    def of(n: Column) -> Column:
-        def chunk(c: Column) -> Column:
-            own = F.slice(n, c * _CHUNK + 1, F.lit(_CHUNK))
-            return _let(total(F.slice(n, F.lit(1), c * _CHUNK)), lambda before: _let(own, lambda o: F.transform(o, lambda _, i: before + total(F.slice(o, F.lit(1), i)))))
-
-        return F.flatten(F.transform(F.sequence(F.lit(0), F.shiftright(F.size(n) - 1, 8)), chunk))
-
-    return _let(F.transform(texts, F.length), of)
-
-
-def _placed(texts: Column) -> Column:
-    """array<struct<s, at>> of texts with their starts."""
-    return _let(texts, lambda t: F.arrays_zip(t.alias("s"), starts_of(t).alias("at")))
+def _exploded(rows: DataFrame, texts: str) -> DataFrame:
+    """rows with i, s and begin for each of their texts: its place, itself and where it begins when all
+    stand end to end. texts names an array column, which goes; null arrays have no rows."""
+    rest = [c for c in rows.columns if c != texts]
+    placed = rows.where(F.col(texts).isNotNull()).withColumn("begins", F.arrow_udf(_begins, "array<int>")(F.transform(texts, F.length)))
+    zipped = placed.select(*rest, F.posexplode(F.arrays_zip(F.col(texts).alias("s"), F.col("begins").alias("at"))).alias("i", "r"))
+    return zipped.select(*rest, "i", F.col("r.s").alias("s"), F.col("r.at").alias("begin"))
 
 
 def span_rows(units: DataFrame, unit_id: str, content: str, start_line: Column) -> DataFrame:
@@ -250,10 +239,10 @@ def span_rows(units: DataFrame, unit_id: str, content: str, start_line: Column)
 
     Every line with text gives one or more exact substrings: indentation and list marks go, what is
     left is cut after sentence ends. Offsets count code points in the unit's text; they are summed
-    within the row, so nothing is shuffled.
+    within the row, in time that grows with its length, so nothing is shuffled.
     """
-    lines = units.select(F.col(unit_id).alias("unit"), start_line.alias("first"), F.posexplode(_placed(F.split(F.col(content), _LINE_ENDS, -1))).alias("i", "r"))
-    raw = lines.select("unit", "first", "i", F.col("r.s").alias("raw"), F.col("r.at").alias("at"))
+    lines = _exploded(units.select(F.col(unit_id).alias("unit"), start_line.alias("first"), F.split(F.col(content), _LINE_ENDS, -1).alias("texts")), "texts")
+    raw = lines.select("unit", "first", "i", F.col("s").alias("raw"), F.col("begin").alias("at"))
     line = F.regexp_replace("raw", r"[\r\n]+\z", "")
     marked = raw.select("unit", "first", "i", "at", line.alias("line"), F.regexp_replace(line, r"^\s+", "").alias("bare"))
     prefix = F.regexp_extract("bare", _PREFIX, 0)
@@ -266,8 +255,8 @@ def span_rows(units: DataFrame, unit_id: str, content: str, start_line: Column)
         .when(F.col("listed"), "list-item")
         .otherwise("prose")
     )
-    pieces = cut.select("unit", "first", "i", (F.col("at") + F.col("lead")).alias("at"), kind.alias("kind"), F.explode(_placed(F.split("text", _PIECES, -1))).alias("p"))
-    placed = pieces.select("unit", "first", "i", "kind", F.col("p.s").alias("piece"), (F.col("at") + F.col("p.at")).alias("at"))
+    pieces = _exploded(cut.select("unit", "first", F.col("i").alias("line_at"), (F.col("at") + F.col("lead")).alias("at"), kind.alias("kind"), F.split("text", _PIECES, -1).alias("texts")), "texts")
+    placed = pieces.select("unit", "first", F.col("line_at").alias("i"), "kind", F.col("s").alias("piece"), (F.col("at") + F.col("begin")).alias("at"))
     trimmed = F.regexp_replace("piece", r"^\s+|\s+$", "")
     begin = F.col("at") + F.length("piece") - F.length(F.regexp_replace("piece", r"^\s+", ""))
     return placed.where(trimmed != "").select(
