@@ -116,12 +116,14 @@ class Publication:
     """Builds of a knowledge base: tables below builds/<id>, and a pointer file that names the current one.
 
     Tables are written first and verified as written; then one rename of the pointer publishes them.
-    Until it, readers see the previous build; a failure removes what was written. A lock file
-    keeps two publishers apart. The target may lie in any file system that Spark reaches.
+    Until it, readers see the previous build; a failure removes what was written. A lease keeps two
+    publishers apart: one that dies is taken over after ``lease_seconds`` without a sign of life, which a publisher gives
+    before each table, and one that was taken over publishes no more. The target may lie in any file system
+    that Spark reaches.
     """
 
-    def __init__(self, spark: SparkSession, target: str):
-        self.spark, self.target = spark, target
+    def __init__(self, spark: SparkSession, target: str, lease_seconds: float = 3600.0):
+        self.spark, self.target, self.lease_seconds = spark, target, lease_seconds
 
     def current(self) -> dict | None:
         found = files.read_text(self.spark, f"{self.target}/current.json")
@@ -138,26 +140,29 @@ class Publication:
         state = self.current()
         if state is not None and state["fingerprint"] == fingerprint:
             return {**state, "status": "noop"}
-        lock = f"{self.target}/publish.lock"
-        if not files.take_lock(self.spark, lock):
+        lease = files.Lease(self.spark, f"{self.target}/publish.lock", self.lease_seconds)
+        if not lease.take():
             raise ValueError("PUBLISH_LOCKED")
         build = build_id or new_build_id()
         root = f"{self.target}/builds/{build}"
         try:
             for name, df in tables.items():
+                lease.beat()
                 df.write.parquet(f"{root}/{name}")
+            lease.beat()
             if verify is not None:
                 verify(lambda name: self.spark.read.parquet(f"{root}/{name}"))
             written = {r.path: r.sha256 for r in tree_hash(self.spark, root).where("path NOT LIKE '%.crc'").collect()}
             new = {"build_id": build, "fingerprint": fingerprint, "tables": sorted(tables), "files": written, "previous": state and state["build_id"]}
             new["manifest_sha256"] = manifest_digest(new)
+            lease.beat()
             files.write_text(self.spark, f"{self.target}/current.json", json.dumps(new, ensure_ascii=False, sort_keys=True, indent=2))
             return {**new, "status": "published"}
         except BaseException:
             files.delete(self.spark, root)
             raise
         finally:
-            files.delete(self.spark, lock)
+            lease.release()
 
     def drifted(self) -> DataFrame:
         """Files of the current build that are not as they were published."""

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.operators import frames, graph, identity, notes, rules, segment, similarity
-from factloom.sources import html, records, vtt
+from factloom.sources import files, html, records, vtt
 from factloom.sources.markdown import discover, front_matter, read
 
 
@@ -221,6 +221,27 @@ def test_strict_records(spark, tmp_path):
     assert sorted((r.record_id, r.detail) for r in bad.collect()) == [("3", "type of n"), ("4", "unknown field extra"), ("5", "type of id"), ("6", "invalid JSON"), ("7", "missing field id"), ("9", "not an object")]
 
 
+def test_a_dead_publisher_is_taken_over_and_fenced(spark, tmp_path):
+    target, one = str(tmp_path / "kb"), spark.createDataFrame([(1, "a")], "id long, t string")
+    slow = records.Publication(spark, target, lease_seconds=0.0)
+
+    def taken_over(read):  # while the first verifies, its lease runs out and a second one publishes
+        assert records.Publication(spark, target, lease_seconds=0.0).publish({"claims": one}, "second")["status"] == "published"
+
+    with pytest.raises(ValueError, match="FENCED"):
+        slow.publish({"claims": one.union(one)}, "first", taken_over)
+    state = slow.current()
+    assert state["fingerprint"] == "second" and slow.read("claims").count() == 1 and slow.drifted().collect() == []
+    assert [p.name for p in (tmp_path / "kb" / "builds").iterdir()] == [state["build_id"]]
+    dead = files.Lease(spark, f"{target}/publish.lock", 100.0)
+    assert dead.take()
+    with pytest.raises(ValueError, match="LOCKED"):
+        records.Publication(spark, target, lease_seconds=100.0).publish({"claims": one}, "third")
+    assert records.Publication(spark, target, lease_seconds=0.0).publish({"claims": one}, "third")["status"] == "published"
+    with pytest.raises(ValueError, match="FENCED"):
+        dead.beat()
+
+
 def test_publication(spark, tmp_path):
     pub = records.Publication(spark, str(tmp_path / "kb"))
     one = spark.createDataFrame([(1, "a")], "id long, t string")
@@ -234,10 +255,11 @@ def test_publication(spark, tmp_path):
     with pytest.raises(ValueError, match="gate"):
         pub.publish({"claims": one.union(one)}, "f2", refuse)
     assert pub.current()["build_id"] == first["build_id"] and pub.read("claims").count() == 1
-    (tmp_path / "kb" / "publish.lock").write_text("")
+    other = files.Lease(spark, str(tmp_path / "kb" / "publish.lock"))
+    assert other.take() and not files.Lease(spark, str(tmp_path / "kb" / "publish.lock")).take()
     with pytest.raises(ValueError, match="LOCKED"):
         pub.publish({"claims": one}, "f3")
-    (tmp_path / "kb" / "publish.lock").unlink()
+    other.release()
     part = next((tmp_path / "kb" / "builds" / first["build_id"] / "claims").glob("part-*.parquet"))
     part.write_bytes(part.read_bytes() + b"x")
     part.with_name(f".{part.name}.crc").unlink()
