@@ -212,9 +212,11 @@ def evidence_units(sources: DataFrame) -> DataFrame:
     )
 
 
-_LINE_ENDS = r"(?<=\r\n)|(?<=\r)(?!\n)|(?<=[\n\x0b\x0c\x1c-\x1e\u0085  ])"
+_LINE_ENDS = r"(?<=[\n\x0b\x0c\x1c-\x1e\u0085  ])|(?<=\r)(?!\n)"
 _PREFIX = r"^\s*(?:[-+*]|\d+[.)])\s+"
-_PIECES = r"(?<=[。！？；])|(?<=[.!?])(?=\s+|$)"
+_PIECES = r"(?<=[。！？；.!?])(?:(?<=[。！？；])|(?=\s|$))"
+#: What a pattern's \s matches; trimmed by characters, as patterns cost more and a filter repeats them.
+_SPACE = " \t\n\x0b\x0c\r"
 
 
 def _begins(lengths: pa.Array) -> pa.Array:
@@ -227,9 +229,9 @@ def _begins(lengths: pa.Array) -> pa.Array:
 
 def _exploded(rows: DataFrame, texts: str) -> DataFrame:
     """rows with i, s and begin for each of their texts: its place, itself and where it begins when all
-    stand end to end. texts names an array column, which goes; null arrays have no rows."""
+    stand end to end. texts names an array column without nulls, which goes."""
     rest = [c for c in rows.columns if c != texts]
-    placed = rows.where(F.col(texts).isNotNull()).withColumn("begins", F.arrow_udf(_begins, "array<int>")(F.transform(texts, F.length)))
+    placed = rows.withColumn("begins", F.arrow_udf(_begins, "array<int>")(F.transform(texts, F.length)))
     zipped = placed.select(*rest, F.posexplode(F.arrays_zip(F.col(texts).alias("s"), F.col("begins").alias("at"))).alias("i", "r"))
     return zipped.select(*rest, "i", F.col("r.s").alias("s"), F.col("r.at").alias("begin"))
 
@@ -241,24 +243,25 @@ def span_rows(units: DataFrame, unit_id: str, content: str, start_line: Column)
     left is cut after sentence ends. Offsets count code points in the unit's text; they are summed
     within the row, in time that grows with its length, so nothing is shuffled.
     """
-    lines = _exploded(units.select(F.col(unit_id).alias("unit"), start_line.alias("first"), F.split(F.col(content), _LINE_ENDS, -1).alias("texts")), "texts")
+    # nulls go before the texts are cut: a filter on what is cut would cut it twice
+    lines = _exploded(units.where(F.col(content).isNotNull()).select(F.col(unit_id).alias("unit"), start_line.alias("first"), F.split(F.col(content), _LINE_ENDS, -1).alias("texts")), "texts")
     raw = lines.select("unit", "first", "i", F.col("s").alias("raw"), F.col("begin").alias("at"))
-    line = F.regexp_replace("raw", r"[\r\n]+\z", "")
-    marked = raw.select("unit", "first", "i", "at", line.alias("line"), F.regexp_replace(line, r"^\s+", "").alias("bare"))
+    line = F.rtrim("raw", F.lit("\r\n"))
+    marked = raw.select("unit", "first", "i", "at", line.alias("line"), F.ltrim(line, F.lit(_SPACE)).alias("bare"))
     prefix = F.regexp_extract("bare", _PREFIX, 0)
     cut = marked.select("unit", "first", "i", "at", "line", (F.length("line") - F.length("bare") + F.length(prefix)).alias("lead"), (prefix != "").alias("listed"), F.substring("bare", F.length(prefix) + 1, F.length("bare")).alias("text"))
     kind = (
         F.when(F.col("text").startswith("!["), "media")
         .when(F.col("text").startswith("[") & F.col("text").contains("]("), "link")
         .when(F.col("text").startswith("```") | F.col("text").startswith("~~~") | (F.col("line").startswith("    ") & ~F.col("listed")), "code")
-        .when(F.length(F.regexp_replace("text", r"[^|]", "")) >= 2, "table-row")
+        .when(F.length("text") - F.length(F.replace("text", F.lit("|"), F.lit(""))) >= 2, "table-row")
         .when(F.col("listed"), "list-item")
         .otherwise("prose")
     )
     pieces = _exploded(cut.select("unit", "first", F.col("i").alias("line_at"), (F.col("at") + F.col("lead")).alias("at"), kind.alias("kind"), F.split("text", _PIECES, -1).alias("texts")), "texts")
     placed = pieces.select("unit", "first", F.col("line_at").alias("i"), "kind", F.col("s").alias("piece"), (F.col("at") + F.col("begin")).alias("at"))
-    trimmed = F.regexp_replace("piece", r"^\s+|\s+$", "")
-    begin = F.col("at") + F.length("piece") - F.length(F.regexp_replace("piece", r"^\s+", ""))
+    trimmed = F.btrim("piece", F.lit(_SPACE))
+    begin = F.col("at") + F.length("piece") - F.length(F.ltrim("piece", F.lit(_SPACE)))
     return placed.where(trimmed != "").select(
         F.col("unit").alias("evidence_unit_id"), begin.cast("long").alias("start_offset"), (begin + F.length(trimmed)).cast("long").alias("end_offset"),
         (F.col("first") + F.col("i")).cast("long").alias("line"), trimmed.alias("content"), F.col("kind").alias("span_kind"),
