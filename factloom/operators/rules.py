@@ -23,6 +23,16 @@ def violations(df: DataFrame, code: str, record: Column, when: Column, detail: C
     return df.where(F.coalesce(when, F.lit(False))).select(F.lit(code).alias("rule_code"), record.cast("string").alias("record_id"), shown.alias("detail"))
 
 
+def violated(df: DataFrame, *rules: tuple) -> DataFrame:
+    """``violations`` of several rules (code, record, when) or (code, record, when, detail) in one pass over df."""
+    def row(code: str, record: Column, when: Column, detail: Column | None = None) -> Column:
+        shown = F.lit(None).cast("string") if detail is None else detail.cast("string")
+        return F.when(when, F.struct(F.lit(code).alias("rule_code"), record.cast("string").alias("record_id"), shown.alias("detail")))
+
+    found = F.filter(F.array(*(row(*r) for r in rules)), lambda r: r.isNotNull())
+    return df.select(F.explode(found).alias("r")).select("r.*")
+
+
 def union(*rules: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, rules)
 
@@ -72,11 +82,12 @@ def exact_keys(m: Column, *names: str) -> Column:
 def claim_rules(claims: DataFrame) -> DataFrame:
     """Rules on the claim alone: substance, attribution, recommendation type, anchored support."""
     key = F.col("evidence_claim_id")
-    return union(
-        violations(claims, "PLACEHOLDER_SEMANTICS", key, is_placeholder(F.col("predicate")), F.col("predicate")),
-        violations(claims, "MISSING_ATTRIBUTION", key, (F.col("modality") == "reported") & (F.coalesce("attribution", F.lit("")) == "")),
-        violations(claims, "MODALITY_TYPE_MISMATCH", key, (F.col("modality") == "recommended") & (F.col("claim_type") != "recommendation"), F.col("claim_type")),
-        violations(claims, "PRIMARY_EVIDENCE_REQUIRED", key, (F.col("primary_support_status") == "verified") & (F.size("primary_anchor_ids") == 0)),
+    return violated(
+        claims,
+        ("PLACEHOLDER_SEMANTICS", key, is_placeholder(F.col("predicate")), F.col("predicate")),
+        ("MISSING_ATTRIBUTION", key, (F.col("modality") == "reported") & (F.coalesce("attribution", F.lit("")) == "")),
+        ("MODALITY_TYPE_MISMATCH", key, (F.col("modality") == "recommended") & (F.col("claim_type") != "recommendation"), F.col("claim_type")),
+        ("PRIMARY_EVIDENCE_REQUIRED", key, (F.col("primary_support_status") == "verified") & (F.size("primary_anchor_ids") == 0)),
     )
 
 
@@ -96,9 +107,10 @@ def evidence_rules(joined: DataFrame) -> DataFrame:
     """Rules on claims with their provenance: grounded excerpt and matching origin."""
     key = F.col("evidence_claim_id")
     origin = expected_origin(F.col("evidence_tier"))
-    return union(
-        violations(joined, "UNGROUNDED_EXCERPT", key, ~F.col("span_content").contains(F.col("supporting_excerpt")), F.col("supporting_excerpt")),
-        violations(joined, "EVIDENCE_ORIGIN_MISMATCH", key, F.col("evidence_origin") != origin, origin),
+    return violated(
+        joined,
+        ("UNGROUNDED_EXCERPT", key, ~F.col("span_content").contains(F.col("supporting_excerpt")), F.col("supporting_excerpt")),
+        ("EVIDENCE_ORIGIN_MISMATCH", key, F.col("evidence_origin") != origin, origin),
     )
 
 
@@ -142,12 +154,14 @@ def span_rules(spans: DataFrame, units: DataFrame) -> DataFrame:
     u = units.select("evidence_unit_id", F.col("content").alias("unit"), F.col("start_line").alias("unit_line"))
     both = spans.join(u, "evidence_unit_id", "left")
     text = F.substring("unit", F.col("start_offset") + 1, F.col("end_offset") - F.col("start_offset"))
-    line = F.col("unit_line") + F.length(F.regexp_replace(F.substring("unit", F.lit(1), F.col("start_offset")), r"[^\n]", ""))
+    before = F.substring("unit", F.lit(1), F.col("start_offset"))
+    line = F.col("unit_line") + F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit("")))
     key = F.col("evidence_span_id")
-    return union(
-        violations(both, "VERIFY_SPAN", key, F.col("unit").isNull() | (text != F.col("content")), F.lit("text")),
-        violations(both, "VERIFY_SPAN", key, F.sha2("content", 256) != F.col("content_sha256"), F.lit("digest")),
-        violations(both, "VERIFY_SPAN", key, line != F.col("start_line"), F.lit("line")),
+    return violated(
+        both,
+        ("VERIFY_SPAN", key, F.col("unit").isNull() | (text != F.col("content")), F.lit("text")),
+        ("VERIFY_SPAN", key, F.sha2("content", 256) != F.col("content_sha256"), F.lit("digest")),
+        ("VERIFY_SPAN", key, line != F.col("start_line"), F.lit("line")),
     )
 
 

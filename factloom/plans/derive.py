@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.hashing import stable_id
 from factloom.operators import segment
-from factloom.session import spread, table
+from factloom.session import spread, stored, table
 
 NEGATORS = ("not", "no", "nicht", "kein", "pas", "non")
 
@@ -51,18 +51,19 @@ def canonical_id(statement: str = "statement"):
     return F.concat(F.lit("cc_"), F.substring(F.sha2(statement, 256), 1, 12))
 
 
-def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claims of one statement together; opposing where the document's number is odd."""
-    c = claims(spark, sf_dir)
+def canonical(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -> DataFrame:
+    """Claims of one statement together; opposing where the document's number is odd. found: the stored claims,
+    if there are any. Stored, as operators read canonical claims several times."""
+    c = claims(spark, sf_dir) if found is None else found
     odd = F.pmod("doc_id", F.lit(2)) == 1
-    return c.groupBy("statement").agg(
+    return stored(c.groupBy("statement").agg(
         F.array_sort(F.collect_list(F.when(~odd, F.col("evidence_claim_id")))).alias("supporting"),
         F.array_sort(F.collect_list(F.when(odd, F.col("evidence_claim_id")))).alias("opposing"),
     ).select(
         canonical_id().alias("canonical_claim_id"), "statement", "supporting", "opposing",
         F.when(F.col("statement").rlike("^[A-D]"), F.array(F.lit("cc_parent"))).otherwise(F.array().cast("array<string>")).alias("derived_from"),
         F.when(F.col("statement").rlike("^[XYZ]"), F.array(F.lit("cc_newer"))).otherwise(F.array().cast("array<string>")).alias("superseded_by"),
-    )
+    ))
 
 
 SOURCES_SQL = """src AS (
