@@ -298,10 +298,12 @@ def slide_bounds(raw, width: int, height: int) -> tuple | None:
     return best and best[1]
 
 
-def bounds_of(width: int, height: int):
+def bounds_of(width: int, height: int, frame=lambda raw: raw):
+    """A function of a column; frame makes the raw frame of a value, say of a compressed image. One frame at a
+    time is held, as a batch of them would take gigabytes."""
     @arrow_udf(BOUNDS)
-    def udf(frames: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([slide_bounds(f, width, height) or (None,) * 5 for f in frames], columns=["confidence", "height", "width", "x", "y"])
+    def udf(values: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([slide_bounds(frame(v), width, height) or (None,) * 5 for v in values], columns=["confidence", "height", "width", "x", "y"])
 
     return udf
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text
 from factloom.operators import segment, support
-from factloom.operators.rules import missing, set_equal, union, violations
+from factloom.operators.rules import missing, set_equal, union, violated, violations
+from factloom.session import spread, stored
 from factloom.sources.markdown import front_matter
 
 #: Sections that a page of a type must have, fixed values.
@@ -40,8 +41,11 @@ def front_matter_rules(planned: DataFrame, claims: DataFrame, knowledge_base: st
     shown = F.array_sort(F.map_entries(F.from_json(value("epistemic_summary"), "map<string,bigint>")))
     both = planned.select("path", "page_id", shown.alias("shown")).join(due, "page_id")
     return union(
-        violations(rows, "INVALID_PAGE_FRONTMATTER", F.col("path"), F.col("odd"), F.lit("keys")),
-        violations(rows, "INVALID_PAGE_FRONTMATTER", F.col("path"), ~F.col("odd") & (F.col("wrong") != ""), F.col("wrong")),
+        violated(
+            rows,
+            ("INVALID_PAGE_FRONTMATTER", F.col("path"), F.col("odd"), F.lit("keys")),
+            ("INVALID_PAGE_FRONTMATTER", F.col("path"), ~F.col("odd") & (F.col("wrong") != ""), F.col("wrong")),
+        ),
         violations(both, "INVALID_PAGE_STATUS", F.col("path"), ~F.col("shown").eqNullSafe(F.col("due"))),
     )
 
@@ -54,9 +58,12 @@ def content_rules(planned: DataFrame, claims: DataFrame) -> DataFrame:
     unsafe = F.col("markdown").rlike(text.REMOTE_IMAGE) | F.col("markdown").rlike(text.ABSOLUTE_PATH)
     blocks = segment.factual_blocks(planned.where(kind.isin(*SECTIONS)), "path", "body")
     return union(
-        violations(planned, "UNSAFE_PAGE_CONTENT", key, unsafe),
-        violations(planned, "PAGE_CITATION_CLOSURE", key, ~set_equal(F.col("cited"), F.col("claim_ids")) | ~set_equal(F.col("defined"), F.col("cited"))),
-        violations(planned, "MISSING_PAGE_SECTION", key, lost != "", lost),
+        violated(
+            planned,
+            ("UNSAFE_PAGE_CONTENT", key, unsafe),
+            ("PAGE_CITATION_CLOSURE", key, ~set_equal(F.col("cited"), F.col("claim_ids")) | ~set_equal(F.col("defined"), F.col("cited"))),
+            ("MISSING_PAGE_SECTION", key, lost != "", lost),
+        ),
         violations(blocks, "UNCITED_FACTUAL_BLOCK", F.col("page_id"), ~F.col("text").rlike(text.CITATION), F.substring("text", 1, 200)),
         support.hidden_status(planned.select("page_id", "main", "claim_ids"), claims),
     )
@@ -67,8 +74,7 @@ def page_rules(pages: DataFrame, plan: DataFrame, claims: DataFrame, concepts: D
 
     claims: (canonical_claim_id, status), each of which some page must hold.
     """
-    read = parsed(pages)
-    planned = plan.join(read, "path")
+    planned = plan.join(stored(parsed(spread(pages))), "path")
     named = plan.select(F.explode("claim_ids").alias("canonical_claim_id"))
     index = pages.where("path = 'index.md'").select(F.col("markdown").alias("text"))
     return union(

@@ -13,7 +13,7 @@ from factloom.operators import frames, graph, incremental, notes, pages, rules,
 from factloom.plans import derive
 from factloom.plans.derive import CANONICAL_SQL, SOURCES_SQL, SPANS_SQL
 from factloom.plans.registry import registry
-from factloom.session import table
+from factloom.session import spread, stored, table
 from factloom.sources import html
 
 QUERIES, SQL, query = registry()
@@ -87,17 +87,13 @@ def s_crop_box(spark, d):
 @query("""SELECT vec_id, CAST(floor(abs(embedding[1]) * 40) AS INTEGER) % 40 + 6 AS x, CAST(floor(abs(embedding[2]) * 20) AS INTEGER) % 20 + 4 AS y, 256 AS width, 144 AS height, true AS sure FROM embeddings""")
 def s_slide_bounds(spark, d):
     """Each vector as a drawn page: its first values place a bright page on a dark frame."""
-    @arrow_udf("binary")
-    def draw(vectors: pd.Series) -> pd.Series:
-        def one(v):
-            x, y = int(abs(v[0]) * 40) % 40, int(abs(v[1]) * 20) % 20
-            a = np.zeros((180, 320, 3), np.uint8)
-            a[y + 4 : y + 148, x + 6 : x + 262] = 230
-            return a.tobytes()
+    def draw(v):
+        x, y = int(abs(v[0]) * 40) % 40, int(abs(v[1]) * 20) % 20
+        a = np.zeros((180, 320, 3), np.uint8)
+        a[y + 4 : y + 148, x + 6 : x + 262] = 230
+        return a.tobytes()
 
-        return vectors.map(one)
-
-    got = table(spark, d, "embeddings").select("vec_id", frames.bounds_of(320, 180)(draw("embedding")).alias("b"))
+    got = spread(table(spark, d, "embeddings")).select("vec_id", frames.bounds_of(320, 180, draw)("embedding").alias("b"))
     return got.select("vec_id", "b.x", "b.y", "b.width", "b.height", (F.col("b.confidence") > 0.9).alias("sure"))
 
 
@@ -216,9 +212,9 @@ def _part_pages(spark, d):
         F.lit("# "), F.col("p_name"), F.lit("\n\n"), first, F.lit("\n\n"), F.col("p_name"), when(19, "", cite), F.lit(" "), when(23, "", shown), F.lit("\n\n"), when(29, "", sections), F.lit("\n\n- "), F.col("p_brand"), cite,
         when(37, "\n\n[pic]: ![x](https://h/i.png)"), when(41, "\n\n[path] /tmp/x"), F.lit("\n\n## 开放问题\n\nopen\n\n## 证据\n\n[^"), when(31, "cc_other", cc), F.lit("]: source\n"),
     )
-    rows = table(spark, d, "part").select(F.concat(F.lit("page-"), k).alias("page_id"), kind.alias("page_type"), F.concat(F.lit("p/"), k, F.lit(".md")).alias("path"), F.array(cc).alias("claim_ids"), F.concat(head, body).alias("markdown"), cc.alias("canonical_claim_id"), F.element_at(F.array(*map(F.lit, support.STATUSES)), at + 1).alias("status"))
+    rows = spread(table(spark, d, "part")).select(F.concat(F.lit("page-"), k).alias("page_id"), kind.alias("page_type"), F.concat(F.lit("p/"), k, F.lit(".md")).alias("path"), F.array(cc).alias("claim_ids"), F.concat(head, body).alias("markdown"), cc.alias("canonical_claim_id"), F.element_at(F.array(*map(F.lit, support.STATUSES)), at + 1).alias("status"))
     plan = rows.select("page_id", "page_type", "path", "claim_ids")
-    return plan.join(pages.parsed(rows.select("path", "markdown")), "path"), rows.select("canonical_claim_id", "status")
+    return plan.join(stored(pages.parsed(rows.select("path", "markdown"))), "path"), rows.select("canonical_claim_id", "status")
 
 
 @query(_PART_PAGES + """

@@ -54,6 +54,10 @@ def read(spark: SparkSession, paths: list[str] | str, base: str = "") -> DataFra
     return raw.select(path.alias("path"), F.decode("content", "UTF-8").alias("markdown"), F.col("length").alias("byte_size"), F.sha2("content", 256).alias("content_sha256"))
 
 
+#: libyaml's safe loader where it is there: the same values in a tenth of the time.
+_LOADER = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+
+
 @arrow_udf(FRONT)
 def front_matter(texts: pd.Series) -> pd.DataFrame:
     """YAML front matter as JSON text, the body, the line on which it begins, and any problem.
@@ -75,7 +79,7 @@ def front_matter(texts: pd.Series) -> pd.DataFrame:
         else:
             return None, None, None, "unclosed"
         try:
-            data = yaml.safe_load("".join(lines[1:i]))
+            data = yaml.load("".join(lines[1:i]), _LOADER)
         except yaml.YAMLError:
             return None, None, None, "invalid"
         data = {} if data is None else data
