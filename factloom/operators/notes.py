@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from factloom.functions import text as T
 from factloom.functions import timecode, urls
 from factloom.operators import ordering
-from factloom.operators.rules import union, violations
+from factloom.operators.rules import union, violated, violations
+from factloom.session import stored
 
 ASSETS = "Knowledge Assets/"
 _VIDEO_LINK = r"https://(?:youtu\.be/[A-Za-z0-9_-]{11}[^)\s>]*|(?:www\.)?youtube\.com/watch\?[^)\s>]*v=[A-Za-z0-9_-]{11}[^)\s>]*)"
@@ -23,22 +24,23 @@ def parsed(notes: DataFrame) -> DataFrame:
 
 def _common(p: DataFrame, placeholder: str) -> list[DataFrame]:
     key, n = F.col("path"), F.col("n")
-    fine = p.where("n.problem IS NULL")
+    fine = n["problem"].isNull()
     remote = n["body"].rlike(T.REMOTE_IMAGE) | n["body"].rlike(r"(?i)<img\b[^>]*\bsrc=[\"']\s*https?://")
-    return [
-        violations(p, "NOTE_FRONT_MATTER", key, n["problem"].isNotNull(), n["problem"]),
-        violations(fine, "NOTE_TITLE", key, n["title"] == ""),
-        violations(fine, "NOTE_PUBLISHED", key, (n["published"] != "") & ~n["published"].rlike(r"^\d{4}-\d{2}-\d{2}$"), n["published"]),
-        violations(fine, "NOTE_CAPTURED", key, ~n["captured"].rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$"), n["captured"]),
-        violations(fine, "NOTE_EMPTY", key, F.trim(F.regexp_replace(n["body"], r"\s+", " ")) == ""),
-        violations(fine, "NOTE_PLACEHOLDER", key, n["body"].rlike(placeholder)),
-        violations(fine, "NOTE_REMOTE_IMAGE", key, remote),
-    ]
+    return [violated(
+        p,
+        ("NOTE_FRONT_MATTER", key, ~fine, n["problem"]),
+        ("NOTE_TITLE", key, fine & (n["title"] == "")),
+        ("NOTE_PUBLISHED", key, fine & (n["published"] != "") & ~n["published"].rlike(r"^\d{4}-\d{2}-\d{2}$"), n["published"]),
+        ("NOTE_CAPTURED", key, fine & ~n["captured"].rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$"), n["captured"]),
+        ("NOTE_EMPTY", key, fine & (F.trim(F.regexp_replace(n["body"], r"\s+", " ")) == "")),
+        ("NOTE_PLACEHOLDER", key, fine & n["body"].rlike(placeholder)),
+        ("NOTE_REMOTE_IMAGE", key, fine & remote),
+    )]
 
 
 def article_rules(notes: DataFrame, assets: DataFrame) -> DataFrame:
     """Collected articles; assets: (path, mime) of the localised images that exist."""
-    p = parsed(notes)
+    p = stored(parsed(notes))  # read by every rule
     fine = p.where("n.problem IS NULL")
     images = fine.select("path", F.explode(F.array_distinct(T.image_destinations(F.col("n.body")))).alias("image"))
     met = images.join(assets.select(F.col("path").alias("image"), "mime"), "image", "left")
@@ -53,7 +55,11 @@ def article_rules(notes: DataFrame, assets: DataFrame) -> DataFrame:
 def timeline(notes: DataFrame) -> DataFrame:
     """(path, position, seconds, is_slide, target) of the video links with a time and the slides, in
     text order."""
-    p = parsed(notes).where("n.problem IS NULL")
+    return _timeline(parsed(notes))
+
+
+def _timeline(p: DataFrame) -> DataFrame:
+    p = p.where("n.problem IS NULL")
     body = F.col("n.body")
     token = rf"(?s)({_VIDEO_LINK})|(!\[[^\]]*\]\([^)]*\))"
     found = p.select("path", F.posexplode(F.regexp_extract_all(body, F.lit(token), F.lit(0))).alias("position", "t"))
@@ -65,7 +71,8 @@ def timeline(notes: DataFrame) -> DataFrame:
 
 def video_rules(notes: DataFrame, files: DataFrame, durations: DataFrame | None = None) -> DataFrame:
     """Video notes; files: (video_id, path) of published assets, durations: (path, duration)."""
-    p = parsed(notes)
+    p = stored(parsed(notes))  # read by every rule
+    files = stored(files)
     fine = p.where("n.problem IS NULL").withColumn("video_id", urls.video_id(F.col("n.source_url")))
     key, body = F.col("path"), F.col("n.body")
     folder = F.concat(F.lit("Video Assets/yt-"), F.col("video_id"))
@@ -74,7 +81,7 @@ def video_rules(notes: DataFrame, files: DataFrame, durations: DataFrame | None
     transcripts = F.size(F.filter(T.link_destinations(body, True), lambda x: x.startswith(F.concat(folder, F.lit("/transcript."))) & x.endswith(".vtt")))
     images = fine.select("path", "video_id", F.explode(T.image_destinations(body)).alias("image"))
     twice = images.groupBy("path", "image").count().where("count > 1")
-    marks = timeline(notes)
+    marks = stored(_timeline(p))
     placed = ordering.nearest(marks.where("seconds IS NOT NULL"), "path", "position", "seconds", "is_slide")
     spoken = marks.where("NOT is_slide AND seconds IS NOT NULL")
     if durations is not None:
