@@ -1,19 +1,22 @@
 """Markdown to evidence units and units to spans.
 
 Units need a block scanner with state over lines, so they come from an Arrow UDF over whole texts.
-Spans are expressions, lines and pieces, with running offsets within the unit by an Arrow UDF over whole batches.
+Spans are cut from whole texts too, lines and then pieces, in one pass over Arrow batches.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from factloom.functions.udf import arrow_udf
 
@@ -212,11 +215,12 @@ def evidence_units(sources: DataFrame) -> DataFrame:
     )
 
 
-_LINE_ENDS = r"(?<=[\n\x0b\x0c\x1c-\x1e\u0085  ])|(?<=\r)(?!\n)"
-_PREFIX = r"^\s*(?:[-+*]|\d+[.)])\s+"
-_PIECES = r"(?<=[。！？；.!?])(?:(?<=[。！？；])|(?=\s|$))"
-#: What a pattern's \s matches; trimmed by characters, as patterns cost more and a filter repeats them.
+_MARK = re.compile(r"(?:[-+*]|\d+[.)])\s+", re.A)
+#: Where a sentence ends; the last alternative is a line end that splitting at \r and \n leaves on a line.
+_STOP = re.compile(r"[。！？；]|[.!?](?=\s|\Z|[\x85\u2028\u2029]\Z)", re.A)
 _SPACE = " \t\n\x0b\x0c\r"
+#: Texts cut at once.
+_TEXTS = 256
 
 
 def _begins(lengths: pa.Array) -> pa.Array:
@@ -227,45 +231,61 @@ def _begins(lengths: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends.astype("int32")), pa.array(sums.astype("int32")))
 
 
-def _exploded(rows: DataFrame, texts: str) -> DataFrame:
-    """rows with i, s and begin for each of their texts: its place, itself and where it begins when all
-    stand end to end. texts names an array column without nulls, which goes."""
-    rest = [c for c in rows.columns if c != texts]
-    placed = rows.withColumn("begins", F.arrow_udf(_begins, "array<int>")(F.transform(texts, F.length)))
-    zipped = placed.select(*rest, F.posexplode(F.arrays_zip(F.col(texts).alias("s"), F.col("begins").alias("at"))).alias("i", "r"))
-    return zipped.select(*rest, "i", F.col("r.s").alias("s"), F.col("r.at").alias("begin"))
-
-
-def span_rows(units: DataFrame, unit_id: str, content: str, start_line: Column) -> DataFrame:
+def _kind(line: str, text: str, listed: bool) -> str:
+    if text.startswith("!["):
+        return "media"
+    if text.startswith("[") and "](" in text:
+        return "link"
+    if text.startswith(("```", "~~~")) or (line.startswith("    ") and not listed):
+        return "code"
+    return "table-row" if text.count("|") >= 2 else "list-item" if listed else "prose"
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (_text, _first, ...) to (line, start, end, content, kind, ...) of each span; _text is UTF-8."""
+    for whole in batches:
+        for low in range(0, whole.num_rows, _TEXTS):
+            b = whole.slice(low, _TEXTS)
+            # a line begins where str.splitlines cuts
+            lines = [t.decode("utf-8", "replace").splitlines(True) for t in b.column("_text").to_pylist()]
+            begins = _begins(pa.array([[len(x) for x in found] for found in lines], pa.list_(pa.int32()))).to_pylist()
+            owner, place, starts, contents, kinds = [], [], [], [], []
+            for row, (found, ats) in enumerate(zip(lines, begins)):
+                for i, (raw, at) in enumerate(zip(found, ats)):
+                    line = raw.rstrip("\r\n")
+                    bare = line.lstrip(_SPACE)
+                    mark = _MARK.match(bare)
+                    text = bare[mark.end() :] if mark else bare
+                    if not text:
+                        continue
+                    kind, at, done = _kind(line, text, mark is not None), at + len(line) - len(text), 0
+                    for end in (*(m.end() for m in _STOP.finditer(text)), len(text)):
+                        left = text[done:end].lstrip(_SPACE)
+                        content = left.rstrip(_SPACE)
+                        if content:
+                            owner.append(row)
+                            place.append(i)
+                            starts.append(at + end - len(left))
+                            contents.append(content)
+                            kinds.append(kind)
+                        done = end
+            of, start = pa.array(owner, pa.int64()), pa.array(starts, pa.int64())
+            rest = [n for n in b.schema.names if n not in ("_text", "_first")]
+            columns = [pc.add(b.column("_first").take(of), pa.array(place, pa.int64())), start, pc.add(start, pa.array(map(len, contents), pa.int64())), pa.array(contents, pa.string()), pa.array(kinds, pa.string())]
+            yield pa.RecordBatch.from_arrays([*columns, *(b.column(n).take(of) for n in rest)], names=["line", "start_offset", "end_offset", "content", "span_kind", *rest])
+
+
+def span_rows(units: DataFrame, unit_id: str, content: str, start_line: Column, *also: str) -> DataFrame:
     """(evidence_unit_id, start_offset, end_offset, line, content, span_kind) of each span of a unit.
 
     Every line with text gives one or more exact substrings: indentation and list marks go, what is
-    left is cut after sentence ends. Offsets count code points in the unit's text; they are summed
-    within the row, in time that grows with its length, so nothing is shuffled.
+    left is cut after sentence ends. Offsets count code points in the unit's text; a text is cut in one
+    pass where it lies, so nothing is shuffled. also: further columns of the unit that its spans keep.
     """
-    # nulls go before the texts are cut: a filter on what is cut would cut it twice
-    lines = _exploded(units.where(F.col(content).isNotNull()).select(F.col(unit_id).alias("unit"), start_line.alias("first"), F.split(F.col(content), _LINE_ENDS, -1).alias("texts")), "texts")
-    raw = lines.select("unit", "first", "i", F.col("s").alias("raw"), F.col("begin").alias("at"))
-    line = F.rtrim("raw", F.lit("\r\n"))
-    marked = raw.select("unit", "first", "i", "at", line.alias("line"), F.ltrim(line, F.lit(_SPACE)).alias("bare"))
-    prefix = F.regexp_extract("bare", _PREFIX, 0)
-    cut = marked.select("unit", "first", "i", "at", "line", (F.length("line") - F.length("bare") + F.length(prefix)).alias("lead"), (prefix != "").alias("listed"), F.substring("bare", F.length(prefix) + 1, F.length("bare")).alias("text"))
-    kind = (
-        F.when(F.col("text").startswith("!["), "media")
-        .when(F.col("text").startswith("[") & F.col("text").contains("]("), "link")
-        .when(F.col("text").startswith("```") | F.col("text").startswith("~~~") | (F.col("line").startswith("    ") & ~F.col("listed")), "code")
-        .when(F.length("text") - F.length(F.replace("text", F.lit("|"), F.lit(""))) >= 2, "table-row")
-        .when(F.col("listed"), "list-item")
-        .otherwise("prose")
-    )
-    pieces = _exploded(cut.select("unit", "first", F.col("i").alias("line_at"), (F.col("at") + F.col("lead")).alias("at"), kind.alias("kind"), F.split("text", _PIECES, -1).alias("texts")), "texts")
-    placed = pieces.select("unit", "first", F.col("line_at").alias("i"), "kind", F.col("s").alias("piece"), (F.col("at") + F.col("begin")).alias("at"))
-    trimmed = F.btrim("piece", F.lit(_SPACE))
-    begin = F.col("at") + F.length("piece") - F.length(F.ltrim("piece", F.lit(_SPACE)))
-    return placed.where(trimmed != "").select(
-        F.col("unit").alias("evidence_unit_id"), begin.cast("long").alias("start_offset"), (begin + F.length(trimmed)).cast("long").alias("end_offset"),
-        (F.col("first") + F.col("i")).cast("long").alias("line"), trimmed.alias("content"), F.col("kind").alias("span_kind"),
-    )
+    texts = units.where(F.col(content).isNotNull()).select(F.col(content).cast("binary").alias("_text"), start_line.cast("long").alias("_first"), F.col(unit_id).alias("evidence_unit_id"), *also)
+    made = StructType().add("line", "long").add("start_offset", "long").add("end_offset", "long").add("content", "string").add("span_kind", "string")
+    rows = texts.mapInArrow(_cut, StructType(made.fields + texts.schema.fields[2:]))
+    return rows.select("evidence_unit_id", "start_offset", "end_offset", "line", "content", "span_kind", *also)
 
 
 def evidence_spans(units: DataFrame) -> DataFrame:

@@ -26,18 +26,20 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, start_offset, end_offset, line, content, span_kind)."""
+def spans(spark: SparkSession, sf_dir: str, *also: str) -> DataFrame:
+    """(doc_id, start_offset, end_offset, line, content, span_kind) and what ``also`` names of the documents with the
+    span's id: they are joined to the texts, as there are far fewer texts than spans."""
     d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return segment.span_rows(d, "doc_id", "text", F.lit(1)).withColumnRenamed("evidence_unit_id", "doc_id")
+    if also:
+        d = d.join(table(spark, sf_dir, "documents").select("doc_id", *also), "doc_id")
+    return segment.span_rows(d, "doc_id", "text", F.lit(1), *also).withColumnRenamed("evidence_unit_id", "doc_id")
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sentence as a claim: subject its first two words, predicate the third."""
     words = F.filter(F.split("statement", " "), lambda x: x != "")
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
     negated = F.exists(words, lambda w: F.lower(w).isin(*NEGATORS))
-    return spans(spark, sf_dir).withColumnRenamed("content", "statement").join(d, "doc_id").select(
+    return spans(spark, sf_dir, "lang", "source").withColumnRenamed("content", "statement").select(
         F.concat_ws("-", F.lit("ec"), "doc_id", "start_offset").alias("evidence_claim_id"), "doc_id", "line", "statement",
         F.array_join(F.slice(words, 1, 2), " ").alias("subject"), F.coalesce(F.get(words, F.lit(2)), F.lit("is")).alias("predicate"),
         F.when(negated, "negative").otherwise("positive").alias("polarity"), F.col("lang").alias("scope"), "source",
@@ -56,9 +58,10 @@ def canonical(spark: SparkSession, sf_dir: str, found: DataFrame | None = None)
     if there are any. Stored, as operators read canonical claims several times."""
     c = claims(spark, sf_dir) if found is None else found
     odd = F.pmod("doc_id", F.lit(2)) == 1
-    return stored(c.groupBy("statement").agg(
-        F.array_sort(F.collect_list(F.when(~odd, F.col("evidence_claim_id")))).alias("supporting"),
-        F.array_sort(F.collect_list(F.when(odd, F.col("evidence_claim_id")))).alias("opposing"),
+    # the hash comes first, as statements that begin alike are slow to sort
+    return stored(c.groupBy(F.xxhash64("statement").alias("h"), "statement").agg(
+        F.sort_array(F.collect_list(F.when(~odd, F.col("evidence_claim_id")))).alias("supporting"),
+        F.sort_array(F.collect_list(F.when(odd, F.col("evidence_claim_id")))).alias("opposing"),
     ).select(
         canonical_id().alias("canonical_claim_id"), "statement", "supporting", "opposing",
         F.when(F.col("statement").rlike("^[A-D]"), F.array(F.lit("cc_parent"))).otherwise(F.array().cast("array<string>")).alias("derived_from"),
