@@ -6,8 +6,12 @@ the union of its rules is empty. Set-based gates see every violation where a loo
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -149,20 +153,57 @@ def disposition_rules(spans: DataFrame, dispositions: DataFrame, claims: DataFra
     )
 
 
+def _substring(text: str, start: int, end: int) -> str:
+    """What Spark's substring gives between two offsets, negative ones included."""
+    low = len(text) + start + 1 if start < -1 else max(start, 0)
+    return text[max(low, 0) : max(low + end - start, 0)]
+
+
+def _span_faults(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(record_id, detail) from rows sorted by unit_id, units before their spans: one unit is held at a time."""
+    unit, known = None, []  # of the unit: text, where its line ends are, first line
+    for b in batches:
+        keys, details = [], []
+        for key, is_span, record, start, end, line, content, altered in zip(*(c.to_pylist() for c in b.columns)):
+            if key != unit:
+                unit, known = key, []
+            content = None if content is None else content.decode("utf-8", "surrogateescape")
+            if not is_span:
+                known.append((content, [m.start() for m in re.finditer("\n", content or "")], line))
+                continue
+            for text, breaks, first in known or [(None, [], None)]:
+                found = ["digest"] if altered else []
+                if text is None:
+                    found.append("text")
+                elif start is not None:
+                    if end is not None and content is not None and _substring(text, start, end) != content:
+                        found.append("text")
+                    if first is not None and line is not None and first + bisect_left(breaks, start) != line:
+                        found.append("line")
+                keys += [record] * len(found)
+                details += found
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(details, pa.string())], names=["record_id", "detail"])
+
+
 def span_rules(spans: DataFrame, units: DataFrame) -> DataFrame:
-    """Spans that their unit does not reproduce: text, digest and line from the offsets."""
-    u = units.select("evidence_unit_id", F.col("content").alias("unit"), F.col("start_line").alias("unit_line"))
-    both = spans.join(u, "evidence_unit_id", "left")
-    text = F.substring("unit", F.col("start_offset") + 1, F.col("end_offset") - F.col("start_offset"))
-    before = F.substring("unit", F.lit(1), F.col("start_offset"))
-    line = F.col("unit_line") + F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit("")))
-    key = F.col("evidence_span_id")
-    return violated(
-        both,
-        ("VERIFY_SPAN", key, F.col("unit").isNull() | (text != F.col("content")), F.lit("text")),
-        ("VERIFY_SPAN", key, F.sha2("content", 256) != F.col("content_sha256"), F.lit("digest")),
-        ("VERIFY_SPAN", key, line != F.col("start_line"), F.lit("line")),
+    """Spans that their unit does not reproduce: text, digest and line from the offsets.
+
+    Units and spans are sorted by unit, so that each text is read once, in time that grows with its length and
+    not with length times spans. Spans without a unit's id are dealt to all tasks.
+    """
+    none = F.lit(None)
+    given = spans.select(
+        F.col("evidence_unit_id").alias("unit_id"), F.lit(True).alias("is_span"), F.col("evidence_span_id").cast("string").alias("record_id"),
+        *(F.col(c).cast("long").alias(c) for c in ("start_offset", "end_offset", "start_line")),
+        F.col("content").cast("binary").alias("content"), (F.sha2("content", 256) != F.col("content_sha256")).alias("altered"),
+    )
+    texts = units.where(F.col("evidence_unit_id").isNotNull()).select(
+        F.col("evidence_unit_id").alias("unit_id"), F.lit(False).alias("is_span"), none.cast("string").alias("record_id"), none.cast("long").alias("start_offset"), none.cast("long").alias("end_offset"),
+        F.col("start_line").cast("long").alias("start_line"), F.col("content").cast("binary").alias("content"), none.cast("boolean").alias("altered"),
     )
+    dealt = texts.unionByName(given).repartition("unit_id", F.when(F.col("unit_id").isNull(), F.xxhash64("record_id")))
+    found = dealt.sortWithinPartitions("unit_id", "is_span").mapInArrow(_span_faults, "record_id string, detail string")
+    return found.select(F.lit("VERIFY_SPAN").alias("rule_code"), "record_id", "detail")
 
 
 def unit_rules(units: DataFrame, files: DataFrame) -> DataFrame:

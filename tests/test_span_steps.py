@@ -29,3 +29,20 @@ def test_spans_of_odd_texts(spark):
     got = [tuple(r)[1:] for r in segment.span_rows(df, "unit", "content", F.col("first"), "first").orderBy("evidence_unit_id", "start_offset").collect()]
     assert got[:4] == [(0, 2, 7, "a.", "prose", 7), (2, 3, 7, "\x85", "prose", 7), (3, 5, 8, "b.", "prose", 7), (6, 8, 8, "c\u2028", "prose", 7)]
     assert all(texts[r[0]][r[1] : r[2]] == r[4] for r in map(tuple, segment.span_rows(df, "unit", "content", F.col("first")).collect()))
+
+
+def test_units_are_not_joined_to_each_of_their_spans(spark):
+    plan = _plan(catalog.queries()["p_span_rules"](spark, D))
+    assert "Join" not in plan and "substring(unit" not in plan
+
+
+def test_span_rules_on_odd_rows(spark):
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    units = spark.createDataFrame([(1, "a\nbc", 1), (1, "a\nb", 1), (2, None, 1), (None, "a", 1)], "evidence_unit_id long, content string, start_line int")
+    spans = [("good", 1, 0, 1, 1, "a", sha("a")), ("one of two", 1, 2, 4, 2, "bc", sha("bc")), ("line", 1, 2, 3, 1, "b", sha("b")), ("digest", 1, 0, 1, 1, "a", sha("b")), ("no text", 2, 0, 1, 1, "a", sha("a")),
+             ("no unit", 3, 0, 1, 1, "a", sha("b")), ("no id", None, 0, 1, 1, "a", sha("a")), ("null", 1, None, 1, None, "a", None), ("from the end", 1, -2, -1, 1, "c", sha("c"))]
+    df = spark.createDataFrame(spans, "evidence_span_id string, evidence_unit_id long, start_offset long, end_offset long, start_line int, content string, content_sha256 string")
+    got = rules.span_rules(df, units)
+    assert got.columns == ["rule_code", "record_id", "detail"]
+    want = [("one of two", "text"), ("line", "line"), ("line", "line"), ("digest", "digest"), ("digest", "digest"), ("no text", "text"), ("no unit", "text"), ("no unit", "digest"), ("no id", "text"), ("from the end", "text")]
+    assert sorted((r.record_id, r.detail) for r in got.collect()) == sorted(want)
