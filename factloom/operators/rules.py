@@ -216,26 +216,27 @@ def unit_rules(units: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
-def exploded(df: DataFrame, key: str, label: str, named: dict[str, str]) -> DataFrame:
-    """(key, item, label) of every item of several array columns, in one pass; named: column to its label."""
+def exploded(df: DataFrame, key: str, label: str, named: dict[str, str], *also: str) -> DataFrame:
+    """(key, item, label) of every item of several array columns, in one pass; named: column to its label; also:
+    further columns that each row keeps."""
     none = F.array().cast("array<string>")
 
     def items(column: str, name: str) -> Column:
         return F.transform(F.coalesce(F.col(column), none), lambda x: F.struct(x.alias("item"), F.lit(name).alias(label)))
 
-    return df.select(key, F.explode(F.concat(*(items(c, n) for c, n in named.items()))).alias("e")).select(key, "e.item", f"e.{label}")
+    return df.select(key, *also, F.explode(F.concat(*(items(c, n) for c, n in named.items()))).alias("e")).select(key, "e.item", f"e.{label}", *also)
 
 
-def evidence_edges(canonical: DataFrame) -> DataFrame:
-    """(canonical_claim_id, evidence_claim_id, side) of support and opposition."""
-    return exploded(canonical, "canonical_claim_id", "side", {"supporting": "supports", "opposing": "opposes"}).withColumnRenamed("item", "evidence_claim_id")
+def evidence_edges(canonical: DataFrame, *also: str) -> DataFrame:
+    """(canonical_claim_id, evidence_claim_id, side) of support and opposition, and further columns of the claim."""
+    return exploded(canonical, "canonical_claim_id", "side", {"supporting": "supports", "opposing": "opposes"}, *also).withColumnRenamed("item", "evidence_claim_id")
 
 
 def qualifier_rules(canonical: DataFrame, claims: DataFrame) -> DataFrame:
     """A canonical claim keeps time, scope and conditions of all its evidence, on either side."""
-    own = canonical.select("canonical_claim_id", F.col("time").alias("c_time"), F.col("scope").alias("c_scope"), F.col("conditions").alias("c_conditions"))
+    own = canonical.select("canonical_claim_id", "supporting", "opposing", F.col("time").alias("c_time"), F.col("scope").alias("c_scope"), F.col("conditions").alias("c_conditions"))
     e = claims.select("evidence_claim_id", "time", "scope", "conditions")
-    both = evidence_edges(canonical).join(e, "evidence_claim_id").join(own, "canonical_claim_id")
+    both = evidence_edges(own, "c_time", "c_scope", "c_conditions").join(e, "evidence_claim_id")
     lost = (
         (F.col("time").isNotNull() & ~F.col("time").eqNullSafe(F.col("c_time")))
         | (F.col("scope").isNotNull() & ~F.col("scope").eqNullSafe(F.col("c_scope")))
