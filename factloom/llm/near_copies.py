@@ -1,10 +1,11 @@
 """Near copies of texts: word shingles with a Jaccard similarity of at least ``similar``.
 
-A text is the set of its shingles of five words. Majority-bit fingerprints do not find such pairs:
-at a similarity of 0.8 about one bit in seven differs, so a 64-bit fingerprint needs a radius of
-eleven bits and more, for which Golay keys would hold most of a corpus. Candidates therefore come
-from least hashes: ``BANDS`` keys of ``ROWS`` hashes each, of which a pair of similarity s shares one
-with probability 1 - (1 - s**ROWS)**BANDS, 0.9996 at 0.8. Every candidate is then verified on its
+A text is the set of its shingles of five words. Candidates come first from operator 3's method: the majority
+fingerprint of the shingles, its Golay keys, and the links of at most two bits that they give (``simhash.links``).
+These are the copies with hardly an edit: at a similarity of 0.8 about one bit in seven differs, so a 64-bit
+fingerprint would need a radius of eleven bits and more, for which Golay keys would hold most of a corpus. The pairs
+beyond two bits come from least hashes: ``BANDS`` keys of ``ROWS`` hashes each, of which a pair of similarity s shares
+one with probability 1 - (1 - s**ROWS)**BANDS, 0.9996 at 0.8. Every candidate of either kind is then verified on its
 whole shingle sets, so no pair below ``similar`` is linked.
 
 Keys with few texts are joined pair by pair. For keys with more than ``pair_bound`` texts each text is first
@@ -26,6 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.llm import simhash
 from factloom.llm.common import Stash, pick, slices, text_of, trim
 from factloom.llm.components import components
 
@@ -70,8 +72,9 @@ def _printer(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             sets = [shingles(t, size) for t in b.column("text").to_pylist()]
-            columns = [b.column("doc_id"), b.column("text_key"), pa.array(map(_node, sets), pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array(map(band_keys, sets), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "node", "size", "keys"])
+            prints = np.array([simhash.majority_of(s) for s in sets], np.uint64).view(np.int64)
+            columns = [b.column("doc_id"), b.column("text_key"), pa.array(map(_node, sets), pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array(prints), pa.array(map(band_keys, sets), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "node", "size", "fp", "keys"])
         trim()
 
     return run
@@ -88,6 +91,17 @@ def _setter(size: int):
     return run
 
 
+def fingerprint_pairs(stash: Stash, distinct: DataFrame, pair_bound: int) -> DataFrame:
+    """(u, v), u > v, once each: nodes whose fingerprints operator 3 links, and nodes with the least of their fingerprint.
+    They join all nodes with shingles whose fingerprints are within two bits, directly or over others."""
+    printed = distinct.where("size > 0").select("node", "fp")
+    first = stash.put(printed.groupBy("fp").agg(F.min("node").alias("first")))
+    linked = simhash.links(stash, first.select("fp"), pair_bound)
+    near = linked.join(first.toDF("u", "a"), "u").join(first.toDF("v", "b"), "v").select("a", "b")
+    same = printed.join(first, "fp").where("node != first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    return near.unionByName(same).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+
+
 def candidates(stash: Stash, distinct: DataFrame, pair_bound: int) -> tuple[DataFrame, DataFrame]:
     """((u, v), u > v, once each: nodes that share a key, of large keys those with a pivot; nodes of large keys)."""
     keyed = distinct.select("node", F.explode("keys").alias("key"))
@@ -145,11 +159,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stash = Stash(docs.sparkSession, "near-copies")
     rows = pick(docs, doc_id=id_col, text=text_col).select("doc_id", text_of().alias("text")).withColumn("text_key", F.xxhash64("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    printed = stash.put(rows.mapInArrow(_printer(shingle), f"doc_id {kind}, text_key long, node long, size int, keys array<long>"))
+    printed = stash.put(rows.mapInArrow(_printer(shingle), f"doc_id {kind}, text_key long, node long, size int, fp long, keys array<long>"))
     # a node's sample is the row with the least id, rows without one last
     row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("text_key").alias("text_key"))
-    distinct = stash.put(printed.groupBy("node").agg(F.min(row).alias("at"), F.first("size").alias("size"), F.first("keys").alias("keys")).select("node", F.col("at.doc_id").alias("least"), F.col("at.text_key").alias("text_key"), "size", "keys"))
+    distinct = stash.put(printed.groupBy("node").agg(F.min(row).alias("at"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys")).select("node", F.col("at.doc_id").alias("least"), F.col("at.text_key").alias("text_key"), "size", "fp", "keys"))
     pairs, large = candidates(stash, distinct, pair_bound)
+    pairs = pairs.unionByName(fingerprint_pairs(stash, distinct, pair_bound)).distinct()
     size = distinct.select("node", "size")
     pairs = pairs.join(size.toDF("u", "su"), "u").join(size.toDF("v", "sv"), "v").where(_alike("su", "sv", similar)).select("u", "v")
     pairs, large = stash.put(pairs), stash.put(large)

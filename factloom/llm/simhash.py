@@ -38,6 +38,24 @@ FAMILIES = ((0, 1), (1, 2), (2, 0))
 _CHUNK = 1 << 16
 
 
+def bit_votes(hashes: np.ndarray) -> np.ndarray:
+    """How many of some unsigned 64-bit hashes have each bit."""
+    return np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(votes: np.ndarray, n: int) -> int:
+    """The unsigned fingerprint of n hashes: the bits that more than half of them have."""
+    return int(np.packbits((votes * 2 > n).astype(np.uint8), bitorder="little").view("<u8")[0])
+
+
+def majority_of(hashes: np.ndarray) -> int:
+    """The unsigned fingerprint of hashes, a bounded number of them unpacked at a time."""
+    votes = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        votes += bit_votes(hashes[at : at + _CHUNK])
+    return majority(votes, len(hashes))
+
+
 def fingerprint(text: str | None) -> int:
     """The unsigned 64-bit fingerprint: majority bits over the shingles' XXH64; none: zero."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -51,10 +69,8 @@ def fingerprint(text: str | None) -> int:
     digest = xxhash.xxh64_intdigest
     votes = np.zeros(64, np.int64)
     for at in range(0, len(first), _CHUNK):
-        h = np.array([digest(joined[a:b], SEED) for a, b in zip(first[at : at + _CHUNK], last[at : at + _CHUNK])], dtype="<u8")
-        votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = (votes * 2 > len(first)).astype(np.uint8)
-    return int(np.packbits(bits, bitorder="little").view("<u8")[0])
+        votes += bit_votes(np.array([digest(joined[a:b], SEED) for a, b in zip(first[at : at + _CHUNK], last[at : at + _CHUNK])], np.uint64))
+    return majority(votes, len(first))
 
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
