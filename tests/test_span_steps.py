@@ -46,3 +46,10 @@ def test_span_rules_on_odd_rows(spark):
     assert got.columns == ["rule_code", "record_id", "detail"]
     want = [("one of two", "text"), ("line", "line"), ("line", "line"), ("digest", "digest"), ("digest", "digest"), ("no text", "text"), ("no unit", "text"), ("no unit", "digest"), ("no id", "text"), ("from the end", "text")]
     assert sorted((r.record_id, r.detail) for r in got.collect()) == sorted(want)
+
+
+def test_claims_of_one_id_do_not_repeat_their_qualifiers(spark):
+    row = "canonical_claim_id string, supporting array<string>, opposing array<string>, time string, scope string, conditions array<string>"
+    canonical = spark.createDataFrame([("cc", ["a"], [], None, "en", []), ("cc", [], ["b"], None, "de", [])], row)
+    claims = spark.createDataFrame([("a", None, "de", []), ("b", None, "de", ["c"])], "evidence_claim_id string, time string, scope string, conditions array<string>")
+    assert sorted(r.detail for r in rules.qualifier_rules(canonical, claims).collect()) == ["a", "b"]
