@@ -24,8 +24,9 @@ def supersession_edges(canonical: DataFrame) -> DataFrame:
 
 def dangling(edges: DataFrame, nodes: DataFrame, prefix: str = "cc_") -> DataFrame:
     """Claim nodes of edges that are no known claim."""
-    ends = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
-    return ends.where(F.col("node").startswith(prefix)).join(nodes.select("node"), "node", "left_anti")
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("node"), F.lit(False).alias("known"))
+    both = ends.unionByName(nodes.select("node", F.lit(True).alias("known"))).where(F.col("node").startswith(prefix))
+    return both.groupBy("node").agg(F.bool_or("known").alias("known")).where(~F.col("known")).select("node")
 
 
 def _peeled(edges: DataFrame) -> DataFrame:

@@ -22,27 +22,39 @@ VISIBLE = {
 def support_counts(canonical: DataFrame, provenance: DataFrame) -> DataFrame:
     """Distinct documents, works, independence groups and publishers behind each canonical claim.
 
-    Supporting and opposing evidence both count; a claim without evidence has zeros.
+    Supporting and opposing evidence both count; a claim without evidence has zeros. provenance: a row an evidence
+    claim, met by the lists of the canonical claims, or a row (canonical_claim_id, ...) an edge already.
+
+    Documents are the most, so their pairs with claims are counted apart; of the other columns each combination
+    stays once a claim before they are counted together.
     """
-    behind = provenance.select("evidence_claim_id", "document_id", "work_id", "independence_group_id", "publisher_id", "evidence_origin", "primary_support_status")
-    met = evidence_edges(canonical).join(behind, "evidence_claim_id")
-    note = F.col("evidence_origin") == "derived-note"
-    counts = met.groupBy("canonical_claim_id").agg(
-        F.count_distinct("document_id").alias("document_count"), F.count_distinct("work_id").alias("work_count"),
-        F.count_distinct("independence_group_id").alias("independent_count"), F.count_distinct("publisher_id").alias("publisher_count"),
+    behind = ("document_id", "work_id", "independence_group_id", "publisher_id", "evidence_origin", "primary_support_status")
+    met = provenance
+    if "canonical_claim_id" not in provenance.columns:
+        met = evidence_edges(canonical).join(provenance.select("evidence_claim_id", *behind), "evidence_claim_id")
+    key, note = "canonical_claim_id", F.col("evidence_origin") == "derived-note"
+    once = met.groupBy(key, "work_id", "independence_group_id", "publisher_id").agg(
         F.bool_and(note).alias("only_notes"), F.bool_or(F.coalesce(F.col("primary_support_status"), F.lit("")) != "verified").alias("some_unverified"),
     )
+    others = once.groupBy(key).agg(
+        F.count_distinct("work_id").alias("work_count"), F.count_distinct("independence_group_id").alias("independent_count"),
+        F.count_distinct("publisher_id").alias("publisher_count"), F.bool_and("only_notes").alias("only_notes"), F.bool_or("some_unverified").alias("some_unverified"),
+    )
+    documents = met.select(key, "document_id").distinct().groupBy(key).agg(F.count("document_id").alias("document_count"))
+    counts = documents.join(others, key)
     zero = {f"{x}_count": 0 for x in ("document", "work", "independent", "publisher")}
     stated = [c for c in counts.columns if c in canonical.columns and c != "canonical_claim_id"]  # what a record states is derived anew
     return canonical.drop(*stated).join(counts, "canonical_claim_id", "left").fillna(zero).fillna(False, ["only_notes", "some_unverified"])
 
 
 def with_status(counted: DataFrame) -> DataFrame:
-    """The derived status of each claim; the first rule that fits decides."""
+    """The derived status of each claim; the first rule that fits decides. Of evidence, claims have the lists or their
+    sizes, supporting_count and opposing_count."""
+    many = lambda side: F.col(f"{side}_count") if f"{side}_count" in counted.columns else F.size(side)
     status = (
         F.when(F.size("superseded_by") > 0, "superseded")
-        .when(F.size("opposing") > 0, "disputed")
-        .when((F.size("derived_from") > 0) & (F.size("supporting") == 0), "derived")
+        .when(many("opposing") > 0, "disputed")
+        .when((F.size("derived_from") > 0) & (many("supporting") == 0), "derived")
         .when(F.col("only_notes") & F.col("some_unverified"), "derived-note-only")
         .when(F.col("independent_count") >= 2, "multi-source")
         .when(F.col("independent_count") == 1, "single-source")

@@ -26,20 +26,29 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def spans(spark: SparkSession, sf_dir: str, *also: str) -> DataFrame:
+def repeated(spark: SparkSession, sf_dir: str) -> bool:
+    """Whether documents have an id in common, so that an id does not name one text."""
+    return not table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
+
+
+def spans(spark: SparkSession, sf_dir: str, *also: str, shared_ids: bool | None = None) -> DataFrame:
     """(doc_id, start_offset, end_offset, line, content, span_kind) and what ``also`` names of the documents with the
-    span's id: they are joined to the texts, as there are far fewer texts than spans."""
-    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    if also:
-        d = d.join(table(spark, sf_dir, "documents").select("doc_id", *also), "doc_id")
+    span's id: of the text's own row, or, if ids repeat, of all rows with its id. shared_ids: what ``repeated`` found."""
+    docs = table(spark, sf_dir, "documents")
+    if not also:
+        d = spread(docs.select("doc_id", "text"))
+    elif repeated(spark, sf_dir) if shared_ids is None else shared_ids:
+        d = spread(docs.select("doc_id", "text")).join(docs.select("doc_id", *also), "doc_id")
+    else:
+        d = spread(docs.where("doc_id IS NOT NULL").select("doc_id", "text", *also))
     return segment.span_rows(d, "doc_id", "text", F.lit(1), *also).withColumnRenamed("evidence_unit_id", "doc_id")
 
 
-def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+def claims(spark: SparkSession, sf_dir: str, shared_ids: bool | None = None) -> DataFrame:
     """Every sentence as a claim: subject its first two words, predicate the third."""
     words = F.filter(F.split("statement", " "), lambda x: x != "")
     negated = F.exists(words, lambda w: F.lower(w).isin(*NEGATORS))
-    return spans(spark, sf_dir, "lang", "source").withColumnRenamed("content", "statement").select(
+    return spans(spark, sf_dir, "lang", "source", shared_ids=shared_ids).withColumnRenamed("content", "statement").select(
         F.concat_ws("-", F.lit("ec"), "doc_id", "start_offset").alias("evidence_claim_id"), "doc_id", "line", "statement",
         F.array_join(F.slice(words, 1, 2), " ").alias("subject"), F.coalesce(F.get(words, F.lit(2)), F.lit("is")).alias("predicate"),
         F.when(negated, "negative").otherwise("positive").alias("polarity"), F.col("lang").alias("scope"), "source",
@@ -69,6 +78,20 @@ def canonical(spark: SparkSession, sf_dir: str, found: DataFrame | None = None)
     ))
 
 
+def canonical_counts(found: DataFrame) -> DataFrame:
+    """Canonical claims as ``canonical`` makes them, with the numbers of claims on either side and not their lists.
+    found: (canonical_claim_id, statement, doc_id) of stored claims."""
+    odd = F.pmod("doc_id", F.lit(2)) == 1
+    none = F.array().cast("array<string>")
+    return found.groupBy(F.xxhash64("statement").alias("h"), "statement", "canonical_claim_id").agg(
+        F.count_if(~odd).alias("supporting_count"), F.count_if(odd).alias("opposing_count"),
+    ).select(
+        "canonical_claim_id", "supporting_count", "opposing_count",
+        F.when(F.col("statement").rlike("^[A-D]"), F.array(F.lit("cc_parent"))).otherwise(none).alias("derived_from"),
+        F.when(F.col("statement").rlike("^[XYZ]"), F.array(F.lit("cc_newer"))).otherwise(none).alias("superseded_by"),
+    )
+
+
 SOURCES_SQL = """src AS (
   SELECT doc_id, 'src_' || substr(sha256('documents/' || doc_id || '.md'), 1, 20) AS source_id, 'documents/' || doc_id || '.md' AS path,
          'https://t.example/' || substr(sha256(text), 1, 16) AS source_url, CASE WHEN lang = 'en' THEN 'user-note' ELSE 'faithful-translation' END AS source_kind,

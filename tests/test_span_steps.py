@@ -2,6 +2,7 @@
 
 import hashlib
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,3 +54,23 @@ def test_claims_of_one_id_do_not_repeat_their_qualifiers(spark):
     canonical = spark.createDataFrame([("cc", ["a"], [], None, "en", []), ("cc", [], ["b"], None, "de", [])], row)
     claims = spark.createDataFrame([("a", None, "de", []), ("b", None, "de", ["c"])], "evidence_claim_id string, time string, scope string, conditions array<string>")
     assert sorted(r.detail for r in rules.qualifier_rules(canonical, claims).collect()) == ["a", "b"]
+
+
+def test_edges_are_taken_from_claims(spark):
+    for name in ("a_support_counts", "a_epistemic_status"):
+        plan = _plan(catalog.queries()[name](spark, D))
+        assert "Generate" not in plan and "ObjectHashAggregate" not in plan and "evidence_claim_id" not in plan
+    plan = _plan(catalog.queries()["g_dangling"](spark, D))
+    assert "Join" not in plan and "statement" not in plan and "ObjectHashAggregate" not in plan
+
+
+@pytest.mark.parametrize("ids", [[0, 1, 2, 3, 4, 5, None], [2, 2, 3, 3, 3, 6, None]])
+def test_counts_of_documents_that_share_an_id(spark, tmp_path, ids):
+    texts = ["A b. Xa c.", "A b. Other d!", "A b.\nXa c.\nA b.", "Last e. A b.", None, "Sole f.", "Of no id."]
+    rows = list(zip(ids, texts, ["en", "de", "en", None, "en", "fr", "en"], ["s", "t", "s", "t", "u", None, "u"]))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("a_support_counts", "a_epistemic_status", "a_status_pivot", "p_hidden_status", "g_dangling", "m_span_kind_counts"):
+        got, want = catalog.queries()[name](spark, str(tmp_path)), duck.sql(catalog.oracle_sql()[name])
+        assert sorted(map(str, map(tuple, got.select(*want.columns).collect()))) == sorted(map(str, want.fetchall())), name
