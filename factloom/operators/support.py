@@ -25,23 +25,20 @@ def support_counts(canonical: DataFrame, provenance: DataFrame) -> DataFrame:
     Supporting and opposing evidence both count; a claim without evidence has zeros. provenance: a row an evidence
     claim, met by the lists of the canonical claims, or a row (canonical_claim_id, ...) an edge already.
 
-    Documents are the most, so their pairs with claims are counted apart; of the other columns each combination
-    stays once a claim before they are counted together.
+    Of edges that are given, pairs of documents and claims, which are the most, are counted apart, and of the other
+    columns each combination stays once a claim before they are counted together.
     """
-    behind = ("document_id", "work_id", "independence_group_id", "publisher_id", "evidence_origin", "primary_support_status")
-    met = provenance
-    if "canonical_claim_id" not in provenance.columns:
-        met = evidence_edges(canonical).join(provenance.select("evidence_claim_id", *behind), "evidence_claim_id")
-    key, note = "canonical_claim_id", F.col("evidence_origin") == "derived-note"
-    once = met.groupBy(key, "work_id", "independence_group_id", "publisher_id").agg(
-        F.bool_and(note).alias("only_notes"), F.bool_or(F.coalesce(F.col("primary_support_status"), F.lit("")) != "verified").alias("some_unverified"),
-    )
-    others = once.groupBy(key).agg(
-        F.count_distinct("work_id").alias("work_count"), F.count_distinct("independence_group_id").alias("independent_count"),
-        F.count_distinct("publisher_id").alias("publisher_count"), F.bool_and("only_notes").alias("only_notes"), F.bool_or("some_unverified").alias("some_unverified"),
-    )
-    documents = met.select(key, "document_id").distinct().groupBy(key).agg(F.count("document_id").alias("document_count"))
-    counts = documents.join(others, key)
+    key, each = "canonical_claim_id", ("work_id", "independence_group_id", "publisher_id")
+    said = (F.col("evidence_origin") == "derived-note").alias("only_notes"), (F.coalesce(F.col("primary_support_status"), F.lit("")) != "verified").alias("some_unverified")
+    flags = F.bool_and("only_notes").alias("only_notes"), F.bool_or("some_unverified").alias("some_unverified")
+    sizes = [F.count_distinct(c).alias(n) for c, n in zip(each, ("work_count", "independent_count", "publisher_count"))]
+    if key in provenance.columns:
+        once = provenance.select(key, *each, *said).groupBy(key, *each).agg(*flags)
+        documents = provenance.select(key, "document_id").distinct().groupBy(key).agg(F.count("document_id").alias("document_count"))
+        counts = documents.join(once.groupBy(key).agg(*sizes, *flags), key)
+    else:
+        behind = provenance.select("evidence_claim_id", "document_id", *each, *said)
+        counts = evidence_edges(canonical).join(behind, "evidence_claim_id").groupBy(key).agg(F.count_distinct("document_id").alias("document_count"), *sizes, *flags)
     zero = {f"{x}_count": 0 for x in ("document", "work", "independent", "publisher")}
     stated = [c for c in counts.columns if c in canonical.columns and c != "canonical_claim_id"]  # what a record states is derived anew
     return canonical.drop(*stated).join(counts, "canonical_claim_id", "left").fillna(zero).fillna(False, ["only_notes", "some_unverified"])
