@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.operators.rules import evidence_edges, set_equal
@@ -45,13 +45,13 @@ def support_counts(canonical: DataFrame, provenance: DataFrame) -> DataFrame:
 
 
 def with_status(counted: DataFrame) -> DataFrame:
-    """The derived status of each claim; the first rule that fits decides. Of evidence, claims have the lists or their
-    sizes, supporting_count and opposing_count."""
+    """The derived status of each claim; the first rule that fits decides. Of evidence and of other claims, claims have the
+    lists or their sizes, such as supporting_count and superseded_by_count."""
     many = lambda side: F.col(f"{side}_count") if f"{side}_count" in counted.columns else F.size(side)
     status = (
-        F.when(F.size("superseded_by") > 0, "superseded")
+        F.when(many("superseded_by") > 0, "superseded")
         .when(many("opposing") > 0, "disputed")
-        .when((F.size("derived_from") > 0) & (many("supporting") == 0), "derived")
+        .when((many("derived_from") > 0) & (many("supporting") == 0), "derived")
         .when(F.col("only_notes") & F.col("some_unverified"), "derived-note-only")
         .when(F.col("independent_count") >= 2, "multi-source")
         .when(F.col("independent_count") == 1, "single-source")
@@ -60,31 +60,58 @@ def with_status(counted: DataFrame) -> DataFrame:
     return counted.withColumn("status", status)
 
 
-def _listed(pages: DataFrame, *more: str) -> DataFrame:
-    """(page_id, canonical_claim_id) rows of pages that have claim_ids, or that are such rows already."""
+def statuses(claims: DataFrame, canonical_id: Column) -> DataFrame:
+    """(statement_id, canonical_claim_id, status) of each statement, from its evidence claims alone: no list is gathered,
+    nothing is joined, and what no status asks for is not counted.
+
+    claims: (statement_id, derived, superseded, opposing, independence_group_id, evidence_origin, primary_support_status), a row
+    an evidence claim; canonical_id: a statement's canonical id by its statement_id. Statements that have an id in common
+    share what is behind them. Claims come together a statement and group first, so that only one row of each moves on.
+    """
+    group, behind = F.col("independence_group_id"), Window.partitionBy("canonical_claim_id")
+    each = claims.groupBy("statement_id", "derived", "superseded", "independence_group_id").agg(
+        F.count_if(~F.col("opposing")).alias("supporting_count"), F.count_if("opposing").alias("opposing_count"),
+        F.bool_and(F.col("evidence_origin") == "derived-note").alias("only_notes"), F.bool_or(F.coalesce(F.col("primary_support_status"), F.lit("")) != "verified").alias("some_unverified"),
+    )
+    # a status asks for no group, one or more; two stand for more
+    groups = F.when(F.min(group).over(behind).isNull(), 0).when(F.min(group).over(behind) == F.max(group).over(behind), 1).otherwise(2)
+    met = each.withColumn("canonical_claim_id", canonical_id).withColumns({
+        "only_notes": F.bool_and("only_notes").over(behind), "some_unverified": F.bool_or("some_unverified").over(behind), "independent_count": groups,
+    })
+    return with_status(met.groupBy("canonical_claim_id", "statement_id").agg(
+        F.sum("supporting_count").alias("supporting_count"), F.sum("opposing_count").alias("opposing_count"), F.max("independent_count").alias("independent_count"),
+        *(F.bool_or(c).alias(c) for c in ("only_notes", "some_unverified")), *(F.bool_or(c).cast("int").alias(n) for c, n in (("derived", "derived_from_count"), ("superseded", "superseded_by_count"))),
+    )).select("statement_id", "canonical_claim_id", "status")
+
+
+def _listed(pages: DataFrame, claims: DataFrame, how: str, *more: str) -> DataFrame:
+    """(page_id, canonical_claim_id, status) rows of pages that have claim_ids, that are a row a claim, or that are such rows
+    already."""
+    if "status" in pages.columns:
+        return pages.select("page_id", *more, "canonical_claim_id", "status")
     one = F.explode_outer("claim_ids").alias("canonical_claim_id") if "claim_ids" in pages.columns else "canonical_claim_id"
-    return pages.select("page_id", *more, one)
+    return pages.select("page_id", *more, one).join(claims.select("canonical_claim_id", "status"), "canonical_claim_id", how)
 
 
-def status_pivot(pages: DataFrame, claims: DataFrame) -> DataFrame:
+def status_pivot(pages: DataFrame, claims: DataFrame | None = None) -> DataFrame:
     """(page_id, one count per status): all seven, zeros kept.
 
-    pages: (page_id, claim_ids), or a row (page_id, canonical_claim_id) a claim.
+    pages: (page_id, claim_ids), or a row (page_id, canonical_claim_id) a claim; claims: (canonical_claim_id, status), not
+    needed where a page's rows have a status already.
     """
-    named = _listed(pages)
-    met = named.join(claims.select("canonical_claim_id", "status"), "canonical_claim_id", "left")
+    met = _listed(pages, claims, "left")
     return met.groupBy("page_id").agg(*(F.count_if(F.col("status") == s).alias(s) for s in STATUSES))
 
 
-def hidden_status(pages: DataFrame, claims: DataFrame) -> DataFrame:
+def hidden_status(pages: DataFrame, claims: DataFrame | None = None) -> DataFrame:
     """Pages whose main text does not show the status of a claim that must be shown.
 
-    pages: (page_id, main) with claim_ids or canonical_claim_id; claims: (canonical_claim_id, status).
+    pages: (page_id, main) with claim_ids or canonical_claim_id; claims: (canonical_claim_id, status), not needed where a
+    page's rows have a status already.
     """
     from factloom.operators.rules import violations
 
-    named = _listed(pages, "main")
-    met = named.join(claims.select("canonical_claim_id", "status"), "canonical_claim_id")
+    met = _listed(pages, claims, "inner", "main")
     hidden = F.lit(False)
     for status, pattern in VISIBLE.items():
         hidden = hidden | ((F.col("status") == status) & ~F.col("main").rlike(pattern))

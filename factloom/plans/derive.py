@@ -92,6 +92,13 @@ def canonical_counts(found: DataFrame) -> DataFrame:
     )
 
 
+def stated():
+    """What ``statement`` alone says of its canonical claim: its digest, of which the id is the first 12 digits, and whether
+    the claim is derived or superseded."""
+    first = F.substring("statement", 1, 1)
+    return F.unhex(F.sha2("statement", 256)).alias("statement_id"), first.isin(*"ABCD").alias("derived"), first.isin(*"XYZ").alias("superseded")
+
+
 SOURCES_SQL = """src AS (
   SELECT doc_id, 'src_' || substr(sha256('documents/' || doc_id || '.md'), 1, 20) AS source_id, 'documents/' || doc_id || '.md' AS path,
          'https://t.example/' || substr(sha256(text), 1, 16) AS source_url, CASE WHEN lang = 'en' THEN 'user-note' ELSE 'faithful-translation' END AS source_kind,

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import rules, segment
+from factloom.operators import rules, segment, support
 from factloom.plans import catalog
 
 D = "/root/testdata/sf0.001"
@@ -74,3 +74,23 @@ def test_counts_of_documents_that_share_an_id(spark, tmp_path, ids):
     for name in ("a_support_counts", "a_epistemic_status", "a_status_pivot", "p_hidden_status", "g_dangling", "m_span_kind_counts"):
         got, want = catalog.queries()[name](spark, str(tmp_path)), duck.sql(catalog.oracle_sql()[name])
         assert sorted(map(str, map(tuple, got.select(*want.columns).collect()))) == sorted(map(str, want.fetchall())), name
+
+
+@pytest.mark.parametrize("name", ["p_hidden_status"])
+def test_statuses_take_one_pass(spark, name):
+    plan = _plan(catalog.queries()[name](spark, D))
+    # from documents to the result: texts are cut here, no step is stored and read again, nothing is joined
+    assert plan.count("MapInArrow") == 1 and "step-" not in plan and "Join" not in plan and plan.count("Exchange") <= 4
+
+
+def test_statuses_of_statements_that_share_an_id(spark):
+    row = "statement_id string, derived boolean, superseded boolean, opposing boolean, independence_group_id string, evidence_origin string, primary_support_status string"
+    own, note = ("primary-source", "verified"), ("derived-note", None)
+    claims = spark.createDataFrame([
+        ("a1", False, False, False, "g", *own), ("a2", False, False, False, "h", *own), ("a2", False, False, False, "h", *own),
+        ("b1", False, False, False, "g", *note), ("b2", False, False, True, "g", *note), ("c1", False, False, False, "g", *note), ("c1", False, False, False, "g", *own),
+        ("d1", True, False, True, "g", *own), ("d2", True, False, False, None, *own), ("e1", False, True, True, None, *own), ("f1", False, False, False, None, *own), ("h1", False, False, False, None, *note),
+    ], row)
+    got = {r.statement_id: (r.canonical_claim_id, r.status) for r in support.statuses(claims, F.substring("statement_id", 1, 1)).collect()}
+    want = {"a1": "multi-source", "a2": "multi-source", "b1": "derived-note-only", "b2": "disputed", "c1": "single-source", "d1": "disputed", "d2": "single-source", "e1": "superseded", "f1": "insufficient-evidence", "h1": "derived-note-only"}
+    assert got == {k: (k[0], v) for k, v in want.items()}
