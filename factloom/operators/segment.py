@@ -216,8 +216,9 @@ def evidence_units(sources: DataFrame) -> DataFrame:
 
 
 _MARK = re.compile(r"(?:[-+*]|\d+[.)])\s+", re.A)
-#: Where a sentence ends; the last alternative is a line end that splitting at \r and \n leaves on a line.
-_STOP = re.compile(r"[。！？；]|[.!?](?=\s|\Z|[\x85\u2028\u2029]\Z)", re.A)
+#: Where a sentence ends; the last alternative is a line end that splitting at \r and \n leaves on a line. A set of
+#: characters comes first, which the engine finds several times as fast as it tries alternatives at each place.
+_STOP = re.compile(r"[。！？；.!?](?:(?<=[。！？；])|(?=\s|\Z|[\x85\u2028\u2029]\Z))", re.A)
 _SPACE = " \t\n\x0b\x0c\r"
 #: Texts cut at once.
 _TEXTS = 256
@@ -249,7 +250,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # a line begins where str.splitlines cuts
             lines = [t.decode("utf-8", "replace").splitlines(True) for t in b.column("_text").to_pylist()]
             begins = _begins(pa.array([[len(x) for x in found] for found in lines], pa.list_(pa.int32()))).to_pylist()
-            owner, place, starts, contents, kinds = [], [], [], [], []
+            # of a line: text, place, offset, kind and number of its spans; of a span: content and where it ends in the line
+            owner, place, offsets, kinds, counts, contents, ends = [], [], [], [], [], [], []
             for row, (found, ats) in enumerate(zip(lines, begins)):
                 for i, (raw, at) in enumerate(zip(found, ats)):
                     line = raw.rstrip("\r\n")
@@ -258,20 +260,26 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     text = bare[mark.end() :] if mark else bare
                     if not text:
                         continue
-                    kind, at, done = _kind(line, text, mark is not None), at + len(line) - len(text), 0
-                    for end in (*(m.end() for m in _STOP.finditer(text)), len(text)):
-                        left = text[done:end].lstrip(_SPACE)
-                        content = left.rstrip(_SPACE)
-                        if content:
-                            owner.append(row)
-                            place.append(i)
-                            starts.append(at + end - len(left))
-                            contents.append(content)
-                            kinds.append(kind)
-                        done = end
-            of, start = pa.array(owner, pa.int64()), pa.array(starts, pa.int64())
+                    stops = [m.end() for m in _STOP.finditer(text)]
+                    contents += [text[begin:end].lstrip(_SPACE) for begin, end in zip([0, *stops], stops)]
+                    left = text[stops[-1] if stops else 0 :].strip(_SPACE)
+                    if left:
+                        contents.append(left)
+                        stops.append(len(text.rstrip(_SPACE)))
+                    if stops:
+                        owner.append(row)
+                        place.append(i)
+                        offsets.append(at + len(line) - len(text))
+                        kinds.append(_kind(line, text, mark is not None))
+                        counts.append(len(stops))
+                        ends += stops
+            of = np.repeat(np.arange(len(counts)), np.array(counts, "int64"))
+            content = pa.array(contents, pa.string())
+            stop = pa.array(np.array(offsets, "int64")[of] + np.array(ends, "int64"))
+            first = b.column("_first").take(pa.array(owner, pa.int64()))
             rest = [n for n in b.schema.names if n not in ("_text", "_first")]
-            columns = [pc.add(b.column("_first").take(of), pa.array(place, pa.int64())), start, pc.add(start, pa.array(map(len, contents), pa.int64())), pa.array(contents, pa.string()), pa.array(kinds, pa.string())]
+            columns = [pc.add(first, pa.array(place, pa.int64())).take(pa.array(of)), pc.subtract(stop, pc.utf8_length(content).cast("int64")), stop, content, pa.array(kinds, pa.string()).take(pa.array(of))]
+            of = pa.array(np.array(owner, "int64")[of])
             yield pa.RecordBatch.from_arrays([*columns, *(b.column(n).take(of) for n in rest)], names=["line", "start_offset", "end_offset", "content", "span_kind", *rest])
 
 

@@ -29,3 +29,12 @@ def spark_first():
     from pyspark.sql import functions as F
 
     return F.col("first")
+
+
+def test_texts_without_spans_and_full_stops_in_a_row():
+    def cut(*texts):
+        rows = pa.record_batch({"_text": pa.array([t.encode() for t in texts], pa.binary()), "_first": pa.array([1] * len(texts), pa.int64())})
+        return [(r["line"], r["start_offset"], r["end_offset"], r["content"]) for b in segment._cut(iter([rows])) for r in b.to_pylist()]
+
+    assert cut("", " \n\t", "- ") == cut() == []
+    assert cut("。 ！a.b? c!  ", "- x.\x85\n  y") == [(1, 0, 1, "。"), (1, 2, 3, "！"), (1, 3, 7, "a.b?"), (1, 8, 10, "c!"), (1, 2, 4, "x."), (1, 4, 5, "\x85"), (3, 8, 9, "y")]
